@@ -2,15 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandlake.llm import quality
+from strandlake.llm import mixing, pii, quality, secrets
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def said(spans: Column) -> Column:
+    """Spans as kind:start:end, comma-joined."""
+    one = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    return F.array_join(F.transform(spans, one), ",")
+
+
+def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.detect(table(spark, folder, "documents"))
+    of_kind = lambda kind: F.filter("spans", lambda s: s["kind"] == kind)
+    base = F.filter("spans", lambda s: s["kind"].isin(list(pii.BASE)))
+    return found.select(
+        "doc_id",
+        *[F.size(of_kind(kind)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(said(base), 256).alias("base_sha256"),
+        said(F.col("spans")).alias("spans"),
+        F.array_max(F.transform("spans", lambda s: s["score"])).alias("top_score"),
+    )
+
+
+def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.taken(table(spark, folder, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality.quality(table(spark, folder, "documents"))
     return judged.select(
@@ -18,8 +43,18 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.scan(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_live", "n_example"
+    )
+
+
 QUERIES = {
+    "op2_pii": op2_pii,
+    "op3_mixing": op3_mixing,
     "op5_quality_rules": op5_quality_rules,
+    "op6_secret_scans": op6_secret_scans,
 }
 
 ORACLE_SQL: dict[str, str] = {}
