@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import mixing, pii, quality, secrets
+from strandlake.llm import mixing, pieces, pii, quality, secrets
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -50,11 +50,26 @@ def op6_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_sentencepiece(spark: SparkSession, folder: str, model: str | None = None) -> DataFrame:
+    if model is None:
+        import public_tokenizers
+
+        model = public_tokenizers.path("piece_bpe_32k.model")
+    coded = pieces.encode_and_decode(table(spark, folder, "documents"), model)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op2_pii": op2_pii,
     "op3_mixing": op3_mixing,
     "op5_quality_rules": op5_quality_rules,
     "op6_secret_scans": op6_secret_scans,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLE_SQL: dict[str, str] = {}
