@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import mixing, pieces, pii, quality, secrets
+from strandlake.llm import linededup, mixing, pieces, pii, quality, secrets, urlfilter
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -36,6 +36,11 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = linededup.deduped(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality.quality(table(spark, folder, "documents"))
     return judged.select(
@@ -50,6 +55,10 @@ def op6_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return urlfilter.judged(table(spark, folder, "pages"))
+
+
 def op10_sentencepiece(spark: SparkSession, folder: str, model: str | None = None) -> DataFrame:
     if model is None:
         import public_tokenizers
@@ -67,9 +76,51 @@ def op10_sentencepiece(spark: SparkSession, folder: str, model: str | None = Non
 QUERIES = {
     "op2_pii": op2_pii,
     "op3_mixing": op3_mixing,
+    "op4_line_dedup": op4_line_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_secret_scans": op6_secret_scans,
+    "op7_url_filters": op7_url_filters,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+SPACES_SQL = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_line_dedup": f"""
+        WITH docs AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+        each AS (SELECT r, doc_id, unnest(l) AS line, unnest(range(len(l))) AS i FROM docs),
+        keyed AS (
+            SELECT *, translate(trim(line, {SPACES_SQL}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM each
+        ),
+        shared AS (SELECT k FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT r) >= 10),
+        marked AS (SELECT *, k IN (SELECT k FROM shared) AS gone FROM keyed)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+        FROM marked GROUP BY r, doc_id""",
+    "op7_url_filters": """
+        WITH cut AS (
+            SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+        ),
+        parts AS (
+            SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+            FROM cut
+        ),
+        ruled AS (
+            SELECT *, CASE
+                WHEN (host = 'example.org' OR suffix(host, '.example.org')) AND prefix(path, '/en/1') THEN 'example.org/en/1'
+                WHEN (host = 'example.org' OR suffix(host, '.example.org')) AND prefix(path, '/es/') THEN 'example.org/es/'
+                WHEN (host = 'com' OR suffix(host, '.com')) AND prefix(path, '/fr/') THEN 'com/fr/'
+                WHEN (host = 'com' OR suffix(host, '.com')) AND prefix(path, '/de/') THEN 'com/de/'
+                WHEN (host = 'org' OR suffix(host, '.org')) AND prefix(path, '/') THEN 'org/'
+            END AS rule
+            FROM parts
+        )
+        SELECT page_id, host, path, rule, CASE
+            WHEN rule IN ('org/', 'com/fr/') THEN 'allow'
+            WHEN rule IS NOT NULL THEN 'block'
+            WHEN list_has_any(regexp_split_to_array(host, '[.-]'), ['adult', 'casino', 'porn', 'sex', 'xxx', 'gambling', 'poker',
+                'betting', 'warez', 'torrent', 'phishing', 'malware', 'pills']) THEN 'block'
+            ELSE 'allow' END AS verdict
+        FROM ruled""",
+}
