@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import linededup, mixing, pieces, pii, quality, secrets, urlfilter
+from strandlake.llm import linededup, mixing, neardup, pieces, pii, quality, secrets, urlfilter
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op7_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return urlfilter.judged(table(spark, folder, "pages"))
 
 
+def op8_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.classes(table(spark, folder, "documents"))
+
+
 def op10_sentencepiece(spark: SparkSession, folder: str, model: str | None = None) -> DataFrame:
     if model is None:
         import public_tokenizers
@@ -80,6 +84,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_secret_scans": op6_secret_scans,
     "op7_url_filters": op7_url_filters,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
