@@ -20,6 +20,7 @@ empty table; other columns are ignored by `encode` and `decode`.
 from __future__ import annotations
 
 import heapq
+import math
 import re
 from collections.abc import Iterator
 
@@ -60,7 +61,11 @@ class Pieces:
         # A byte below 128 is a sign by itself; what others say depends on their neighbours.
         self.said = [chr(self.bytes[i]) if i in self.bytes else self.texts[i].replace(SPACE, " ") for i in size]
         self.special = self.silent | self.unknown | {i for i, b in self.bytes.items() if b > 127}
-        reached = [t for t in self.ids if (not set(t) <= {SPACE} or len(t) == 1) and self.merged(t) == [t]]
+        # The two pieces whose merging makes a token, for tokens that merging their signs makes.
+        self.halves: dict[str, tuple[str, str]] = {}
+        reached = [t for t in self.ids if (not set(t) <= {SPACE} or len(t) == 1) and self.merged(t, self.halves) == [t]]
+        self.ends: dict[str, list[tuple[str, float]]] = {}
+        self.starts: dict[str, list[tuple[str, float]]] = {}
         self.longest = ahocorasick.Automaton()
         for t in reached:
             self.longest.add_word(t, (len(t) - 1, t))
@@ -72,8 +77,11 @@ class Pieces:
         self.older: dict[str, tuple[int, ...]] = {}
         self.blanks: dict[int, tuple[int, ...]] = {}
 
-    def merged(self, text: str) -> list[str]:
-        """The pieces that merging makes of a text: always the best score, from the left where scores are equal."""
+    def merged(self, text: str, halves: dict[str, tuple[str, str]] | None = None) -> list[str]:
+        """The pieces that merging makes of a text: always the best score, from the left where scores are equal.
+
+        If the whole text becomes one piece, halves gets the two of which the last merge made it.
+        """
         piece: list[str | None] = [*text]
         after, before = [*range(1, len(text) + 1)], [*range(-1, len(text) - 1)]
         pairs: list[tuple[float, int, int, str]] = []
@@ -88,6 +96,8 @@ class Pieces:
             _, left, right, both = heapq.heappop(pairs)
             if piece[left] is None or piece[right] is None or after[left] != right or piece[left] + piece[right] != both:
                 continue
+            if halves is not None and both == text:
+                halves[text] = piece[left], piece[right]
             piece[left], piece[right] = both, None
             after[left] = after[right]
             if after[right] < len(text):
@@ -96,13 +106,51 @@ class Pieces:
             offer(left, after[left])
         return [p for p in piece if p is not None]
 
+    def edge(self, token: str, side: int) -> list[tuple[str, float]]:
+        """The pieces at the start (0) or end (1) of a token, from a sign to the whole, as merging makes them.
+
+        With each comes the score of the merge that takes it in.
+        """
+        cache = self.ends if side else self.starts
+        if token not in cache:
+            row, into = [], -math.inf
+            while token in self.halves:
+                row.append((token, into))
+                into = self.scores[token]
+                token = self.halves[token][side]
+            whole = row[0][0] if row else token
+            cache[whole] = [(token, into), *reversed(row)]
+            token = whole
+        return cache[token]
+
+    def remerge(self, left: str, right: str) -> bool:
+        """Whether merging the signs of two tokens together gives the two back.
+
+        Each merges within itself as it does alone, until a pair across the border is
+        better than what would take either piece at the border in. Equal scores go from
+        the left.
+        """
+        ends, starts, score = self.edge(left, 1), self.edge(right, 0), self.scores.get
+        i = j = 0
+        while True:
+            (end, end_into), (start, start_into) = ends[i], starts[j]
+            across = score(end + start)
+            if across is not None and across > end_into and across >= start_into:
+                return False
+            if end_into >= start_into:
+                if end_into == -math.inf:
+                    return True
+                i += 1
+            else:
+                j += 1
+
     def compatible(self, left: str, right: str) -> bool:
         found = self.fits.setdefault(left, {}).get(right)
         if found is None:
             if self.n_fits >= 4 * REMEMBERED:
                 self.fits.clear()
                 self.n_fits = 0
-            found = self.fits.setdefault(left, {})[right] = self.merged(left + right) == [left, right]
+            found = self.fits.setdefault(left, {})[right] = self.remerge(left, right)
             self.n_fits += 1
         return found
 
