@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import linededup, mixing, neardup, pieces, pii, quality, secrets, urlfilter
+from strandlake.llm import linededup, mixing, neardup, pieces, pii, quality, quantised, secrets, urlfilter
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -63,6 +63,11 @@ def op8_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.classes(table(spark, folder, "documents"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return quantised.search(vectors, F.col("vec_id") % quantised.QUERY_EVERY == 0)
+
+
 def op10_sentencepiece(spark: SparkSession, folder: str, model: str | None = None) -> DataFrame:
     if model is None:
         import public_tokenizers
@@ -85,6 +90,7 @@ QUERIES = {
     "op6_secret_scans": op6_secret_scans,
     "op7_url_filters": op7_url_filters,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
