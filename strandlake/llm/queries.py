@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import linededup, mixing, neardup, pieces, pii, quality, quantised, secrets, urlfilter
+from strandlake.llm import linededup, mixing, neardup, pagetext, pieces, pii, quality, quantised, secrets, urlfilter
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def said(spans: Column) -> Column:
     return F.array_join(F.transform(spans, one), ",")
 
 
+def op1_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    found = pagetext.extracted(table(spark, folder, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.detect(table(spark, folder, "documents"))
     of_kind = lambda kind: F.filter("spans", lambda s: s["kind"] == kind)
@@ -83,6 +88,7 @@ def op10_sentencepiece(spark: SparkSession, folder: str, model: str | None = Non
 
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_pii": op2_pii,
     "op3_mixing": op3_mixing,
     "op4_line_dedup": op4_line_dedup,
