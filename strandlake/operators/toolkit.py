@@ -132,6 +132,8 @@ def rule_column(rule: str, tests: dict[str, Column]) -> Column:
 
     def take() -> str:
         nonlocal at
+        if at == len(parts):
+            raise ValueError(f"not a rule: {rule}")
         at += 1
         return parts[at - 1]
 
@@ -142,7 +144,7 @@ def rule_column(rule: str, tests: dict[str, Column]) -> Column:
         if part == "(":
             inner = either()
             if take() != ")":
-                raise ValueError(f"unbalanced rule: {rule}")
+                raise ValueError(f"not a rule: {rule}")
             return inner
         return tests[part]
 

@@ -1,0 +1,123 @@
+"""Text sources and sinks: FASTA, headers, positions, manifests, training files, VCF, feature tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+#: The kinds of header lines, with what each must have.
+HEADER_KEYS = {"HD": ["VN"], "SQ": ["SN", "LN"], "RG": ["ID"], "PG": ["ID"], "CO": []}
+VCF_COLUMNS = ["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT"]
+
+
+def fasta(spark: SparkSession, path: str) -> DataFrame:
+    """ref_id, name, bases of each sequence, in the order of the file. A sequence is one row."""
+    records = spark.read.option("lineSep", ">").text(path).filter("trim(value) != ''")
+    first = F.regexp_extract("value", r"^([^\s]+)", 1)
+    bases = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*", ""), r"\s+", "")
+    numbered = records.select(first.alias("name"), bases.alias("bases"), F.monotonically_increasing_id().alias("n"))
+    names = numbered.select("n").withColumn("ref_id", F.row_number().over(Window.orderBy("n")) - 1)
+    return numbered.join(F.broadcast(names), "n").select("ref_id", "name", "bases")
+
+
+def fasta_index(spark: SparkSession, path: str) -> DataFrame:
+    """name, length, offset of the first base, bases and bytes of a line, as an index file has them."""
+    records = spark.read.option("lineSep", ">").text(path).filter("trim(value) != ''").select("value", F.monotonically_increasing_id().alias("n"))
+    head = F.regexp_extract("value", r"^([^\n]*)", 1)
+    line = F.regexp_extract("value", r"^[^\n]*\n([^\n]*)", 1)
+    sizes = records.select("n", F.regexp_extract("value", r"^([^\s]+)", 1).alias("name"), F.octet_length("value").alias("size"), F.octet_length(head).alias("head"),
+                           F.length(F.regexp_replace(F.regexp_replace("value", r"^[^\n]*", ""), r"\s+", "")).alias("length"), F.length(line).alias("line_bases"))
+    before = F.coalesce(F.sum(F.col("size") + 1).over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return sizes.select("name", "length", (before + F.col("head") + 2).alias("offset"), "line_bases", (F.col("line_bases") + 1).alias("line_bytes"))
+
+
+def chunks(sequences: DataFrame, chunk: int = 4096, margin: int = 512) -> DataFrame:
+    """ref_id, chunk, bases, offset, size: pieces with margins on both sides, from ref_id and bases."""
+    size = F.length("bases")
+    each = sequences.withColumn("size", size).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / chunk).cast("int"))))
+    first = F.greatest(F.col("chunk") * chunk - margin, F.lit(0))
+    last = F.least((F.col("chunk") + 1) * chunk + margin, F.col("size"))
+    return each.select("ref_id", "chunk", F.substring(F.col("bases"), first + 1, last - first).alias("bases"), first.alias("offset"), "size")
+
+
+def header(spark: SparkSession, path: str) -> DataFrame:
+    """n, kind, fields (a map) and text of each header line."""
+    lines = spark.read.text(path).filter(F.col("value").startswith("@")).withColumn("n", F.monotonically_increasing_id())
+    parts = F.slice(F.split("value", "\t"), 2, 1000)
+    pairs = F.filter(F.transform(parts, lambda p: F.struct(F.substring(p, 1, 2).alias("key"), F.substring(p, F.lit(4), F.length(p)).alias("value"))), lambda p: F.length(p["key"]) == 2)
+    kind = F.substring("value", 2, 2)
+    fields = F.when(kind != "CO", F.map_from_entries(F.array_distinct(pairs))).otherwise(F.create_map().cast("map<string,string>"))
+    return lines.select("n", kind.alias("kind"), fields.alias("fields"), F.col("value").alias("text"))
+
+
+def header_faults(lines: DataFrame) -> DataFrame:
+    """text and fault of header lines of an unknown kind, without a field that they must have, or with a repeated name."""
+    needs = F.create_map(*[x for k, v in HEADER_KEYS.items() for x in (F.lit(k), F.array(*[F.lit(n) for n in v]).cast("array<string>"))])
+    need = F.try_element_at(needs, F.col("kind"))
+    lacking = F.filter(need, lambda n: ~F.map_contains_key("fields", n))
+    name = F.coalesce(F.try_element_at(F.col("fields"), F.when(F.col("kind") == "SQ", "SN").otherwise("ID")), F.col("text"))
+    repeated = lines.withColumn("name", name).filter("kind in ('SQ', 'RG', 'PG')").groupBy("kind", "name").agg(F.count(F.lit(1)).alias("times"), F.first("text").alias("text"))
+    single = lines.select("text", F.when(need.isNull(), "unknown kind").when(F.size(lacking) > 0, F.concat(F.lit("lacks "), F.array_join(lacking, ","))).alias("fault"))
+    return single.filter("fault is not null").unionByName(repeated.filter("times > 1").select("text", F.lit("repeated name").alias("fault")))
+
+
+def merged_header(lines: list[DataFrame]) -> DataFrame:
+    """The first header's lines, with the read groups of the others that it does not have."""
+    first, groups = lines[0], lines[0].filter("kind = 'RG'").select(F.col("fields")["ID"].alias("id"))
+    more = None
+    for other in lines[1:]:
+        new = other.filter("kind = 'RG'").withColumn("id", F.col("fields")["ID"])
+        more = new if more is None else more.unionByName(new)
+    if more is None:
+        return first
+    return first.unionByName(more.join(groups, "id", "left_anti").dropDuplicates(["id"]).drop("id"))
+
+
+def positions(spark: SparkSession, path: str) -> DataFrame:
+    """chrom, start, stop of lines chr, chr:start or chr:start-stop; what is no number leaves the whole chromosome."""
+    lines = spark.read.text(path).select(F.trim("value").alias("v")).filter("v != ''")
+    bounds = r"^[^:]+:([0-9]+)(?:-([0-9]+))?$"
+    number = lambda i: F.nullif(F.regexp_extract("v", bounds, i), F.lit("")).cast("long")
+    return lines.select(F.regexp_extract("v", r"^([^:]+)", 1).alias("chrom"), number(1).alias("start"), F.coalesce(number(2), number(1)).alias("stop"))
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """chrom, start, stop of a table of regions, with or without a first line of names; an empty region is an error."""
+    rows = spark.read.option("sep", "\t").schema("chrom string, a string, b string").csv(path).filter("chrom != 'chrom'")
+    rows = rows.select("chrom", F.col("a").cast("long").alias("start"), F.col("b").cast("long").alias("stop"))
+    wrong = F.raise_error(F.lit("a region's end must be greater than its start")).cast("long")
+    return rows.withColumn("stop", F.when(F.col("stop") > F.col("start"), F.col("stop")).otherwise(wrong))
+
+
+def training(spark: SparkSession, path: str) -> DataFrame:
+    """tumour, normal, reference, manifest, chrom, pos, label of training files.
+
+    Lines `# key value` hold for their whole file, the last one of a key; rows without
+    a label are left out.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n"))
+    keyed = lines.filter(F.col("value").startswith("#")).select("file", "n", F.split(F.trim(F.regexp_replace("value", "^#", "")), r"\s+").alias("p"))
+    names = ["tumour", "normal", "reference", "manifest"]
+    heads = keyed.groupBy("file").agg(*[F.max_by(F.get("p", F.lit(1)), F.when(F.get("p", F.lit(0)) == k, F.col("n"))).alias(k) for k in names])
+    rows = lines.filter(~F.col("value").startswith("#")).select("file", F.split(F.trim("value"), r"\s+").alias("p")).filter(F.size("p") >= 3)
+    values = [F.get("p", F.lit(0)).alias("chrom"), F.get("p", F.lit(1)).cast("long").alias("pos"), F.get("p", F.lit(2)).alias("label")]
+    return rows.join(heads, "file", "left").select(*names, *values)
+
+
+def vcf_header(samples: list[str], meta: dict[str, str] | None = None) -> list[str]:
+    more = [f"##{k}={v}" for k, v in (meta or {}).items()]
+    return ["##fileformat=VCFv4.1", *more, "\t".join([*VCF_COLUMNS, *samples])]
+
+
+def write_vcf(rows: DataFrame, path: str, samples: list[str], meta: dict[str, str] | None = None) -> None:
+    """Rows (ref_id, pos, line) in order, in parts; the first part begins with the header."""
+    spark = rows.sparkSession
+    head = spark.createDataFrame([(-1, i, line) for i, line in enumerate(vcf_header(samples, meta))], "ref_id int, pos int, line string")
+    both = head.unionByName(rows.select(F.col("ref_id").cast("int"), F.col("pos").cast("int"), "line"))
+    both.repartitionByRange("ref_id", "pos").sortWithinPartitions("ref_id", "pos").select("line").write.text(path)
+
+
+def write_features(frame: DataFrame, path: str, key: list[Column], columns: list[str]) -> DataFrame:
+    """Key and feature values as tab-separated text; gives back the frame, so that what follows goes on from it."""
+    frame.select(F.concat_ws(";", *key).alias("key"), *columns).write.option("sep", "\t").option("header", True).csv(path)
+    return frame
