@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 sys.path.insert(0, __file__.rsplit("/", 1)[0])
-from oracle import same
+from llm_oracle import same
 
 from strandlake.llm import arrays, linededup, queries, urlfilter
 
