@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 
 SPACE = "▁"
 REMEMBERED = 150_000
+#: Rows that are encoded before their results are passed on.
+ROWS_TOGETHER = 128
 #: Longer runs are not remembered.
 LONGEST_REMEMBERED = 48
 
@@ -283,12 +285,19 @@ def _text_of(data: bytearray) -> str:
 REPLACEMENT = "\N{REPLACEMENT CHARACTER}"
 
 
+def _parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The same rows, a few at a time: ids take many times the room of their text."""
+    for frame in frames:
+        for start in range(0, len(frame), ROWS_TOGETHER):
+            yield frame.iloc[start : start + ROWS_TOGETHER]
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and the ids of its whole text, for each row of docs."""
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces = Pieces(path)
-        for frame in frames:
+        for frame in _parts(frames):
             yield pd.DataFrame({"doc_id": frame["doc_id"], "ids": [pieces.encode(t) for t in frame["text"]]})
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInPandas(batches, "doc_id long, ids array<int>")
@@ -299,7 +308,7 @@ def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces = Pieces(path)
-        for frame in frames:
+        for frame in _parts(frames):
             ids = [pieces.encode(t) for t in frame["text"]]
             yield pd.DataFrame({"doc_id": frame["doc_id"], "ids": ids, "decoded": [pieces.decode(i) for i in ids]})
 
