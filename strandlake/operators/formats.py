@@ -76,6 +76,27 @@ def yaml(names: list[str]) -> Column:
     return F.concat_ws("\n", F.lit("---"), F.concat(F.lit("- Name: "), "name"), *lines)
 
 
+def pileup_cells(alignments: DataFrame, ref: Column) -> DataFrame:
+    """What pileup_lines takes, of mapped reads; ref is the reference's base at ref_id and p."""
+    mapped = alignments.filter(reads.has(F.col("flag"), "mapped"))
+    covers = F.filter(
+        F.transform(reads.walk(F.col("cigar")), lambda c, i: F.struct(c["op"], c["len"], c["at"], c["read_at"], F.get(F.col("cigar"), i + 1).alias("then"))),
+        lambda c: c["op"].isin("M", "=", "X", "D") & (c["len"] > 0),
+    )
+    each = mapped.withColumn("end", reads.end_position(F.col("pos"), F.col("cigar"))).withColumn("b", F.explode(covers))
+    each = each.withColumn("step", F.explode(F.sequence(F.lit(0), F.col("b.len") - 1))).withColumn("p", F.col("pos") + F.col("b.at") + F.col("step"))
+    q = F.when(F.col("b.op") != "D", F.col("b.read_at") + F.col("step"))
+    size, at_end = F.col("b.then.len"), (F.col("step") == F.col("b.len") - 1) & (F.col("b.op") != "D")
+    signed = lambda text: F.when(reads.has(F.col("flag"), "reverse"), F.lower(text)).otherwise(F.upper(text))
+    inserted = F.concat(F.lit("+"), size.cast("string"), signed(F.substring(F.col("bases"), F.col("b.read_at") + F.col("b.len") + 1, size)))
+    deleted = F.concat(F.lit("-"), size.cast("string"), signed(F.repeat(F.lit("N"), size)))
+    indel = F.when(at_end & (F.col("b.then.op") == "I"), inserted).when(at_end & (F.col("b.then.op") == "D"), deleted).otherwise("")
+    return each.select(
+        "ref_id", "p", "seq", F.substring(F.col("bases"), q + 1, F.lit(1)).alias("base"), reads.phred(F.col("quals"), q).alias("quality"), "mapq",
+        reads.has(F.col("flag"), "reverse").alias("reverse"), ref.alias("ref"), (F.col("p") == F.col("pos")).alias("first"), (F.col("p") == F.col("end") - 1).alias("last"), indel.alias("indel"),
+    )
+
+
 def pileup_lines(cells: DataFrame, mapq: bool = False) -> DataFrame:
     """ref_id, pos (1-based), ref, depth, text, quals (and mapqs) of each place.
 
@@ -88,7 +109,8 @@ def pileup_lines(cells: DataFrame, mapq: bool = False) -> DataFrame:
     sign = F.when(same, F.when(F.col("reverse"), ",").otherwise(".")).otherwise(F.when(F.col("reverse"), F.lower("base")).otherwise(F.upper("base")))
     start = F.when(F.col("first"), F.concat(F.lit("^"), F.char(F.least(F.col("mapq"), F.lit(93)) + 33))).otherwise("")
     text = F.concat(start, F.when(F.col("base").isNull(), "*").otherwise(F.concat(sign, F.col("indel"))), F.when(F.col("last"), "$").otherwise(""))
-    one = F.struct("seq", text.alias("text"), F.coalesce(F.char(F.col("quality") + 33), F.lit("")).alias("quality"), F.char(F.least(F.col("mapq"), F.lit(93)) + 33).alias("m"))
+    quality = F.coalesce(F.char(F.col("quality") + 33), F.lit("")).alias("quality")
+    one = F.struct("seq", text.alias("text"), quality, F.char(F.least(F.col("mapq"), F.lit(93)) + 33).alias("m"))
     rows = cells.groupBy("ref_id", "p").agg(F.first("ref").alias("ref"), F.count(F.lit(1)).alias("depth"), F.sort_array(F.collect_list(one)).alias("r"))
     joined = lambda name: F.array_join(F.transform("r", lambda r: r[name]), "")
     more = [joined("m").alias("mapqs")] if mapq else []

@@ -224,8 +224,18 @@ def feature_boxes(spark: SparkSession, folder: str) -> DataFrame:
 # Calls as rows ------------------------------------------------------------------------------
 
 
+_FIELDS = "concat_ws(':', {s}.ns[ref + 1], {s}.ns[alt + 1], {s}.ins, {s}.dels, {s}.n_all, {gt}, {pl})"
+
+
 @query(
     "vcf_rows",
+    f"WITH {READS_SQL}, {PAIRS_SQL}, {calling.CONTEXT_SQL}, {calling._GENOTYPES_SQL}, probable AS (SELECT *, round(t.ns[alt + 1] / t.n_all, 4) AS pr FROM shares), "
+    "flagged AS (SELECT *, CASE WHEN (t.indel_A + t.indel_C + t.indel_G + t.indel_T) / t.n_all > 0.05 THEN 'INDL' ELSE 'PASS' END AS flag, "
+    "CASE WHEN pr = 0 THEN 0.0 WHEN pr = 1 THEN 100.0 ELSE -10 * log10(1 - pr) END AS qual FROM probable WHERE pr >= 0.3) "
+    "SELECT f.ref_id, f.pos, concat_ws(chr(9), 'chr' || (f.ref_id + 1), f.pos, '.', substr('ACGT', ref::INT + 1, 1), substr('ACGT', alt::INT + 1, 1), printf('%.2f', round_even(qual, 2)), flag, "
+    "'PR=' || printf('%.2f', round_even(pr, 2)) || ';TC=' || x.trinucleotide, 'RC:AC:NI:ND:DP:GT:PL', "
+    + _FIELDS.format(s="t", gt=calling._GT.format(s="t"), pl=calling._PL.format(s="t")) + ", " + _FIELDS.format(s="n", gt=calling._GT.format(s="n"), pl=calling._PL.format(s="n"))
+    + ") AS line FROM flagged f JOIN context x ON f.ref_id = x.ref_id AND f.pos = x.pos",
 )
 def vcf_rows(spark: SparkSession, folder: str) -> DataFrame:
     found = calling.with_context(calling.candidates(spark, folder), calling.reference_chunks(spark, folder))

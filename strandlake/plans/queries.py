@@ -25,7 +25,8 @@ def query(name: str, sql: str | None = None, extra: str = ""):
     def register(f):
         QUERIES[name] = lambda spark, folder: f(derived.alignments(spark, folder))
         if sql:
-            ORACLE_SQL[name] = f"WITH {READS_SQL}{',' + extra if extra else ''} {sql}"
+            common = READS_SQL + (f",{extra}" if extra else "")
+            ORACLE_SQL[name] = f"WITH {common}{',' if sql.startswith('marks AS') else ''} {sql}"
         return f
 
     return register
@@ -323,3 +324,30 @@ PILE_COLUMNS = [
 @query("pileup_tuples", f"SELECT {', '.join(PILE_COLUMNS)}, round(entropy, 6) AS entropy FROM pile", PILEUP_SQL)
 def pileup_tuples(aln: DataFrame) -> DataFrame:
     return pileup.pileup(aln).select(*PILE_COLUMNS, rounded("entropy").alias("entropy"))
+
+
+@query(
+    "convert_pileup",
+    """, marks AS (
+        SELECT ref_id, p, seq, (flag & 16) <> 0 AS rev, CASE WHEN o = 0 THEN '^' || chr(33 + mapq) ELSE '' END AS head, CASE WHEN o = span - 1 THEN '$' ELSE '' END AS tail, gone,
+            substr('ACGTN', b::INT + 1, 1) AS base, substr('ACGT', rb::INT + 1, 1) AS ref, chr((33 + bq)::INT) AS bqc,
+            CASE WHEN ln = 2 AND o = 19 THEN '+1' || substr('ACGT', ((ok + ln + 20) % 4)::INT + 1, 1) WHEN ln = 3 AND o = 24 THEN '-2NN' ELSE '' END AS indel
+        FROM cell
+    ),
+    said AS (
+        SELECT *, head || CASE WHEN gone THEN '*' ELSE CASE WHEN base = ref THEN CASE WHEN rev THEN ',' ELSE '.' END WHEN rev THEN lower(base) ELSE base END
+            || CASE WHEN rev THEN lower(indel) ELSE indel END END || tail AS text FROM marks
+    )
+    SELECT ref_id, p + 1 AS pos, any_value(ref) AS ref, count(*) AS depth, string_agg(text, '' ORDER BY seq, text, bqc) AS text FROM said GROUP BY ref_id, p""".lstrip(", "),
+)
+def convert_pileup(aln: DataFrame) -> DataFrame:
+    index = derived.reference_base(F.col("ref_id").cast("long"), F.col("p").cast("long")).cast("int")
+    cells = formats.pileup_cells(aln, F.substring(F.lit("ACGT"), index + 1, F.lit(1)))
+    return formats.pileup_lines(cells).select("ref_id", "pos", "ref", "depth", "text")
+
+
+@query("mean_coverage", "SELECT sample, round(sum(coverage) / count(*), 6) AS mean, count(*) AS places FROM pile GROUP BY sample", PILEUP_SQL)
+def mean_coverage(aln: DataFrame) -> DataFrame:
+    """The mean depth of counted places before quality, by sample."""
+    piles = pileup.pileup(aln)
+    return piles.groupBy("sample").agg(rounded(F.sum("coverage") / F.count(F.lit(1))).alias("mean"), F.count(F.lit(1)).alias("places"))
