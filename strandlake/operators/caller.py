@@ -46,20 +46,30 @@ def alternative(ref: Column, prefix: str = "t_") -> Column:
     return F.when(F.col(f"{prefix}major") == ref, F.col(f"{prefix}minor")).otherwise(F.col(f"{prefix}major"))
 
 
-def sample_fields(prefix: str, kind: str) -> list[Column]:
-    """RC, AC, NI, ND, DP, GT, PL of one sample, from ref and alt."""
-    depth, alt = F.col(f"{prefix}n_all"), at_index(prefix, "n", F.col("alt"))
-    shares = likelihood.genotype_shares(alt, depth, kind)
-    pl = F.concat_ws(",", *[likelihood.phred_likelihood(s).cast("string") for s in shares])
-    values = [at_index(prefix, "n", F.col("ref")), alt, F.col(f"{prefix}ins"), F.col(f"{prefix}dels"), depth, likelihood.genotype(shares), pl]
-    return [v.alias(f"{prefix}{n}") for v, n in zip(values, ("rc", "ac", "ni", "nd", "dp", "gt", "pl"))]
+def with_shares(named: DataFrame, samples: dict[str, str]) -> DataFrame:
+    """named (with alt) with the normalised genotype likelihoods of each sample, as _{prefix}shares.
+
+    Each step is a column of its own, so that later ones do not compute it again.
+    """
+    pair = lambda p: (at_index(p, "n", F.col("alt")), F.col(f"{p}n_all"))
+    out = named.withColumns({f"_{p}choose": likelihood.log_choose(*pair(p)) for p in samples})
+    out = out.withColumns({f"_{p}each": likelihood.genotype_likelihoods(*pair(p), kind, F.col(f"_{p}choose")) for p, kind in samples.items()})
+    return out.withColumns({f"_{p}shares": likelihood.genotype_shares(F.col(f"_{p}each")) for p in samples})
+
+
+def sample_fields(prefix: str) -> list[Column]:
+    """RC, AC, NI, ND, DP, GT, PL of one sample, from ref, alt and its shares."""
+    shares = F.col(f"_{prefix}shares")
+    pl = F.array_join(F.transform(shares, lambda s: likelihood.phred_likelihood(s).cast("string")), ",")
+    values = [at_index(prefix, "n", F.col("ref")), at_index(prefix, "n", F.col("alt")), F.col(f"{prefix}ins"), F.col(f"{prefix}dels"), F.col(f"{prefix}n_all")]
+    return [v.alias(f"{prefix}{n}") for v, n in zip([*values, likelihood.genotype(shares), pl], ("rc", "ac", "ni", "nd", "dp", "gt", "pl"))]
 
 
 def calls(candidates: DataFrame, samples: dict[str, str]) -> DataFrame:
     """candidates (with ref, and trinucleotide) with alt, indel share and each sample's fields; samples: prefix to kind."""
-    named = candidates.withColumn("alt", alternative(F.col("ref")))
+    named = with_shares(candidates.withColumn("alt", alternative(F.col("ref"))), samples)
     share = (sum((F.col(f"t_indel_{b}") for b in BASES[1:]), F.col("t_indel_A")) / F.col("t_n_all")).alias("indel_share")
-    fields = [f for prefix, kind in samples.items() for f in sample_fields(prefix, kind)]
+    fields = [f for prefix in samples for f in sample_fields(prefix)]
     more = [c for c in ("trinucleotide", "probability") if c in candidates.columns]
     return named.select(*PLACE, "ref", "alt", share, *more, *fields)
 
@@ -91,5 +101,5 @@ def heterozygous(pairs: DataFrame) -> DataFrame:
     pairs has ref; candidates are chosen on the normal sample alone.
     """
     chosen = pairs.filter((F.col("ref") < 4) & (other_counts(F.col("ref"), "n_") >= 2))
-    named = chosen.withColumn("alt", alternative(F.col("ref"), "n_"))
-    return named.select(*PLACE, "ref", "alt", *sample_fields("n_", "n"), *sample_fields("t_", "t")).filter("n_gt = '0/1'")
+    named = with_shares(chosen.withColumn("alt", alternative(F.col("ref"), "n_")), {"n_": "n", "t_": "t"})
+    return named.select(*PLACE, "ref", "alt", *sample_fields("n_"), *sample_fields("t_")).filter("n_gt = '0/1'")

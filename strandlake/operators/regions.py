@@ -93,12 +93,14 @@ def plan(
 
 def flanks(targets: DataFrame, manifest: DataFrame) -> DataFrame:
     """targets with the one region that each lies in, as left and right; null outside all; several are an error."""
-    named = targets.withColumn("_id", F.monotonically_increasing_id())
-    stop = F.when(F.col("start") == F.col("stop"), F.col("stop")).otherwise(F.col("stop") - 1)
-    met = overlap_join(named.select("_id", "chrom", "start", stop.alias("stop")), manifest.select("chrom", "start", (F.col("stop") - 1).alias("stop")))
-    one = met.groupBy("_id").agg(F.count(F.lit(1)).alias("n"), F.min("r_start").alias("left"), F.min("r_stop").alias("right"))
-    checked = one.withColumn("left", F.when(F.col("n") > 1, F.raise_error(F.lit("a position lies in several regions")).cast("long")).otherwise(F.col("left")))
-    return named.join(checked.select("_id", "left", (F.col("right") + 1).alias("right")), "_id", "left").drop("_id")
+    place = ["chrom", "start", "stop"]
+    last = F.when(F.col("start") == F.col("stop"), F.col("stop")).otherwise(F.col("stop") - 1)
+    looked = targets.select(*place, F.col("stop").alias("_stop")).distinct().withColumn("stop", last)
+    met = overlap_join(looked, manifest.select("chrom", "start", (F.col("stop") - 1).alias("stop")))
+    one = met.groupBy("chrom", "start", "_stop").agg(F.count(F.lit(1)).alias("n"), F.min("r_start").alias("left"), F.min("r_stop").alias("right"))
+    several = F.raise_error(F.lit("a position lies in several regions")).cast("long")
+    found = one.select("chrom", "start", F.col("_stop").alias("stop"), F.when(F.col("n") > 1, several).otherwise(F.col("left")).alias("left"), (F.col("right") + 1).alias("right"))
+    return targets.join(found, place, "left")
 
 
 def reads_in_regions(alignments: DataFrame, regions: DataFrame, end: Column) -> DataFrame:

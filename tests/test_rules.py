@@ -41,8 +41,9 @@ def test_finishing(spark):
 def test_genotypes(spark):
     rows = [(2, 17, "0/0", "0,10,255"), (4, 16, "0/1", "32,0,255"), (2, 26, "0/0", "0,36,255")]
     df = spark.createDataFrame(rows, "alt int, depth int, gt string, pl string")
-    shares = likelihood.genotype_shares(F.col("alt"), F.col("depth"), "n")
-    pl = F.concat_ws(",", *[likelihood.phred_likelihood(s).cast("string") for s in shares])
+    choose = likelihood.log_choose(F.col("alt"), F.col("depth"))
+    shares = likelihood.genotype_shares(likelihood.genotype_likelihoods(F.col("alt"), F.col("depth"), "n", choose))
+    pl = F.array_join(F.transform(shares, lambda s: likelihood.phred_likelihood(s).cast("string")), ",")
     for r in df.select("gt", "pl", likelihood.genotype(shares).alias("g"), pl.alias("p")).collect():
         assert (r["g"], r["p"]) == (r["gt"], r["pl"])
 
