@@ -100,9 +100,48 @@ QUERIES = {
     "op10_sentencepiece": op10_sentencepiece,
 }
 
+WORD_SQL = r"[^\x20\x09-\x0D]+"
 SPACES_SQL = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
 
+
+
+def secrets_sql() -> str:
+    """Places of matches are the lengths of all pieces and matches before them."""
+    found = []
+    for k, (name, pattern, group, least, measured) in enumerate(secrets.KINDS):
+        regex = pattern.replace("'", "''")
+        found.append(
+            f"SELECT r, {k} AS kind, '{name}' AS name, regexp_extract_all(text, '{regex}') AS m, regexp_extract_all(text, '{regex}', {group}) AS v, "
+            f"regexp_split_to_array(text, '{regex}') AS g, {least} AS least, {'true' if measured else 'false'} AS by_value FROM docs"
+        )
+    return f"""
+        WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, source, lang FROM documents),
+        found AS ({' UNION ALL '.join(found)}),
+        hits AS (
+            SELECT r, kind, name, unnest(v) AS value, unnest(list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(g[1:i], lambda x: length(x)))
+                + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)))::BIGINT AS s, unnest(list_transform(m, lambda x: length(x))) AS n, least, by_value
+            FROM found WHERE len(m) > 0
+        ),
+        good AS (SELECT h.*, source, lang FROM hits h JOIN docs USING (r) WHERE CASE WHEN by_value THEN length(value) ELSE n END >= least),
+        held AS (
+            SELECT value, count(DISTINCT coalesce(source, chr(1))) >= {secrets.EXAMPLE_OWNERS}
+                OR count(DISTINCT (coalesce(source, chr(1)), coalesce(lang, chr(1)))) >= {secrets.EXAMPLE_REPOSITORIES} AS example
+            FROM good GROUP BY value
+        ),
+        spans AS (SELECT g.*, example, kind < {secrets.BASE_KINDS} AS base, name || ':' || s || ':' || (s + n) AS said FROM good g JOIN held USING (value)),
+        agg AS (
+            SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+                string_agg(said, ',' ORDER BY s, kind) FILTER (base) AS b, string_agg(said, ',' ORDER BY s, kind) FILTER (base OR NOT example) AS a,
+                count(*) FILTER (NOT example) AS n_live, count(*) FILTER (example) AS n_example
+            FROM spans GROUP BY r
+        )
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256,
+            coalesce(a, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+        FROM docs LEFT JOIN agg USING (r)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op6_secret_scans": secrets_sql(),
     "op4_line_dedup": f"""
         WITH docs AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
         each AS (SELECT r, doc_id, unnest(l) AS line, unnest(range(len(l))) AS i FROM docs),
@@ -114,6 +153,36 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
             sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
         FROM marked GROUP BY r, doc_id""",
+    "op5_quality_rules": rf"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD_SQL}') AS w,
+                string_split(coalesce(text, ''), chr(10)) AS l
+            FROM documents
+        ),
+        windows AS (SELECT r, i, w[i + 1:i + 8] AS x FROM (SELECT r, w, unnest(range(len(w) - 7)) AS i FROM docs WHERE len(w) >= 8)),
+        again AS (SELECT r, list(i) AS spots FROM windows GROUP BY r, x HAVING count(*) > 1),
+        covered AS (SELECT r, count(DISTINCT i + k) AS n FROM (SELECT r, i, unnest(range(8)) AS k FROM (SELECT r, unnest(spots) AS i FROM again)) GROUP BY r),
+        lines AS (SELECT r, line, regexp_extract_all(line, '{WORD_SQL}') AS w FROM (SELECT r, unnest(l) AS line FROM docs)),
+        rated AS (
+            SELECT r, len(w) AS n, len(w) > 0 AND (
+                (len(w) < 6 AND NOT regexp_matches(trim(line, {SPACES_SQL}), '[.!?:;…。！？।][''")\]”’»]*$'))
+                OR (len(w) <= 25 AND regexp_matches(line, '(?i)\b(?:all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|uses? cookies|accept (?:all )?cookies|enable javascript|click here|read more|sign up (?:now|for)|log ?in to|subscribe to our|share (?:this|on)|follow us|back to top|skip to (?:main )?content|lorem ipsum|licensed under|released under the)\b'))
+                OR (len(list_filter(string_split(replace(line, chr(9), ' '), ' '), lambda x: regexp_full_match(x, '[|»›·>•/]+'))) >= 2
+                    AND len(list_filter(string_split(replace(line, chr(9), ' '), ' '), lambda x: regexp_full_match(x, '[|»›·>•/]+'))) * 4 >= len(w))
+                OR len(list_filter(w, lambda x: regexp_matches(x, '([#*$%&|<>]{{2,}}|[!?]{{2,}})$'))) * 100 > len(w) * 30
+            ) AS fails
+            FROM lines
+        ),
+        lost AS (SELECT r, sum(n) AS n FROM rated WHERE fails GROUP BY r),
+        facts AS (
+            SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+                len(list_filter(l, lambda x: regexp_matches(x, '{WORD_SQL}'))) - len(list_distinct(list_filter(l, lambda x: regexp_matches(x, '{WORD_SQL}')))) AS n_dup_lines,
+                coalesce(covered.n, 0) AS n_repeat_words, (len(w) - coalesce(lost.n, 0))::BIGINT AS n_kept_words
+            FROM docs LEFT JOIN covered USING (r) LEFT JOIN lost USING (r)
+        )
+        SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+            NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 100 * n_kept_words >= 50 * n_words AS kept
+        FROM facts""",
     "op7_url_filters": """
         WITH cut AS (
             SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages

@@ -5,6 +5,7 @@ import hashlib
 import re
 
 import pytest
+from llm_oracle import same
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -64,6 +65,11 @@ def test_quality_counts(odd, docs):
             assert not (r["kept"] and r["base_failed"])
 
 
+def test_sql(spark):
+    same(spark, queries, "op5_quality_rules", "/root/testdata/sf0.01")
+    same(spark, queries, "op6_secret_scans", "/root/testdata/sf0.01")
+
+
 def test_quality_lines(spark):
     first = "This is a line of plain prose that ends as a sentence should end."
     second = "Here another sentence follows, with quite different words in it, so that nothing repeats."
