@@ -126,9 +126,8 @@ def with_verdicts(facts: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with failing lines removed; all columns of docs."""
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    facts = quality(row.select(F.col("row").alias("doc_id"), F.col("row.text").alias("text")))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    # An exploded array keeps the filter from judging each text a second time.
+    facts = with_verdicts(docs.select(row, F.explode(F.array(judged(F.col("text")))).alias("j")).select("row", "j.*"))
     clean_values = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
-    return facts.filter("kept").select(
-        *[clean_values.get(c, F.col(f"doc_id.`{c}`")).alias(c) for c in docs.columns]
-    )
+    return facts.filter("kept").select(*[clean_values.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
