@@ -6,16 +6,18 @@ m different pages that have a node, its presentation matters as far as the entro
 its rows of children goes (to base m), and its content as far as its texts and links
 differ from page to page: a text on k of m pages adds log(k) / log(m) to what is
 common. A branch's importance joins its own presentation and the content of all that it
-holds. Branches of low importance are removed from each page, with those whose tag or
+holds. Branches of low importance, with no node of a higher one, are removed from each page, with those whose tag or
 name says that they are menus, adverts, notices, forms, comments and the like.
 
+What counts as low follows the site: the node with the most text of its own is its
+reference, and a branch may be LACK_FACTOR times as common as that, and LACK more. So a
+site of copies, whose main text is as common as its menus, loses nothing, and neither
+does what a page's author marks as its article.
+
 The tree is counted in partial sums by host, path and value, so that no host, path or
 text is gathered in one task; only the paths of low importance come back to the pages.
-
-What a page's author marks as its article is never removed by the tree alone, so that a
-site of copies keeps its text. A page that marks an article, or else a main part, is
-taken to be what that holds; a page that removal leaves empty keeps what the tree
-would remove.
+What is left of a page that marks an article, or else a main part, is what lies in it;
+a page that removal leaves empty keeps what the tree would remove.
 
 Defined results: null or empty html gives an empty text; a null url, or one without a
 host, belongs to the empty host; repeated rows give equal rows and count once in the
@@ -39,7 +41,8 @@ from strandlake.llm.shared import ascii_lower, staged
 
 #: How much of a branch's importance is the content it holds; the rest is its own presentation.
 CONTENT_SHARE = 0.9
-MIN_IMPORTANCE = 0.35
+LACK_FACTOR = 4.0
+LACK = 0.04
 #: Nodes on fewer different pages of their host say nothing about it.
 MIN_PAGES = 5
 #: Elements that lie deeper belong to the node at this depth.
@@ -110,8 +113,8 @@ class Page:
 
     def __init__(self, source: str | None, tree: bool):
         self.blocks: list[Block] = []
-        #: path: (all paths from the top to it, rows of children, texts and links, whether inside an article)
-        self.nodes: dict[int, tuple[tuple[int, ...], list[str], set[int], bool]] = {}
+        #: path: (all paths from the top to it, rows of children, sizes of texts (0: links) by hash, whether inside an article)
+        self.nodes: dict[int, tuple[tuple[int, ...], list[str], dict[int, int], bool]] = {}
         self.tree = tree
         self.stack = [Node("", (), False, False, False)]
         self.open: Counter[str] = Counter()
@@ -151,7 +154,7 @@ class Page:
                 top = self.stack[-1]
                 self.blocks.append(Block(text, top.above, top.noise, top.article, top.main))
                 if self.tree and top.above:
-                    self.nodes[top.above[-1]][2].add(signed(text))
+                    self.nodes[top.above[-1]][2][signed(text)] = len(text)
 
     def start(self, tag: str, attributes: str) -> None:
         if tag in BLOCKS or tag in NOISE or tag in RAW:
@@ -176,9 +179,9 @@ class Page:
             above = (*above, signed(f"{above[-1] if above else 0}>{label}"))
         if self.tree:
             if above[-1] not in self.nodes:
-                self.nodes[above[-1]] = above, [], set(), top.article or tag == "article"
+                self.nodes[above[-1]] = above, [], {}, top.article or tag == "article"
             if link:
-                self.nodes[above[-1]][2].add(signed(link))
+                self.nodes[above[-1]][2].setdefault(signed(link), 0)
         if tag in VOID or attributes.endswith("/") and tag not in BLOCKS:
             return
         article, main = top.article or tag == "article", top.main or tag == "main" or role == "main"
@@ -223,11 +226,11 @@ class Page:
     def text(self, common: frozenset[int] = frozenset()) -> str:
         """The blocks that are part of the article, given the paths that are common to the site."""
         clean = [b for b in self.blocks if not b.noise]
-        for part in ([b for b in clean if b.article], [b for b in clean if b.main]):
+        left = [b for b in clean if common.isdisjoint(b.paths)] or clean
+        for part in ([b for b in left if b.article], [b for b in left if b.main]):
             if part:
                 return "\n".join(b.text for b in part)
-        rare = [b for b in clean if common.isdisjoint(b.paths)]
-        return "\n".join(b.text for b in rare or clean)
+        return "\n".join(b.text for b in left)
 
 
 def with_host(pages: DataFrame) -> DataFrame:
@@ -236,7 +239,7 @@ def with_host(pages: DataFrame) -> DataFrame:
 
 
 def site_nodes(pages: DataFrame) -> DataFrame:
-    """host, page, path, above, article, kind, value: what each page adds to its host's tree.
+    """host, page, path, above, article, kind, value, size: what each page adds to its host's tree.
 
     Kind 0 is the row of children of a node, one for each page; kind 1 its texts and links.
     """
@@ -247,48 +250,59 @@ def site_nodes(pages: DataFrame) -> DataFrame:
             for host, source in zip(frame["host"], frame["html"]):
                 name = signed(source or "")
                 for path, (above, children, values, article) in Page(source, tree=True).nodes.items():
-                    rows.append((host, name, path, above, article, 0, signed("|".join(sorted(set(children))))))
-                    rows += [(host, name, path, above, article, 1, v) for v in values]
-            yield pd.DataFrame(rows, columns=["host", "page", "path", "above", "article", "kind", "value"])
+                    rows.append((host, name, path, above, article, 0, signed("|".join(sorted(set(children)))), 0))
+                    rows += [(host, name, path, above, article, 1, v, size) for v, size in values.items()]
+            yield pd.DataFrame(rows, columns=["host", "page", "path", "above", "article", "kind", "value", "size"])
 
-    schema = "host string, page long, path long, above array<long>, article boolean, kind int, value long"
+    schema = "host string, page long, path long, above array<long>, article boolean, kind int, value long, size int"
     return pages.select("host", "html").mapInPandas(batches, schema)
 
 
 def importances(pages: DataFrame) -> DataFrame:
-    """host, path, pages, presentation, content, importance, for all nodes outside articles."""
-    of_page = site_nodes(pages).filter("not article").groupBy("host", "path", "kind", "value", "page").agg(F.first("above").alias("above"))
-    times = of_page.groupBy("host", "path", "kind", "value").agg(F.count(F.lit(1)).alias("k"), F.first("above").alias("above"))
-    style, shared = F.col("kind") == 0, F.log(F.col("k").cast("double"))
+    """host, path, article, pages, presentation, content, best, importance and least, for all nodes.
+
+    content is that of the whole branch, best the content of its best node, least the
+    importance that a branch of this host would need.
+    """
+    key = ["host", "path", "kind", "value"]
+    facts = [F.first(c).alias(c) for c in ("above", "article", "size")]
+    times = site_nodes(pages).groupBy(*key, "page").agg(*facts).groupBy(*key).agg(F.count(F.lit(1)).alias("k"), *facts)
+    style, k = F.col("kind") == 0, F.col("k")
+    shared = k * F.log(k.cast("double"))
+    none = lambda c: F.coalesce(c, F.lit(0.0))
     nodes = times.groupBy("host", "path").agg(
-        F.first("above").alias("above"),
-        F.sum(F.when(style, F.col("k"))).alias("m"),
-        F.sum(F.when(style, F.col("k") * shared)).alias("style_sum"),
-        F.coalesce(F.sum(F.when(~style, shared)), F.lit(0.0)).alias("content_sum"),
-        F.count(F.when(~style, 1)).alias("n_values"),
-    )
+        F.first("above").alias("above"), F.first("article").alias("article"), F.sum(F.when(style, k)).alias("m"),
+        none(F.sum(F.when(style, shared))).alias("style_sum"), none(F.sum(F.when(~style, shared))).alias("shared_sum"),
+        none(F.sum(F.when(~style, k)).cast("double")).alias("n"), none(F.sum(k * F.col("size")).cast("double")).alias("text"),
+    )
     base = F.log(F.col("m").cast("double"))
+    alone = F.col("m") <= 1
     rated = staged(
         nodes.select(
-            "host", "path", "above", "m", "n_values",
-            F.when(F.col("m") > 1, 1 - F.col("style_sum") / (F.col("m") * base)).otherwise(1.0).alias("presentation"),
-            F.when(F.col("m") > 1, F.col("n_values") - F.col("content_sum") / base).otherwise(F.col("n_values").cast("double")).alias("content"),
+            "host", "path", "above", "article", "m", "n", "text",
+            F.when(alone, 1.0).otherwise(1 - F.col("style_sum") / (F.col("m") * base)).alias("presentation"),
+            F.when(alone, 0.0).otherwise(F.col("shared_sum") / base).alias("common"),
         ),
         "nodes",
     )
+    lack = F.try_divide(F.col("common"), F.col("n"))
+    # The node with the most text of its own tells how common a site's main text is.
+    main = rated.filter("n > 0").groupBy("host").agg(F.max_by(lack, F.struct("text", "path")).alias("main_lack"))
     branch = (
-        rated.select("host", F.explode("above").alias("path"), "content", "n_values")
-        .groupBy("host", "path").agg((F.try_divide(F.sum("content"), F.sum("n_values"))).alias("content"))
+        rated.select("host", F.explode("above").alias("path"), "common", "n", F.when(F.col("n") > 0, 1 - lack).alias("own"))
+        .groupBy("host", "path").agg(F.try_divide(F.sum("n") - F.sum("common"), F.sum("n")).alias("content"), F.max("own").alias("best"))
     )
-    both = rated.drop("content").join(branch, ["host", "path"])
-    importance = (1 - CONTENT_SHARE) * F.col("presentation") + CONTENT_SHARE * F.coalesce("content", "presentation")
-    return both.select("host", "path", F.col("m").alias("pages"), "presentation", "content", importance.alias("importance"))
+    both = rated.join(branch, ["host", "path"]).join(main, "host")
+    importance = (1 - CONTENT_SHARE) * F.col("presentation") + CONTENT_SHARE * F.coalesce("content", F.lit(1.0))
+    least = CONTENT_SHARE * (1 - LACK_FACTOR * F.col("main_lack") - LACK)
+    return both.select("host", "path", "article", F.col("m").alias("pages"), "presentation", "content", "best", importance.alias("importance"), least.alias("least"))
 
 
-def extracted(pages: DataFrame, min_importance: float = MIN_IMPORTANCE, min_pages: int = MIN_PAGES) -> DataFrame:
+def extracted(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """page_id, url, text, for each row of pages."""
     hosted = with_host(pages)
-    low = importances(hosted).filter((F.col("importance") < min_importance) & (F.col("pages") >= min_pages))
+    low = importances(hosted).filter(~F.col("article") & (F.col("importance") < F.col("least")) & (F.col("pages") >= min_pages))
+    low = low.filter(F.coalesce(F.col("best"), F.lit(0.0)) * CONTENT_SHARE < F.col("least"))
     common = staged(low.groupBy("host").agg(F.collect_set("path").alias("common")), "common")
     size = common.agg(F.coalesce(F.sum(F.size("common") * 8 + F.length("host") + 16), F.lit(0))).first()[0]
     known = hosted.join(F.broadcast(common) if size <= BROADCAST_BYTES else common, "host", "left")

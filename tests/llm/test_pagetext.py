@@ -40,6 +40,18 @@ def test_site_tree(spark):
     assert pagetext.extracted(df.limit(0)).count() == 0
 
 
+def test_menus_from_a_pool(spark):
+    pool = [f"Entry {i}" for i in range(40)]
+    pages = []
+    for i in range(120):
+        menu = "".join(f"<span>{pool[(i * 7 + k) % 40]}</span>" for k in range(5))
+        body = "".join(f"<p>Paragraph {k} of page {i} says something of its own.</p>" for k in range(4))
+        pages.append((i, "http://h.com/", f"<body><div class=x>{menu}</div><div class=y><h1>Title {i}</h1>{body}</div></body>"))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in pagetext.extracted(df).collect()}
+    assert all(got[i].startswith(f"Title {i}\nParagraph 0 of page {i} ") and "Entry" not in got[i] for i in range(120))
+
+
 def test_copies_keep_their_text(spark):
     same = [(i, "http://h.com/", f"<body><p>All pages say this.</p><!-- {i} --></body>") for i in range(20)]
     got = {r["text"] for r in pagetext.extracted(spark.createDataFrame(same, "page_id long, url string, html string")).collect()}
