@@ -108,3 +108,9 @@ def reads_in_regions(alignments: DataFrame, regions: DataFrame, end: Column) ->
     spans = alignments.filter("ref_id >= 0").withColumns({"chrom": F.col("ref_id"), "start": F.col("pos"), "stop": end - 1})
     named = regions.select("region_id", F.col("ref_id").alias("chrom"), "start", (F.col("stop") - 1).alias("stop"))
     return overlap_join(spans, named).drop("chrom", "start", "stop", "r_start", "r_stop")
+
+
+def references_match(left: DataFrame, right: DataFrame) -> DataFrame:
+    """One row: whether the references (name, ref_id) that two sets share have the same ids."""
+    shared = left.select("name", F.col("ref_id").alias("a")).join(right.select("name", F.col("ref_id").alias("b")), "name")
+    return shared.agg(F.count(F.lit(1)).alias("shared"), (F.count_if(F.col("a") != F.col("b")) == 0).alias("same"))

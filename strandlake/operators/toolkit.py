@@ -250,16 +250,21 @@ def random_reads(spark: SparkSession, alignments: DataFrame, lengths: DataFrame,
     """n reads with replacement: a uniform reference, a uniform place on it, the next read that starts there or later.
 
     lengths has ref_id and length. Draws without a later read give none, so that fewer
-    than n can come. The next start is found in one pass over the places of both.
+    than n can come. A draw looks in its own bin of places first; for the others the
+    next bin that holds a read is found over the bins alone.
     """
     refs = lengths.withColumn("k", F.row_number().over(Window.orderBy("ref_id")) - 1)
     n_refs = refs.count()
     drawn = spark.range(n).select(F.col("id").alias("draw"), F.floor(F.rand(seed) * n_refs).alias("k"), F.rand(seed + 1).alias("u"))
-    places = drawn.join(F.broadcast(refs), "k").select("draw", "ref_id", F.floor(F.col("u") * F.col("length")).cast("int").alias("pos"))
+    places = drawn.join(F.broadcast(refs), "k").select("draw", "ref_id", F.floor(F.col("u") * F.col("length")).cast("int").alias("at"))
+    places = places.withColumn("bin", F.shiftright("at", reads.LINEAR_BITS))
     starts = alignments.filter("ref_id >= 0").groupBy("ref_id", "pos").agg(F.min("seq").alias("seq"))
-    both = starts.select("ref_id", "pos", "seq", F.lit(None).cast("long").alias("draw"), F.lit(1).alias("kind")).unionByName(
-        places.select("ref_id", "pos", F.lit(None).cast("long").alias("seq"), "draw", F.lit(0).alias("kind"))
-    )
-    later = Window.partitionBy("ref_id").orderBy("pos", "kind").rowsBetween(0, Window.unboundedFollowing)
-    found = both.withColumn("next", F.first("seq", ignorenulls=True).over(later)).filter("kind = 0 and next is not null")
-    return found.select("draw", F.col("next").alias("seq")).join(alignments, "seq")
+    starts = starts.withColumn("bin", F.shiftright("pos", reads.LINEAR_BITS))
+    near = places.join(starts, ["ref_id", "bin"]).filter("pos >= at").groupBy("draw").agg(F.min(F.struct("pos", "seq")).alias("next"))
+    bins = starts.groupBy("ref_id", "bin").agg(F.min(F.struct("pos", "seq")).alias("next"))
+    left = places.join(near, "draw", "left_anti").select("ref_id", "bin", "draw")
+    both = bins.select("ref_id", "bin", F.lit(None).cast("long").alias("draw"), "next").unionByName(left, allowMissingColumns=True)
+    later = Window.partitionBy("ref_id").orderBy("bin", F.col("draw").isNotNull()).rowsBetween(1, Window.unboundedFollowing)
+    far = both.withColumn("later", F.first("next", ignorenulls=True).over(later)).filter("draw is not null and later is not null")
+    found = near.unionByName(far.select("draw", F.col("later").alias("next")))
+    return found.select("draw", F.col("next.seq").alias("seq")).join(alignments, "seq")

@@ -255,3 +255,19 @@ def test_split_and_layout(spark, tmp_path):
     assert {r["split"] for r in spark.read.parquet(str(tmp_path / "s")).select("split").distinct().collect()} == {"TAG_RG_g0", "TAG_RG_g1"}
     places = [(r["ref_id"], r["pos"]) for r in toolkit.index_layout(df, 2).collect()]
     assert places == sorted(places)
+
+
+def test_random_reads(spark):
+    rows = [(i, 0, i * 7000, 60) for i in range(20)] + [(100 + i, 1, 500_000 + i * 3, 60) for i in range(5)] + [(999, -1, -1, 0)]
+    df = spark.createDataFrame(rows, "seq long, ref_id int, pos int, mapq int")
+    lengths = spark.createDataFrame([(0, 140_000), (1, 600_000)], "ref_id int, length int")
+    got = toolkit.random_reads(spark, df, lengths, 400, seed=3).collect()
+    assert 250 < len(got) < 400 and {r["ref_id"] for r in got} == {0, 1}
+    assert len({r["seq"] for r in got if r["ref_id"] == 0}) > 15
+    assert sum(r["seq"] == 100 for r in got) > 100
+
+
+def test_references_match(spark):
+    a = spark.createDataFrame([("chr1", 0), ("chr2", 1)], "name string, ref_id int")
+    b = spark.createDataFrame([("chr2", 0), ("chr3", 1)], "name string, ref_id int")
+    assert one(regions.references_match(a, a)) == {"shared": 2, "same": True} and one(regions.references_match(a, b)) == {"shared": 1, "same": False}
