@@ -269,7 +269,14 @@ def convert_sam(aln: DataFrame) -> DataFrame:
     return aln.select("seq", formats.sam(NAMES).alias("line"))
 
 
-@query("convert_json")
+@query(
+    "convert_json",
+    f"SELECT seq, json_object('name', name, 'alignmentFlag', flag::VARCHAR, 'reference', {NAMES_SQL}[ref_id + 1], 'position', pos + 1, 'mapQuality', mapq, 'cigar', cigar, "
+    f"'mateReference', {NAMES_SQL}[mate_ref_id + 1], 'matePosition', mate_pos + 1, 'insertSize', insert_size, 'queryBases', bases, "
+    "'qualities', list_transform(string_split(quals, ''), lambda c: ascii(c) - 33), 'tags', CASE WHEN ln = 1 THEN json_object('RG', rg, 'NM', nm::VARCHAR, 'OQ', reverse(quals)) "
+    "ELSE json_object('RG', rg, 'NM', nm::VARCHAR) END)::VARCHAR AS line FROM strings WHERE ref_id >= 0",
+    BASES_SQL,
+)
 def convert_json(aln: DataFrame) -> DataFrame:
     return aln.filter("ref_id >= 0").select("seq", formats.json_line(NAMES).alias("line"))
 
