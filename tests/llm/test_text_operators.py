@@ -198,3 +198,13 @@ def test_mix_rows(odd, docs):
         mixed[r["doc_id"]] += len(words(r["text"]))
         assert texts[r["doc_id"]].startswith(r["text"])
     assert +mixed == +taken
+
+
+def test_staged_tables_can_be_cleared(spark):
+    import os
+
+    from strandlake.llm import shared
+
+    shared.staged(spark.range(3), "test")
+    path = shared.STAGED[-1].removeprefix("file://")
+    assert os.path.isdir(path) and shared.clear_staged(spark) >= 1 and not os.path.exists(path) and not shared.STAGED
