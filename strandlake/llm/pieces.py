@@ -22,6 +22,8 @@ from __future__ import annotations
 import heapq
 import math
 import re
+import sys
+import types
 from collections.abc import Iterator
 
 import ahocorasick
@@ -285,6 +287,22 @@ def _text_of(data: bytearray) -> str:
 REPLACEMENT = "\N{REPLACEMENT CHARACTER}"
 
 
+def opened(path: str) -> Pieces:
+    """The model of a path, one for each worker process, with all that it remembers.
+
+    This code travels to the workers by value, so that each task has its own copy of
+    this module; what outlives a task is kept in a module that is made in the worker.
+    """
+    state = sys.modules.setdefault(STATE, types.ModuleType(STATE))
+    models = vars(state).setdefault("models", {})
+    if path not in models:
+        models[path] = Pieces(path)
+    return models[path]
+
+
+STATE = "strandlake_worker_state"
+
+
 def _parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The same rows, a few at a time: ids take many times the room of their text."""
     for frame in frames:
@@ -296,7 +314,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and the ids of its whole text, for each row of docs."""
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces = Pieces(path)
+        pieces = opened(path)
         for frame in _parts(frames):
             yield pd.DataFrame({"doc_id": frame["doc_id"], "ids": [pieces.encode(t) for t in frame["text"]]})
 
@@ -307,7 +325,7 @@ def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, the ids of its whole text, and the text that they decode to."""
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces = Pieces(path)
+        pieces = opened(path)
         for frame in _parts(frames):
             ids = [pieces.encode(t) for t in frame["text"]]
             yield pd.DataFrame({"doc_id": frame["doc_id"], "ids": ids, "decoded": [pieces.decode(i) for i in ids]})
