@@ -32,7 +32,8 @@ def draw(k: int) -> Column:
 
 def reference_base(ref: Column, pos: Column) -> Column:
     """The index of the reference's base at a 0-based place."""
-    return F.floor((pos * F.lit(1103515245).cast("long") + ref * 12345 + 7) % 2147483648 / 65536) % 4
+    mixed = (pos * F.lit(1103515245).cast("long") + ref * 12345 + 7).bitwiseAND(F.lit(2147483647).cast("long"))
+    return F.shiftright(mixed, 16).bitwiseAND(F.lit(3).cast("long"))
 
 
 def is_variant(ref: Column, pos: Column) -> Column:
@@ -42,13 +43,8 @@ def is_variant(ref: Column, pos: Column) -> Column:
 def read_base(ref: Column, pos: Column, offset: Column, ok: Column, ln: Column) -> Column:
     """The index of a read's base over a place of the reference: mostly that of the reference."""
     noise = (ok * 7919 + ln * 104729 + offset * 1299709) * 48271 % 2147483647 % 100
-    base = reference_base(ref, pos)
-    return (
-        F.when((noise == 99) & (offset % 10 == 0), 4)
-        .when(is_variant(ref, pos) & (ok % 4 == 1), (base + 2) % 4)
-        .when(noise < 1, (base + 1) % 4)
-        .otherwise(base)
-    )
+    shift = F.when((ok % 4 == 1) & is_variant(ref, pos), 2).when(noise < 1, 1).otherwise(0)
+    return F.when((offset % 10 == 0) & (noise == 99), 4).otherwise((reference_base(ref, pos) + shift).bitwiseAND(F.lit(3).cast("long")))
 
 
 def cigar(ln: Column) -> Column:
@@ -94,9 +90,10 @@ def alignments(spark: SparkSession, folder: str) -> DataFrame:
     mate = F.greatest(start + draw(9) + 72 - F.col("ln") * 30, F.lit(0))
     offsets = F.sequence(F.lit(0), F.lit(LENGTH - 1))
 
-    def base(i: Column) -> Column:
-        place = reference_offset(F.col("ln"), i)
-        over = read_base(ref, start + place, i.cast("long"), F.col("ok"), F.col("ln"))
+    places = F.transform(offsets, lambda i: start + reference_offset(F.col("ln"), i))
+
+    def base(place: Column, i: Column) -> Column:
+        over = read_base(ref, place, i.cast("long"), F.col("ok"), F.col("ln"))
         index = F.when(place.isNull(), (F.col("ok") + F.col("ln") + i) % 4).otherwise(over)
         return F.substring(F.lit(BASES), index.cast("int") + 1, 1)
 
@@ -120,7 +117,7 @@ def alignments(spark: SparkSession, folder: str) -> DataFrame:
         F.when(draw(10) < 10, (ref + 1) % REFERENCES).otherwise(ref).cast("int").alias("mate_ref_id"),
         mate.cast("int").alias("mate_pos"),
         F.when(mate >= start, mate - start + LENGTH).otherwise(mate - start - LENGTH).cast("int").alias("insert_size"),
-        F.array_join(F.transform(offsets, base), "").alias("bases"),
+        F.array_join(F.transform(places, base), "").alias("bases"),
         quals.alias("quals"),
         tags.alias("tags"),
     )
