@@ -11,11 +11,11 @@ component with the probability of their weighted Jaccard similarity.
 
 Equal texts (the same words in a row) are one text from the start. Texts whose bands
 agree meet in buckets. In each bucket the texts are compared with its most central one,
-and, where that has not connected the bucket, with its HUBS[-1] most central ones; a
-bucket of n texts so gives a few times n pairs, never all pairs. Every pair is checked
-by the overlap of the whole multisets. Classes are the connected components of the
-similar pairs. Texts that are similar only to texts that are central in none of their
-common buckets can be missed; README.md has the measured share.
+and, where that has not connected the bucket, with its HUBS[-1] most central ones.
+Buckets that are still not connected are finished exactly: their texts of different
+components are compared where their rarest shingles allow that they are similar (a
+prefix filter). Every pair is checked by the overlap of the whole multisets. Classes are
+the connected components of the similar pairs.
 
 Defined results: texts without words (null, empty, white space) are in no class but
 their own; rows with equal or null doc_ids are documents of their own; a class is named
@@ -38,8 +38,12 @@ SIMILARITY = 0.8
 #: Bands times rows are the components. A pair of similarity 0.8 is missed with a probability of 7 in a million.
 BANDS = 30
 ROWS = 5
-#: Texts of a bucket that the others are compared with, in the first round and in the second.
+#: Texts of a bucket that the others are compared with, in the first round and in the second; the rest is left to prefixes.
 HUBS = (1, 4)
+#: Texts with one rare unit that others are compared with in one part.
+PART = 256
+#: Prefixes of up to so many units are sent along, so that each pair is found once.
+SHORT = 64
 #: Shingles that are signed together.
 TOGETHER = 1 << 18
 #: Tables of ids of up to this size are sent to all tasks.
@@ -211,13 +215,52 @@ def similar_pairs(docs: DataFrame, texts: DataFrame, width: int, similarity: flo
         units = more if units is None else units.unionByName(more)
         now = staged(similar(pairs, units, similarity), "tested")
         tested = now if tested is None else tested.unionByName(now)
-        if n_hubs == HUBS[-1]:
-            return tested.filter("fits").select("tid", "hub")
-        # Buckets that are connected by now need no more pairs.
+        # Buckets that are connected by now, or all of whose pairs are known, need no more pairs.
         joined = components(tested.filter("fits")).withColumnRenamed("id", "tid")
         left = left.drop("component").join(joined, "tid", "left").withColumn("component", F.coalesce("component", "tid"))
-        open_buckets = left.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a != b").select("band")
-        left = staged(left.join(open_buckets, "band"), "left")
+        known = n_hubs + 1 if n_hubs == HUBS[-1] else 0
+        facts = left.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("size"))
+        left = staged(left.join(facts.filter((F.col("a") != F.col("b")) & (F.col("size") > known)).select("band"), "band"), "left")
+    found = tested.filter("fits").select("tid", "hub")
+    texts_left = staged(left.select("tid", "component").distinct(), "open")
+    if not texts_left.head(1):
+        return found
+    units = units.unionByName(multisets(docs, texts, texts_left.select("tid").join(units, "tid", "left_anti"), width))
+    pairs = prefix_pairs(texts_left.join(units, "tid"), similarity).join(tested, ["tid", "hub"], "left_anti")
+    return found.unionByName(similar(staged(pairs, "pairs"), units, similarity).filter("fits").select("tid", "hub"))
+
+
+def prefix_pairs(texts: DataFrame, similarity: float) -> DataFrame:
+    """tid, hub: all pairs of texts (tid, component, units) of different components that can be similar.
+
+    Of two similar texts, the first n - ceil(similarity * n) + 1 units of each, rarest
+    first, have one in common. The pairs of a unit that are in different components all
+    have a text outside of the component with most texts there; only those texts face
+    the others, which are dealt in parts of PART.
+    """
+    each = texts.select("tid", F.explode("units").alias("unit"))
+    times = each.groupBy("unit").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    rare = F.sort_array(F.collect_list(F.struct(F.coalesce("times", F.lit(1)).alias("times"), "unit")))
+    ranked = each.join(times, "unit", "left").groupBy("tid").agg(rare.alias("ranked"))
+    length = F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - F.lit(1e-9)) + 1
+    firsts = ranked.withColumn("n", F.size("ranked")).withColumn("ranked", F.slice("ranked", 1, length.cast("int")))
+    prefix = F.transform(F.filter("ranked", lambda u: u["times"] > 1), lambda u: u["unit"])
+    firsts = firsts.select("tid", "n", F.when(F.size(prefix) <= SHORT, prefix).alias("prefix"), F.posexplode("ranked").alias("at", "u")).filter("u.times > 1")
+    firsts = firsts.select("tid", F.col("n"), "prefix", "at", F.col("u.unit").alias("unit")).join(texts.select("tid", "component"), "tid")
+    firsts = staged(firsts, "prefixes")
+    shares = firsts.groupBy("unit", "component").agg(F.count(F.lit(1)).alias("k"))
+    units = shares.groupBy("unit").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.sum("k").alias("times"), F.count(F.lit(1)).alias("many"))
+    units = units.filter("many > 1").select("unit", "main", F.ceil(F.col("times") / PART).cast("int").alias("parts"))
+    dealt = staged(firsts.join(units, "unit"), "dealt")
+    others = dealt.withColumn("part", F.pmod(F.xxhash64("tid"), F.col("parts")).cast("int")).drop("parts")
+    few = dealt.filter("component != main").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    few = few.select("unit", "part", *[F.col(c).alias(f"own_{c}") for c in ("tid", "n", "prefix", "at", "component")])
+    once = (F.col("component") == F.col("main")) | (F.col("own_tid") > F.col("tid"))
+    first = F.coalesce(F.get(F.array_intersect("own_prefix", "prefix"), F.lit(0)) == F.col("unit"), F.lit(True))
+    most = F.least(F.col("own_n") - F.col("own_at"), F.col("n") - F.col("at"))
+    enough = most * (1 + similarity) >= (F.col("own_n") + F.col("n")) * similarity - 1e-9
+    met = few.join(others, ["unit", "part"]).filter((F.col("own_component") != F.col("component")) & once & sizes_allow(F.col("own_n"), F.col("n"), similarity) & enough & first)
+    return met.select(F.greatest("own_tid", "tid").alias("tid"), F.least("own_tid", "tid").alias("hub")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -86,3 +86,24 @@ def test_odd_rows(spark):
     kept = [r["doc_id"] for r in neardup.clean(odd).collect()]
     assert sorted(kept) == [1, 2, 3, 4, 6, 7, 9, 11] and neardup.clean(odd).columns == odd.columns
     assert neardup.classes(odd.limit(0)).count() == 0
+
+
+def test_pairs_far_from_central_texts(spark):
+    """Twins of a large family are found though each is similar to no other text of it."""
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(400)]
+
+    def edited(words, k):
+        out = [*words]
+        for at in rng.sample(range(0, 400, 5), k):
+            out[at + 2] = f"x{rng.random()}"
+        return out
+
+    rows = []
+    for _ in range(40):
+        one = edited(base, 14)
+        rows += [one, edited(one, 6)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    got = neardup.classes(docs, n_bands=6, rows=1).collect()
+    assert len({r["class_id"] for r in got}) == 40
+    check(docs, got)
