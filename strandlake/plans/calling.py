@@ -327,9 +327,19 @@ def single_features(spark: SparkSession, folder: str) -> DataFrame:
     return _features_frame(featured(spark, folder), features.single_features())
 
 
+def with_region(places: DataFrame) -> DataFrame:
+    return places.withColumn("region", F.concat_ws(":", "ref_id", F.floor(F.col("pos") / 1000)))
+
+
 def deep_places(spark: SparkSession, folder: str) -> DataFrame:
-    regions = featured(spark, folder).withColumn("region", F.concat_ws(":", "ref_id", F.floor(F.col("pos") / 1000)))
-    return features.with_background(features.with_background(regions, "t_"), "n_")
+    """Candidates with the backgrounds of all places of their regions, quiet ones among them."""
+    piled = with_region(pairs(spark, folder))
+    return features.with_background(features.with_background(with_region(featured(spark, folder)), "t_", piled), "n_", piled)
+
+
+def deep_single_places(spark: SparkSession, folder: str) -> DataFrame:
+    piled = with_region(with_reference(caller.single(piles(spark, folder))))
+    return features.with_background(with_region(featured(spark, folder)), "t_", piled)
 
 
 @query("deep_features", f"{_FACTS}, {BACKGROUND_SQL} SELECT ref_id, pos, {_features_sql(_DEEP)} FROM deep")
@@ -343,4 +353,4 @@ def deep_features(spark: SparkSession, folder: str) -> DataFrame:
 )
 def deep_single_features(spark: SparkSession, folder: str) -> DataFrame:
     more = {"background": features.clean(F.col("t_bg")), "background_p": features.clean(F.col("t_bg_p"))}
-    return _features_frame(deep_places(spark, folder), features.single_features(deep=True) | more)
+    return _features_frame(deep_single_places(spark, folder), features.single_features(deep=True) | more)

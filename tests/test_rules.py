@@ -271,3 +271,26 @@ def test_references_match(spark):
     a = spark.createDataFrame([("chr1", 0), ("chr2", 1)], "name string, ref_id int")
     b = spark.createDataFrame([("chr2", 0), ("chr3", 1)], "name string, ref_id int")
     assert one(regions.references_match(a, a)) == {"shared": 2, "same": True} and one(regions.references_match(a, b)) == {"shared": 1, "same": False}
+
+
+@pytest.mark.parametrize("kind", ["deep_features", "deep_single_features"])
+def test_background_of_all_places(spark, kind):
+    """A background's mean is over all places of a region but the focal one, quiet ones too."""
+    from strandlake.operators import caller
+    from strandlake.plans import calling
+
+    folder = "/root/testdata/sf0.001"
+    paired = kind == "deep_features"
+    piled = calling.pairs(spark, folder) if paired else calling.with_reference(caller.single(calling.piles(spark, folder)))
+    shares = {}
+    for r in piled.select("ref_id", "pos", "ref", *[f"t_n_{b}" for b in "ACGT"]).collect():
+        n = list(r)[3:]
+        other = max(x for i, x in enumerate(n) if i != r["ref"])
+        total = other + n[r["ref"]]
+        shares.setdefault((r["ref_id"], r["pos"] // 1000), {})[r["pos"]] = other / total if total else 0.0
+    name = "t_background" if paired else "background"
+    rows = calling.QUERIES[kind](spark, folder).select("ref_id", "pos", name).collect()
+    assert rows
+    for r in rows:
+        others = [v for p, v in shares[r["ref_id"], r["pos"] // 1000].items() if p != r["pos"]]
+        assert r[name] == pytest.approx(sum(others) / len(others) if others else 0, abs=2e-6)
