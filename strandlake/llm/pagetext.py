@@ -6,22 +6,34 @@ m different pages that have a node, its presentation matters as far as the entro
 its rows of children goes (to base m), and its content as far as its texts and links
 differ from page to page: a text on k of m pages adds log(k) / log(m) to what is
 common. A branch's importance joins its own presentation and the content of all that it
-holds. Branches of low importance, with no node of a higher one, are removed from each page, with those whose tag or
-name says that they are menus, adverts, notices, forms, comments and the like.
+holds. Branches of low importance, with no node of a higher one, are removed from each
+page, inside marked articles as well as outside; parts of a line go with their block.
 
 What counts as low follows the site: the node with the most text of its own is its
-reference, and a branch may be LACK_FACTOR times as common as that, and LACK more. So a
-site of copies, whose main text is as common as its menus, loses nothing, and neither
-does what a page's author marks as its article.
+reference, and a branch may be LACK_FACTOR times as common as that, and LACK more; within
+what a page marks as its article or main part, ARTICLE_LACK more. So a site of copies,
+whose main text is as common as its menus, loses nothing.
+
+Tags that are never part of an article (menus, forms, scripts) go as well. Names that
+tell of adverts, notices, comments and the like are a first guess that can be taken
+back: an element that holds a page's article or main part keeps it, and where next to
+nothing but such elements is left of a page that marks no article, they stay.
+
+Of what is left, the main part counts where it holds half of the text or more, and
+within that the articles where they hold a third or more; smaller articles beside other
+text are teasers, and go. A page that the tree would leave empty keeps what it removed.
+Removed parts of a line, such as a script or a hidden word, do not end its block.
 
 The tree is counted in partial sums by host, path and value, so that no host, path or
 text is gathered in one task; only the paths of low importance come back to the pages.
-What is left of a page that marks an article, or else a main part, is what lies in it;
-a page that removal leaves empty keeps what the tree would remove.
+They are sent to all tasks as long as their measured size is within bounds; beyond that
+pages are joined with them by host and a salt, so that no task gets all pages of a large
+host.
 
 Defined results: null or empty html gives an empty text; a null url, or one without a
 host, belongs to the empty host; repeated rows give equal rows and count once in the
-tree; an empty table gives an empty table; other columns are ignored.
+tree; an empty table gives an empty table; other columns are ignored. Elements that lie
+deeper than DEEPEST count as parts of the one at that depth, as they do in browsers.
 """
 
 from __future__ import annotations
@@ -43,19 +55,27 @@ from strandlake.llm.shared import ascii_lower, staged
 CONTENT_SHARE = 0.9
 LACK_FACTOR = 4.0
 LACK = 0.04
+#: The same for what a page marks as part of its article or main part.
+ARTICLE_LACK = 0.5
 #: Nodes on fewer different pages of their host say nothing about it.
 MIN_PAGES = 5
-#: Elements that lie deeper belong to the node at this depth.
-DEEPEST = 128
+#: Fixed value: the depth to which browsers nest elements.
+DEEPEST = 512
 #: Tables of paths of up to this size are sent to all tasks.
 BROADCAST_BYTES = 32 << 20
+#: Pages of one host that share a salt where the paths are too many to be sent.
+SALT_PAGES = 4096
+#: Shares of the text that is left: of the main part, and of the articles, to count alone.
+MAIN_SHARE, ARTICLE_SHARE = 0.5, 1 / 3
+#: Named elements stay if all other text is less than this share of theirs.
+REST_SHARE = 0.1
 
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
-    " header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul caption".split()
+    " header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul caption".split()
 )
 #: Elements that end an open one of their own kind, and what that may not reach beyond.
 SIBLINGS = {
@@ -63,20 +83,25 @@ SIBLINGS = {
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
-#: Elements, and words in classes, ids and roles, that are not part of an article.
+#: Elements that are not part of an article.
 NOISE = frozenset(
-    "head nav aside footer form script style noscript template iframe object svg math canvas audio video select button textarea dialog menu"
-    " title label input fieldset datalist".split()
+    "head nav aside footer form script style noscript template iframe object svg canvas audio video select button textarea menu"
+    " input fieldset datalist".split()
 )
+#: These are removed only outside an article or a main part.
+OUTSIDE = frozenset({"header", "title", "dialog"})
+#: Words in classes, ids and roles of elements that are seldom part of an article.
 NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner promo promotion sponsor sponsored cookie cookies consent gdpr notice"
     " notices popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended sidebar aside widget"
     " menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager footer comment comments reply replies respond disqus"
     " toolbar search skip hidden alert complementary contentinfo".split()
 )
+#: Elements with these words do not come back.
+ADVERT_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense promo sponsor sponsored cookie cookies consent gdpr".split())
 #: Names that begin so tell what stands beside an element.
 ABOUT_OTHERS = ("with-", "has-", "no-", "without-")
-#: These are removed only outside an article: inside, they hold its title.
+#: Words that count only outside an article: inside, such an element holds its title.
 HEADERS = frozenset({"header", "masthead"})
 
 TOKEN = re.compile(
@@ -89,17 +114,22 @@ NAME_PART = re.compile(r"[a-z]+")
 class Node:
     """An open element."""
 
-    __slots__ = ("tag", "above", "noise", "article", "main", "children")
+    __slots__ = ("tag", "above", "judged", "noise", "named", "final", "guesses", "article", "main", "children")
 
-    def __init__(self, tag: str, above: tuple[int, ...], noise: bool, article: bool, main: bool):
+    def __init__(self, tag: str, above: tuple[int, ...], noise: bool, named: bool, final: bool, guesses: tuple[Node, ...], article: bool, main: bool):
         self.tag, self.above, self.noise, self.article, self.main = tag, above, noise, article, main
+        #: The paths by which the tree may remove it: parts of a line go with their block only.
+        self.judged = above
+        #: Whether its own name speaks against it, for good or not, and the elements from the top to it of which that is so.
+        self.named, self.final, self.guesses = named, final, (*guesses, self) if named else guesses
         self.children: list[str] = []
 
 
 class Block(NamedTuple):
+    """What is left of a block of text: its own text, or that of named elements alone."""
+
     text: str
-    paths: tuple[int, ...]
-    noise: bool
+    named: str
     article: bool
     main: bool
 
@@ -108,17 +138,22 @@ def signed(data: str) -> int:
     return xxhash.xxh64_intdigest(data) - (1 << 63)
 
 
+def clean(pieces: list[str]) -> str:
+    return " ".join(html.unescape("".join(pieces)).split())
+
+
 class Page:
     """A page's blocks of text in order, and what it adds to its site's tree."""
 
     def __init__(self, source: str | None, tree: bool):
-        self.blocks: list[Block] = []
+        #: Each block as pieces with the elements that hold them.
+        self.blocks: list[list[tuple[str, Node]]] = []
         #: path: (all paths from the top to it, rows of children, sizes of texts (0: links) by hash, whether inside an article)
         self.nodes: dict[int, tuple[tuple[int, ...], list[str], dict[int, int], bool]] = {}
         self.tree = tree
-        self.stack = [Node("", (), False, False, False)]
+        self.stack = [Node("", (), False, False, False, (), False, False)]
         self.open: Counter[str] = Counter()
-        self.words: list[str] = []
+        self.pieces: list[tuple[str, Node]] = []
         self.read(source or "")
         self.block()
         while len(self.stack) > 1:
@@ -128,7 +163,7 @@ class Page:
         at = 0
         while (token := TOKEN.search(source, at)) is not None:
             if token.start() > at:
-                self.words.append(source[at : token.start()])
+                self.pieces.append((source[at : token.start()], self.stack[-1]))
             at = token.end()
             if (tag := token["tag"]) is None:
                 continue
@@ -141,26 +176,32 @@ class Page:
             self.start(tag, token["attributes"])
             if tag in RAW:
                 end = re.compile(f"</{tag}(?=[\\s/>]|\\Z)[^>]*>?", re.I).search(source, at)
+                if tag == "title":
+                    self.pieces.append((source[at : end.start() if end else len(source)], self.stack[-1]))
                 at = end.end() if end else len(source)
                 self.end(tag)
-        self.words.append(source[at:])
+        if at < len(source):
+            self.pieces.append((source[at:], self.stack[-1]))
 
     def block(self) -> None:
         """End the block of text that is open."""
-        if self.words:
-            text = " ".join(html.unescape("".join(self.words)).split())
-            self.words = []
-            if text:
-                top = self.stack[-1]
-                self.blocks.append(Block(text, top.above, top.noise, top.article, top.main))
-                if self.tree and top.above:
-                    self.nodes[top.above[-1]][2][signed(text)] = len(text)
+        if self.pieces:
+            self.blocks.append(self.pieces)
+            if self.tree:
+                own: dict[int, list[str]] = {}
+                for piece, node in self.pieces:
+                    if node.above:
+                        own.setdefault(node.above[-1], []).append(piece)
+                for path, pieces in own.items():
+                    if text := clean(pieces):
+                        self.nodes[path][2][signed(text)] = len(text)
+            self.pieces = []
 
     def start(self, tag: str, attributes: str) -> None:
-        if tag in BLOCKS or tag in NOISE or tag in RAW:
+        if tag in BLOCKS:
             self.block()
         elif tag == "br":
-            self.words.append(" ")
+            self.pieces.append((" ", self.stack[-1]))
         if tag in BLOCKS and tag not in ("html", "body"):
             self.close_up_to({"p"}, {"article", "section", "div", "td", "li", "body", "table", "button", "blockquote", "main", "form", "aside"})
         if tag in SIBLINGS:
@@ -179,18 +220,24 @@ class Page:
             above = (*above, signed(f"{above[-1] if above else 0}>{label}"))
         if self.tree:
             if above[-1] not in self.nodes:
-                self.nodes[above[-1]] = above, [], {}, top.article or tag == "article"
+                self.nodes[above[-1]] = above, [], {}, top.article or top.main
             if link:
                 self.nodes[above[-1]][2].setdefault(signed(link), 0)
         if tag in VOID or attributes.endswith("/") and tag not in BLOCKS:
             return
         article, main = top.article or tag == "article", top.main or tag == "main" or role == "main"
+        inside, whole = article or main, tag in ("html", "body")
         said = [n for n in f"{names} {role}".split() if not n.startswith(ABOUT_OTHERS)]
         parts = NAME_PART.findall(" ".join(said))
-        noise = top.noise or hidden or tag in NOISE or not NOISE_WORDS.isdisjoint(parts)
-        noise = noise or not (article or main) and (tag in HEADERS or not HEADERS.isdisjoint(parts) and tag not in ("html", "body"))
-        noise = noise and tag not in ("html", "body")
-        self.stack.append(Node(tag, above, noise, article, main))
+        named = not whole and (not NOISE_WORDS.isdisjoint(parts) or not inside and not HEADERS.isdisjoint(parts))
+        noise = top.noise or not whole and (hidden or tag in NOISE or not inside and tag in OUTSIDE)
+        if (tag in ("article", "main") or role == "main") and not named and not noise:
+            for node in top.guesses:
+                node.named = False
+        final = named and (tag not in BLOCKS or not ADVERT_WORDS.isdisjoint(parts))
+        self.stack.append(Node(tag, above, noise, named, final, top.guesses, article, main))
+        if tag not in BLOCKS:
+            self.stack[-1].judged = top.judged
         self.open[tag] += 1
 
     def close(self) -> None:
@@ -217,20 +264,45 @@ class Page:
             return
         for depth in range(len(self.stack) - 1, 0, -1):
             if self.stack[depth].tag == tag:
-                if tag in BLOCKS or tag in NOISE:
+                if tag in BLOCKS:
                     self.block()
                 while len(self.stack) > depth:
                     self.close()
                 return
 
+    def left(self, common: frozenset[int]) -> list[Block]:
+        """The blocks without what is noise or lies under a common path."""
+        out = []
+        for pieces in self.blocks:
+            own, named = [], []
+            for piece, node in pieces:
+                if not node.noise and common.isdisjoint(node.judged):
+                    against = [n for n in node.guesses if n.named]
+                    if not against:
+                        own.append(piece)
+                    elif not any(n.final for n in against):
+                        named.append(piece)
+            text, more = clean(own), clean(named) if named else ""
+            if text or more:
+                node = pieces[-1][1]
+                out.append(Block(text, more, node.article, node.main))
+        return out
+
     def text(self, common: frozenset[int] = frozenset()) -> str:
         """The blocks that are part of the article, given the paths that are common to the site."""
-        clean = [b for b in self.blocks if not b.noise]
-        left = [b for b in clean if common.isdisjoint(b.paths)] or clean
-        for part in ([b for b in left if b.article], [b for b in left if b.main]):
-            if part:
-                return "\n".join(b.text for b in part)
-        return "\n".join(b.text for b in left)
+        found = self.left(common)
+        if common and not any(b.text for b in found):
+            found = self.left(frozenset())
+        own, marked = sum(len(b.text) for b in found), any(b.text and (b.article or b.main) for b in found)
+        if not marked and own < REST_SHARE * sum(len(b.named) for b in found):
+            found = [b._replace(text=f"{b.text} {b.named}".strip()) for b in found]
+        found = [b for b in found if b.text]
+        size = lambda blocks: sum(len(b.text) for b in blocks)
+        if (main := [b for b in found if b.main]) and size(main) >= MAIN_SHARE * size(found):
+            found = main
+        if article := [b for b in found if b.article]:
+            found = article if size(article) >= ARTICLE_SHARE * size(found) else [b for b in found if not b.article]
+        return "\n".join(b.text for b in found)
 
 
 def with_host(pages: DataFrame) -> DataFrame:
@@ -294,18 +366,31 @@ def importances(pages: DataFrame) -> DataFrame:
     )
     both = rated.join(branch, ["host", "path"]).join(main, "host")
     importance = (1 - CONTENT_SHARE) * F.col("presentation") + CONTENT_SHARE * F.coalesce("content", F.lit(1.0))
-    least = CONTENT_SHARE * (1 - LACK_FACTOR * F.col("main_lack") - LACK)
+    lack = F.when(F.col("article"), ARTICLE_LACK).otherwise(LACK)
+    least = CONTENT_SHARE * (1 - LACK_FACTOR * F.col("main_lack") - lack)
     return both.select("host", "path", "article", F.col("m").alias("pages"), "presentation", "content", "best", importance.alias("importance"), least.alias("least"))
 
 
-def extracted(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """page_id, url, text, for each row of pages."""
-    hosted = with_host(pages)
-    low = importances(hosted).filter(~F.col("article") & (F.col("importance") < F.col("least")) & (F.col("pages") >= min_pages))
+def common_paths(hosted: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """host, common: the paths of low importance of each host that has any."""
+    low = importances(hosted).filter((F.col("importance") < F.col("least")) & (F.col("pages") >= min_pages))
     low = low.filter(F.coalesce(F.col("best"), F.lit(0.0)) * CONTENT_SHARE < F.col("least"))
-    common = staged(low.groupBy("host").agg(F.collect_set("path").alias("common")), "common")
+    return staged(low.groupBy("host").agg(F.collect_set("path").alias("common"), F.max("pages").alias("pages")), "common")
+
+
+def with_common(hosted: DataFrame, common: DataFrame, broadcast_bytes: int) -> DataFrame:
     size = common.agg(F.coalesce(F.sum(F.size("common") * 8 + F.length("host") + 16), F.lit(0))).first()[0]
-    known = hosted.join(F.broadcast(common) if size <= BROADCAST_BYTES else common, "host", "left")
+    if size <= broadcast_bytes:
+        return hosted.join(F.broadcast(common), "host", "left")
+    salts = common.select("host", "pages").agg(F.max(F.ceil(F.col("pages") / SALT_PAGES))).first()[0]
+    copies = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1).cast("int"))))
+    return hosted.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(copies, ["host", "salt"], "left")
+
+
+def extracted(pages: DataFrame, min_pages: int = MIN_PAGES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """page_id, url, text, for each row of pages."""
+    hosted = with_host(pages)
+    known = with_common(hosted, common_paths(hosted, min_pages), broadcast_bytes)
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

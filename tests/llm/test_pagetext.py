@@ -1,8 +1,12 @@
 """Main text of pages: planted parts, broken markup, site trees, and all pages of a table."""
 
+import collections
 import html
+import math
 import re
 
+import pytest
+
 from strandlake.llm import pagetext, queries
 
 
@@ -16,7 +20,7 @@ def test_parts():
     <main><article><header><h1>Big &amp; bold</h1></header><p>One<br>two <b>three</b>&nbsp;four.<p>Five <a href=x>six</a>
     <script>if (a < b) "</p>"</script> seven.<form><input name=q> Search</form><aside>Side</aside><ul><li>Item 1<li>Item 2</ul>
     <section class="comments"><p>First!</p></section></article></main><div class="ad">Buy</div><footer>&copy; me</footer></body></html>"""
-    assert text(page) == "Big & bold\nOne two three four.\nFive six\nseven.\nItem 1\nItem 2"
+    assert text(page) == "Big & bold\nOne two three four.\nFive six seven.\nItem 1\nItem 2"
     for gone in ("Site", "Menu", "cookies", "Search", "Side", "First!", "Buy", "me", "</p>"):
         assert gone not in text(page)
 
@@ -30,6 +34,90 @@ def test_broken_markup():
     assert text("<div>" * 20_000 + "x" + "</b>" * 20_000) == "x"
 
 
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ('<p>Hello <span class="ad">Buy now</span> world</p>', "Hello world"),
+        ('<div><span class="advert">Buy now</span></div>', ""),
+        ('<p>x<span hidden>h</span>y</p><p><a class="share">Share</a> z</p>', "xy\nz"),
+        ("<p>one <script>..</script>two</p>", "one two"),
+        ("<p>a <button>x</button>b <math>c</math></p>", "a b c"),
+        ('<div class="search-results"><p>Body</p></div>', "Body"),
+        ('<div class="post-comments-enabled"><p>Body</p></div><footer>me</footer>', "Body"),
+        ('<div class="widget"><p>aside</p><article><p>Story</p></article></div>', "Story"),
+        ('<article><p>Story</p><div id=comments><article class="comment">First of all comments</article></div></article>', "Story"),
+        ("<article>Teaser</article><main><p>Long story of the page.</p></main>", "Long story of the page."),
+        ("<div><p>Long story of the page, told at length.</p></div><article>Teaser</article>", "Long story of the page, told at length."),
+        ("<title>T</title><article><p>A</p><label>L</label><dialog>D</dialog><title>T</title></article>", "A\nL\nD\nT"),
+    ],
+)
+def test_odd_parts(source, want):
+    assert text(source) == want
+
+
+SITE = [
+    (i, f"http://h.com/{i}", f"<body><article><p>Own words {i} of this page, <i>quite a few</i>.</p><div class=z><p>Tell your friends</p></div><p>More {i * 7} words.</p></article></body>")
+    for i in range(12)
+]
+
+
+def test_tree_decides_inside_articles(spark):
+    """Text that all pages repeat in their articles goes, and stays where the tree is switched off."""
+    df = spark.createDataFrame([*SITE, SITE[0]], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in pagetext.extracted(df).collect()}
+    assert got == {i: f"Own words {i} of this page, quite a few.\nMore {i * 7} words." for i in range(12)}
+    salted = pagetext.extracted(df, broadcast_bytes=0)
+    assert sorted(tuple(r) for r in salted.collect()) == sorted(tuple(r) for r in pagetext.extracted(df).collect())
+    off = {r["page_id"]: r["text"] for r in pagetext.extracted(df, min_pages=10**9).collect()}
+    assert all("Tell your friends" in t for t in off.values())
+
+
+def brute_tree(pages):
+    """host, path: (pages, presentation, content, best, importance, least) from plain Python."""
+    out = {}
+    for host in {h for h, _ in pages}:
+        seen = [pagetext.Page(source, tree=True).nodes for source in {s or "" for h, s in pages if h == host}]
+        marked: dict[int, bool] = {}
+        rows, texts, sizes, above = (collections.defaultdict(collections.Counter) for _ in range(4))
+        for nodes in seen:
+            for path, (chain, children, values, article) in nodes.items():
+                marked[path] = article
+                rows[path]["|".join(sorted(set(children)))] += 1
+                above[path].update({p: 1 for p in chain if p not in above[path]})
+                for v, size in values.items():
+                    texts[path][v] += 1
+                    sizes[path][v] = size
+        m = {p: sum(rows[p].values()) for p in rows}
+        entropy = {p: sum(k * math.log(m[p] / k) for k in rows[p].values()) / m[p] for p in rows}
+        style = {p: entropy[p] / math.log(m[p]) if m[p] > 1 else 1.0 for p in rows}
+        common = {p: sum(k * math.log(k) for k in texts[p].values()) / math.log(m[p]) if m[p] > 1 else 0.0 for p in rows}
+        n = {p: sum(texts[p].values()) for p in rows}
+        said = {p: sum(k * sizes[p][v] for v, k in texts[p].items()) for p in rows}
+        if not any(n.values()):
+            continue
+        main = max((p for p in rows if n[p]), key=lambda p: (said[p], p))
+        for p in rows:
+            inside = [q for q in rows if p in above[q]]
+            total = sum(n[q] for q in inside)
+            content = 1 - sum(common[q] for q in inside) / total if total else None
+            best = max((1 - common[q] / n[q] for q in inside if n[q]), default=None)
+            importance = 0.1 * style[p] + 0.9 * (1.0 if content is None else content)
+            lack = 0.5 if marked[p] else 0.04
+            out[host, p] = (marked[p], m[p], style[p], content, best, importance, 0.9 * (1 - 4 * common[main] / n[main] - lack))
+    return out
+
+
+def test_importances(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html")
+    more = spark.createDataFrame([*SITE, (99, None, "<p>a<p>a<b>c</b>"), (98, "x", None)], "page_id long, url string, html string")
+    hosted = pagetext.with_host(pages.unionByName(more))
+    want = brute_tree([(r["host"], r["html"]) for r in hosted.collect()])
+    got = {(r["host"], r["path"]): tuple(r)[2:] for r in pagetext.importances(hosted).collect()}
+    assert set(got) == set(want) and len(want) > 500
+    for key, values in want.items():
+        assert got[key] == pytest.approx(values, abs=1e-9), key
+
+
 def test_site_tree(spark):
     pages = [(i, f"http://h.com/{i}", f"<body><div><span>Same words</span></div><div class=c><p>Own text {i} here.</p></div></body>") for i in range(30)]
     pages += [(100, "http://h.com/x", None), (101, None, "<p>alone</p>"), (101, None, "<p>alone</p>"), (None, "zz", "")]
