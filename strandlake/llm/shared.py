@@ -2,61 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.sources.staging import clear_staged, shared_folder, staged  # noqa: F401
+
 #: White space is these six characters everywhere in this subpackage.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
-
-    It is the one that the session names; one is made only where none is named,
-    which is right for a single machine alone.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='strandlake-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-#: Folders that this process has staged tables in.
-STAGED: list[str] = []
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back.
-
-    This cuts the lineage: rows and generated ids stay the same when executors are
-    lost, and what follows several times is computed once. The files stay until
-    clear_staged.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/strandlake-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    STAGED.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clear_staged(spark: SparkSession) -> int:
-    """Delete what this process has staged; for when all results that read it are written."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    paths, STAGED[:] = [*STAGED], []
-    for path in paths:
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(conf).delete(place, True)
-    return len(paths)
-
-
 def let(value: Column, body) -> Column:
     """body(value), with value computed once however often body uses it.
 
