@@ -1,17 +1,14 @@
 """Mixing sources to target weights.
 
-Every document gets a hash-random key. Within each source the keys are cut into even
-ranges, one task sorts a range, and the sums of all ranges before it complete the
-prefix sum of sizes. A source is cut where its prefix sum reaches its budget; a budget
-above the source's size repeats it in full first.
+Every document gets a hash-random key. Documents are sorted by source and key, in even
+ranges over all sources together, so that a large source is spread over many tasks; the
+sums of all ranges before it complete a document's prefix sum of sizes. A source is cut
+where its prefix sum reaches its budget; a budget above the source's size repeats it in
+full first.
 
 Sizes are words. Targets share out SHARE times all sizes by weight; a target above
 CAP times its source's size stops there, and what it gives up goes to the others by
-weight. That is the level at which sum(least(cap, level * weight)) equals the total,
-found with windows over the sources.
-
-The one window without a partition runs over the sources, one row each. No document
-passes through it.
+weight, until none is above. Each step of that is one aggregation over the sources.
 
 Defined results: a null text has size 0; a null source is a source, sorted last; a
 null doc_id is an id like others; rows equal in id, source and text share what is
@@ -22,17 +19,16 @@ empty table gives an empty table; other columns are ignored by `taken` and kept
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.shared import SPACE_RUN, WORD, staged, word_count
+from strandlake.operators.ordered import running
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2.0
 SEED = 17
-#: Documents that one task sorts, on average.
-RANGE_ROWS = 4096
 
 
 def key(seed: int) -> Column:
@@ -41,53 +37,43 @@ def key(seed: int) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """source, source_size, n_rows, target; from source, source_size, n_rows."""
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weighted = sizes.select("*", F.get(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(rank, F.lit(len(weights)))).alias("w"))
-    by_room = Window.orderBy(F.col("source_size") * F.lit(cap) / F.col("w"), F.col("source").asc_nulls_first())
-    before, everything = by_room.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    full = F.coalesce(F.sum("most").over(before), F.lit(0.0))
-    rest = F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0))
-    level = (F.sum("source_size").over(everything) * F.lit(share) - full) / rest
-    levels = weighted.withColumn("most", F.col("source_size") * F.lit(cap)).withColumn("level", level)
-    # Sources with less room than their level are full; at the first other one the level is the highest of all such.
-    level = F.max(F.when(F.col("most") / F.col("w") >= F.col("level"), F.col("level"))).over(everything)
-    target = F.least(F.col("most"), F.coalesce(level * F.col("w"), F.col("most")))
-    return levels.select("source", "source_size", "n_rows", F.greatest(target, F.lit(0.0)).alias("target"))
+    """source, source_size, target; from source, source_size."""
+    ranked = running(sizes, [F.col("source").asc_nulls_last()], {}, "rank")
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.col("rank") - 1, F.lit(len(weights))).cast("int"))
+    rows = ranked.select("source", "source_size", weight.alias("w"), (F.col("source_size") * F.lit(cap)).alias("most"))
+    total = rows.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0] * share
+    level, full = 0.0, -1
+    while True:
+        # Sources that are full at this level stay so; the others share what is left.
+        is_full = F.col("most") < F.col("w") * F.lit(level)
+        left = rows.agg(F.count_if(is_full), F.sum(F.when(is_full, F.col("most")).otherwise(0.0)), F.sum(F.when(is_full, 0.0).otherwise(F.col("w")))).first()
+        if left[0] == full or not left[2]:
+            break
+        full, level = left[0], (total - left[1]) / left[2]
+    target = F.least(F.col("most"), F.col("w") * F.lit(level)) if full >= 0 else F.col("most")
+    return rows.select("source", "source_size", target.alias("target"))
 
 
 def plan(docs: DataFrame, seed: int = SEED, **mix) -> tuple[DataFrame, DataFrame]:
     """The documents with key and size, narrow and staged, and what each source gives: times in full, then rest."""
     facts = staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key(seed).alias("key")), "mix")
-    sizes = facts.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
-    budget = F.floor(F.col("target") + 0.5).cast("long")
+    sizes = facts.groupBy("source").agg(F.sum("size").alias("source_size"))
+    budget = F.floor(F.col("target") + 0.5).cast("long").alias("budget")
+    sources = targets(sizes, **mix).select("source", "source_size", "target", budget)
     size = F.greatest(F.col("source_size"), F.lit(1))
-    sources = targets(sizes, **mix).select(
-        "source", "source_size", "target",
-        F.greatest(F.lit(1), F.ceil(F.col("n_rows") / RANGE_ROWS)).cast("long").alias("n_ranges"),
-        F.floor(budget / size).cast("long").alias("times"),
-        F.pmod(budget, size).cast("long").alias("rest"),
-    )
-    return facts, staged(sources, "mix-sources")
+    return facts, staged(sources.select("*", F.expr("budget div greatest(source_size, 1)").alias("times"), F.pmod("budget", size).alias("rest")), "mix-sources")
 
 
 def prefix_sums(facts: DataFrame, sources: DataFrame) -> DataFrame:
     """facts, equal rows as one with their number n, with their source's plan and the words before them in it."""
-    place = F.least(F.floor(F.col("key") / F.lit(2.0**63) * F.col("n_ranges")).cast("long"), F.col("n_ranges") - 1)
-    placed = (
-        facts.groupBy("source", "key", "doc_id", "size").agg(F.count(F.lit(1)).alias("n")).alias("d")
-        .join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
-        .select("d.*", "source_size", "target", "times", "rest", place.alias("range"))
-    )
-    words = F.col("size") * F.col("n")
-    ranges = placed.groupBy("source", "range").agg(F.sum(words).alias("words"))
-    earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranges.select("source", "range", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    each = facts.groupBy("source", "key", "doc_id", "size").agg(F.count(F.lit(1)).alias("n"))
+    order = [F.col("source").asc_nulls_last(), F.col("key"), F.col("doc_id"), F.col("size")]
+    placed = running(each, order, {"before": F.col("size") * F.col("n")})
+    begins = placed.groupBy("source").agg(F.min("before").alias("begin"))
+    plans = sources.alias("s").join(begins.alias("b"), F.col("s.source").eqNullSafe(F.col("b.source"))).select("s.*", "begin")
     return (
-        placed.select("*", F.coalesce(F.sum(words).over(inside), F.lit(0)).alias("inside")).alias("p")
-        .join(offsets.alias("o"), F.col("p.source").eqNullSafe(F.col("o.source")) & (F.col("p.range") == F.col("o.range")))
-        .select("p.*", (F.col("inside") + F.col("offset")).alias("start"))
+        placed.alias("d").join(plans.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
+        .select("d.*", "source_size", "target", "times", "rest", (F.col("before") - F.col("begin")).alias("start"))
     )
 
 
@@ -101,7 +87,7 @@ def taken(docs: DataFrame, seed: int = SEED, **mix) -> DataFrame:
     facts, sources = plan(docs, seed, **mix)
     each = prefix_sums(facts, sources).withColumn("last", last_words())
     copies = each.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
-    share = F.floor(F.col("last") / F.col("n")) + F.when(F.col("copy") <= F.pmod("last", "n"), 1).otherwise(0)
+    share = F.expr("last div n") + F.when(F.col("copy") <= F.pmod("last", "n"), 1).otherwise(0)
     amount = F.col("times") * F.col("size") + share
     return copies.select("doc_id", "source", "size", "source_size", "target", amount.cast("long").alias("taken"))
 
@@ -123,7 +109,7 @@ def mix(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
     parted = F.when((F.col("last") > 0) & (F.col("last") < F.col("size") * F.col("n")), F.col("key"))
     reached = (
         prefix_sums(facts, sources).withColumn("last", last_words()).filter("last > 0").groupBy("source")
-        .agg(F.max("key").alias("reach"), F.min(parted).alias("cut"), F.min_by(F.floor(F.col("last") / F.col("n")), parted).alias("part"))
+        .agg(F.max("key").alias("reach"), F.min(parted).alias("cut"), F.min_by(F.expr("last div n"), parted).alias("part"))
     )
     ends = staged(
         sources.alias("s")
