@@ -6,6 +6,8 @@ what follows several times is computed once.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -28,7 +30,9 @@ def shared_folder(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = f"file://{tempfile.mkdtemp(prefix='strandlake-')}"
+        made = tempfile.mkdtemp(prefix="strandlake-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        named = f"file://{made}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
