@@ -2,9 +2,10 @@
 
 An index is a table of shards, each a row of its own with its arrays as bytes. Keys are
 dealt to shards by hash, so that shards are even; their number follows the number of
-keys, and one task builds one shard. `probed` looks keys up: an index of up to
-BROADCAST_BYTES, measured, goes to all tasks; for a larger one the keys go to the
-shards, each shard's keys dealt over as many tasks as their number asks for.
+keys, and one task builds one shard. An index of up to BROADCAST_BYTES, measured, goes
+to all tasks (`everywhere`); for a larger one the keys go to the shards, each shard's
+keys dealt over as many tasks as their number asks for (`routed`), once for each
+different content (`of_contents`).
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.shared import staged
+from strandlake.llm.shared import HOT_ROWS, spread_join, staged
 
 SHARD_KEYS = 1 << 19
 BROADCAST_BYTES = 64 << 20
@@ -224,3 +225,21 @@ def routed(probes: DataFrame, index: DataFrame, shards: int) -> DataFrame:
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in probes.schema) + ", answer long"
     return salted.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInPandas(answer, schema)
+
+
+def of_contents(df: DataFrame, content: list[str], pairs: Column, index: DataFrame, shards: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """df with `answers`: the index's answer to each of `pairs` (h1, h2), which depend on the columns `content` alone.
+
+    Different contents are looked up once, and those without any answer but 0 have null.
+    Contents that very many rows share are sent to all tasks.
+    """
+    name = F.struct(F.xxhash64(*content).alias("a"), F.xxhash64(F.lit(1), *content).alias("b")).alias("_name")
+    keyed = df.withColumn("_name", name)
+    each = keyed.groupBy("_name").agg(*[F.first(c).alias(c) for c in content], F.count(F.lit(1)).alias("_rows"))
+    probes = each.select("_name", "_rows", F.posexplode(pairs).alias("_i", "_k")).select("_name", "_rows", "_i", "_k.h1", "_k.h2")
+    hits = routed(probes, index, shards).filter("answer != 0")
+    size = F.max("_i") + 1
+    rows = hits.groupBy("_name").agg(F.first("_rows").alias("_rows"), F.map_from_entries(F.collect_list(F.struct("_i", "answer"))).alias("m"), size.alias("_size"))
+    spread = F.transform(F.sequence(F.lit(0), F.col("_size") - 1), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long")))
+    found = staged(rows.select("_name", "_rows", spread.alias("answers")), "answers")
+    return spread_join(keyed, found, "_name", "_rows", "left", hot_rows).drop("_name")

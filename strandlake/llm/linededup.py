@@ -2,10 +2,14 @@
 
 A line's key is the line without white space at its ends, in lower case as far as A to
 Z go. Keys are counted by 128-bit hash, once for each document (each row is a
-document), with partial sums before the shuffle. The keys that reach the limit, and
-only those, since no other can lose a line, go into a sharded minimal perfect hash over
-arrays of fingerprints and counts. Documents probe the arrays with the hashes of their
-lines; no line is joined.
+document), with partial sums before the shuffle. The distinct keys that repeat at all
+go into a sharded minimal perfect hash over arrays of fingerprints and counts; a key of
+a single document is told by its fingerprint. Documents probe the arrays with the
+hashes of their lines, and a line goes where the count that it finds reaches the limit;
+no line is joined. The index does not depend on the limit.
+
+An index that is too large to be sent to all tasks is cut to the keys that reach the
+limit; if it still is, the hashes of the lines of each different text go to its shards.
 
 Defined results: a null or empty text is one empty line; lines without a sign other
 than white space always stay; rows with null or equal ids are documents of their own;
@@ -50,12 +54,12 @@ def line_hashes(text: Column, min_code_points: int) -> Column:
     return F.transform(lines(text), hashed)
 
 
-def frequent_keys(docs: DataFrame, min_documents: int, min_code_points: int) -> DataFrame:
-    """h1, h2, n: the keys found in at least min_documents documents."""
+def repeated_keys(docs: DataFrame, min_code_points: int) -> DataFrame:
+    """h1, h2, n: the keys of two documents or more, with the number of documents."""
     each = F.array_distinct(line_hashes(F.col("text"), min_code_points))
     return (
         docs.select(F.explode(each).alias("k")).select("k.h1", "k.h2").filter("h1 != 0 or h2 != 0")
-        .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_documents)
+        .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     )
 
 
@@ -63,28 +67,38 @@ def build(frame: pd.DataFrame) -> arrays.Counts:
     return arrays.Counts(frame["h1"].to_numpy(np.int64), frame["h2"].to_numpy(np.int64), frame["n"].to_numpy(np.int64))
 
 
+def line_index(keys: DataFrame) -> tuple[DataFrame, int]:
+    """The index of staged keys (h1, h2, n), and its number of shards."""
+    shards = arrays.n_shards(keys.count())
+    return arrays.built(keys, shards, build), shards
+
+
 def with_drops(docs: DataFrame, min_documents: int, min_code_points: int, broadcast_bytes: int) -> DataFrame:
-    """docs with `drops`: for each line whether it goes, or an empty array where all stay."""
-    frequent = staged(frequent_keys(docs, min_documents, min_code_points), "lines")
-    shards = arrays.n_shards(frequent.count())
-    index = arrays.built(frequent, shards, build)
+    """docs with `drops`: for each line whether it goes; null or shorter where the others stay."""
+    if min_documents < 2:
+        every = F.transform(line_hashes(F.col("text"), min_code_points), lambda k: (k["h1"] != 0) | (k["h2"] != 0))
+        return docs.withColumn("drops", every)
+    keys = staged(repeated_keys(docs, min_code_points), "lines")
+    index, shards = line_index(keys)
+    if arrays.index_bytes(index) > broadcast_bytes:
+        index, shards = line_index(keys.filter(F.col("n") >= min_documents))
+    goes = lambda answers: F.transform(answers, lambda n: n >= min_documents)
     hashed = line_hashes(F.col("text"), min_code_points)
     if arrays.index_bytes(index) <= broadcast_bytes:
         counts = arrays.everywhere(index, shards)
         found = docs.withColumn("hashed", hashed).withColumn("counts", counts(F.col("hashed.h1"), F.col("hashed.h2")))
-        return found.drop("hashed").withColumn("drops", F.transform("counts", lambda n: n > 0)).drop("counts")
-    # What goes depends on the text alone, so that each text is looked up once.
-    name = {"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")}
-    texts = docs.select("text").withColumns(name).groupBy("t1", "t2").agg(F.first("text").alias("text"))
-    probes = texts.select("t1", "t2", F.posexplode(hashed).alias("line", "k")).select("t1", "t2", "line", "k.h1", "k.h2")
-    answers = arrays.routed(probes, index, shards).groupBy("t1", "t2").agg(F.sort_array(F.collect_list(F.struct("line", "answer"))).alias("a"))
-    drops = answers.select("t1", "t2", F.transform("a", lambda a: a["answer"] > 0).alias("drops"))
-    return docs.withColumns(name).join(drops, ["t1", "t2"], "left").drop("t1", "t2")
+        return found.drop("hashed").withColumn("drops", goes("counts")).drop("counts")
+    found = arrays.of_contents(docs, ["text"], hashed, index, shards)
+    return found.withColumn("drops", goes("answers")).drop("answers")
+
+
+def any_goes(drops: Column) -> Column:
+    return F.coalesce(F.exists(drops, lambda d: d), F.lit(False))
 
 
 def kept_text(text: Column, drops: Column) -> Column:
     left = F.filter(lines(text), lambda _, i: ~F.coalesce(F.get(drops, i), F.lit(False)))
-    return F.when(F.exists(drops, lambda d: d), F.array_join(left, "\n")).otherwise(text)
+    return F.when(any_goes(drops), F.array_join(left, "\n")).otherwise(text)
 
 
 def deduped(
@@ -98,7 +112,7 @@ def deduped(
     return found.select(
         "doc_id",
         F.size(lines(F.col("text"))).cast("long").alias("n_lines"),
-        F.size(F.filter("drops", lambda d: d)).cast("long").alias("n_dropped"),
+        F.coalesce(F.size(F.filter("drops", lambda d: d)), F.lit(0)).cast("long").alias("n_dropped"),
         F.coalesce(kept_text(F.col("text"), F.col("drops")), F.lit("")).alias("text"),
     )
 
@@ -108,6 +122,6 @@ def clean(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_code_points:
     row = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     found = with_drops(row, min_documents, min_code_points, arrays.BROADCAST_BYTES)
     text = kept_text(F.col("text"), F.col("drops"))
-    shorter = F.exists("drops", lambda d: d)
+    shorter = any_goes(F.col("drops"))
     values = {"text": lambda: text, "n_chars": lambda: F.when(shorter, F.length(text).cast("long")).otherwise(F.col("row.n_chars"))}
     return found.select(*[values.get(c, lambda c=c: F.col(f"row.`{c}`"))().alias(c) for c in docs.columns])

@@ -22,6 +22,27 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: A key with more rows than this, and than the HOT_KEYS-th part of all, is hot; so there are never more than HOT_KEYS hot ones.
+HOT_ROWS = 1 << 16
+HOT_KEYS = 50_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, rows: str, how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """left joined with right by a key that right has once, without its column `rows`: how many rows of left have the key.
+
+    The few hot keys, of a number that is bounded, are sent to all tasks, so that none
+    gathers the rows of one. Both tables should be staged. how may be inner or left.
+    """
+    found = right.agg(F.max(rows), F.sum(rows)).first()
+    bound = max(hot_rows, (found[1] or 0) // HOT_KEYS)
+    if not found[0] or found[0] <= bound:
+        return left.join(right.drop(rows), key, how)
+    hot = right.filter(F.col(rows) > bound).drop(rows)
+    few = left.join(F.broadcast(hot), key)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.filter(F.col(rows) <= bound).drop(rows), key, how)
+    return few.unionByName(rest)
+
+
 def words(text: Column) -> Column:
     """The words of a text, an empty array if it has none."""
     return F.filter(F.split(text, SPACE_RUN), lambda w: w != "")

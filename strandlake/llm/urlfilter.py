@@ -2,18 +2,24 @@
 
 A rule is a host and the start of a path. It fits the host and all its subdomains, so
 that each url has few keys that a rule could be: the ends of its host, as many labels
-long as some rule's host, with the starts of its path, as long as some rule's. All such
-keys of the corpus, and its hosts, are the complete universe. Cascades over it encode
-the allow rules, the block rules and the listed hosts: level 1 the listed keys, level
-2 the other keys that level 1 takes in, and so on until none is left, so that the
-answers over the universe are exact. Pages probe the cascades; nothing is joined.
-
-The longest rule that fits decides. Where none fits, the method blocks listed hosts
-and allows others.
+long as some rule's host, with the starts of its path, as long as some rule's. A block
+list is a table of hosts, of any size; it too fits hosts and all their subdomains, so
+that its keys are ends of hosts. All such keys of the corpus are the complete universe.
+Cascades over it encode the allow rules, the block rules and the block list: level 1
+the listed keys, level 2 the other keys that level 1 takes in, and so on until none is
+left, so that the answers over the universe are exact. Pages probe the cascades; no
+page is joined with a list.
+
+The longest rule that fits decides. Where none fits, the method blocks hosts of the
+block list and allows others. A block list is what one downloads; where none is given,
+one is drawn from the corpus: the domains under which a host name's own parts, between
+dots and hyphens, have a listed word (LISTED_WORDS), the shortest such domain of each.
 
 Defined results: a url that is null or without :// has an empty host and path and is
 allowed, unless a rule or list names the empty host; repeated rows are judged each; null
-page ids pass through; an empty table gives an empty table; other columns are ignored.
+page ids pass through; an empty table gives an empty table; other columns are ignored;
+null, empty and repeated hosts of the block list count once or not at all, and so do
+those of more than 253 signs, which no host name has.
 """
 
 from __future__ import annotations
@@ -34,9 +40,11 @@ RULES = (
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 )
-#: Words that list a host when one of its parts, between dots and hyphens, is among them.
+#: What draws the block list from the corpus where none is given.
 LISTED_WORDS = ("adult", "casino", "porn", "sex", "xxx", "gambling", "poker", "betting", "warez", "torrent", "phishing", "malware", "pills")
 LISTS = ("allow", "block", "host")
+#: Fixed value: the most signs of a host name.
+HOST_SIGNS = 253
 
 
 def parsed(url: Column) -> tuple[Column, Column]:
@@ -47,23 +55,32 @@ def parsed(url: Column) -> tuple[Column, Column]:
     return ascii_lower(F.regexp_extract(after, r"^([^/?#]*)", 1)), F.regexp_extract(after, r"^[^/?#]*([^?#]*)", 1)
 
 
-def rule_keys(host: Column, path: Column, rules) -> Column:
-    """What could be a rule's host and path, of a url."""
+def ends(labels: Column, n_labels: list[int]) -> list[Column]:
+    """The last n labels of a host, null for hosts of fewer, for each n."""
+    size = F.size(labels)
+    return [F.when(size >= n, F.array_join(F.slice(labels, size - (n - 1), F.lit(n)), ".")) for n in n_labels]
+
+
+def keys_of(host: Column, path: Column, rules, listed_labels: list[int]) -> Column:
+    """What could be a rule's host and path, or a listed host, of a url. Only rules have a slash."""
     n_labels = sorted({h.count(".") + 1 for h, _, _ in rules})
     n_signs = sorted({len(p) for _, p, _ in rules})
 
     def keys(labels: Column) -> Column:
-        size = F.size(labels)
-        ends = [F.when(size >= n, F.array_join(F.slice(labels, size - (n - 1), F.lit(n)), ".")) for n in n_labels]
         starts = [F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in n_signs]
-        return F.filter(F.array(*[F.concat(e, s) for e in ends for s in starts]), lambda k: k.isNotNull())
+        both = [F.concat(e, s) for e in ends(labels, n_labels) for s in starts]
+        return F.filter(F.array(*both, *ends(labels, listed_labels), F.lit(None).cast("string")), lambda k: k.isNotNull())
 
     return let(F.split(host, r"\."), keys)
 
 
-def listed_hosts(hosts: DataFrame, words: tuple[str, ...] = LISTED_WORDS) -> DataFrame:
-    """The hosts of a table that the words list."""
-    return hosts.filter(F.arrays_overlap(F.split("host", r"[.-]"), F.array(*[F.lit(w) for w in words])))
+def drawn_list(hosts: DataFrame, words: tuple[str, ...] = LISTED_WORDS) -> DataFrame:
+    """host: the block list that the words draw from a table of hosts."""
+    labels = F.split("host", r"\.")
+    bad = lambda label: F.arrays_overlap(F.split(label, "-"), F.array(*[F.lit(w) for w in words]))
+    place = F.array_max(F.filter(F.transform(labels, lambda x, i: F.when(bad(x), i)), lambda i: i.isNotNull()))
+    known = hosts.select("host").distinct().withColumn("place", place).filter("place is not null")
+    return known.select(F.array_join(F.slice(labels, F.col("place") + 1, F.size(labels)), ".").alias("host")).distinct()
 
 
 def build(frame: pd.DataFrame) -> Lists:
@@ -84,12 +101,12 @@ class Lists:
         return found
 
 
-def universe(urls: DataFrame, rules, hosts: DataFrame) -> DataFrame:
+def universe(urls: DataFrame, rules, listed: DataFrame) -> DataFrame:
     """h1, h2, list: all keys of the corpus, and the number of the list that each is in, or 0."""
     spark = urls.sparkSession
     named = [(f"{h}{p}", LISTS.index(v) + 1) for h, p, v in rules]
-    listed = spark.createDataFrame(named, "key string, list int").unionByName(hosts.select(F.col("host").alias("key"), F.lit(3).alias("list")))
-    every = urls.select(F.explode("keys").alias("key"), F.lit(0).alias("list")).unionByName(listed)
+    lists = spark.createDataFrame(named, "key string, list int").unionByName(listed.select(F.col("host").alias("key"), F.lit(3).alias("list")))
+    every = urls.select(F.explode("keys").alias("key"), F.lit(0).alias("list")).unionByName(lists)
     h1, h2 = arrays.hashes(F.col("key"))
     return every.select(h1.alias("h1"), h2.alias("h2"), "list").groupBy("h1", "h2").agg(F.max("list").alias("list"))
 
@@ -97,44 +114,30 @@ def universe(urls: DataFrame, rules, hosts: DataFrame) -> DataFrame:
 def judged(
     pages: DataFrame, rules=RULES, hosts: DataFrame | None = None, broadcast_bytes: int = arrays.BROADCAST_BYTES
 ) -> DataFrame:
-    """page_id, host, path, rule and verdict, for each row of pages.
-
-    hosts is a table of listed hosts; without one, those of the corpus that
-    LISTED_WORDS list.
-    """
+    """page_id, host, path, rule and verdict, for each row of pages. hosts is the block list, with the column host."""
     host, path = parsed(F.col("url"))
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
-    keyed = urls.select("*", F.concat(F.array("host"), rule_keys(F.col("host"), F.col("path"), rules)).alias("keys"))
-    hosts = listed_hosts(urls.select("host")) if hosts is None else hosts
-    keys = staged(universe(keyed, rules, hosts), "urls")
+    listed = drawn_list(urls) if hosts is None else hosts.select(ascii_lower(F.col("host").cast("string")).alias("host"))
+    listed = staged(listed.filter(F.length("host").between(1, HOST_SIGNS)).distinct(), "listed")
+    # Host names have at most 127 labels, so that this is a short row of numbers.
+    n_labels = sorted(listed.agg(F.collect_set(F.size(F.split("host", r"\.")))).first()[0])
+    keyed = urls.withColumn("keys", keys_of(F.col("host"), F.col("path"), rules, n_labels))
+    keys = staged(universe(keyed, rules, listed), "urls")
     shards = arrays.n_shards(keys.count())
     index = arrays.built(keys, shards, build)
     pairs = F.transform("keys", lambda k: F.struct(*[h.alias(f"h{i}") for i, h in enumerate(arrays.hashes(k), 1)]))
-    hashed = keyed.withColumn("pairs", pairs)
     if arrays.index_bytes(index) <= broadcast_bytes:
         lists = arrays.everywhere(index, shards)
-        found = hashed.withColumn("lists", lists(F.col("pairs.h1"), F.col("pairs.h2")))
+        found = keyed.withColumn("pairs", pairs).withColumn("lists", lists(F.col("pairs.h1"), F.col("pairs.h2")))
     else:
-        found = over_shards(hashed, index, shards)
+        found = arrays.of_contents(keyed, ["keys"], pairs, index, shards).withColumnRenamed("answers", "lists")
     return verdicts(found)
 
 
-def over_shards(hashed: DataFrame, index: DataFrame, shards: int) -> DataFrame:
-    """The same answers from an index that is too large to send to all tasks; each different url is looked up once."""
-    name = {"u1": F.xxhash64("host", "path"), "u2": F.xxhash64(F.lit(1), "host", "path")}
-    each = hashed.withColumns(name).groupBy("u1", "u2").agg(F.first("pairs").alias("pairs"))
-    probes = each.select("u1", "u2", F.posexplode("pairs").alias("i", "k")).select("u1", "u2", "i", "k.h1", "k.h2")
-    answers = arrays.routed(probes, index, shards).groupBy("u1", "u2").agg(F.sort_array(F.collect_list(F.struct("i", "answer"))).alias("a"))
-    lists = answers.select("u1", "u2", F.transform("a", lambda a: a["answer"]).alias("lists"))
-    return hashed.withColumns(name).join(lists, ["u1", "u2"])
-
-
 def verdicts(found: DataFrame) -> DataFrame:
-    fits = F.filter(
-        F.transform("keys", lambda k, i: F.struct(F.length(k).alias("n"), F.get("lists", i).alias("list"), k.alias("key"))),
-        lambda f: (f["list"] > 0) & (f["list"] < 3),
-    )
-    best = found.withColumn("best", F.array_max(fits))
+    of = lambda i: F.coalesce(F.get("lists", i), F.lit(0))
+    known = F.transform("keys", lambda k, i: F.struct(F.length(k).alias("n"), of(i).alias("list"), k.alias("key")))
+    both = found.withColumn("known", known).withColumn("best", F.array_max(F.filter("known", lambda f: f["list"].between(1, 2))))
     by_rule = F.get(F.array(*[F.lit(name) for name in LISTS]), (F.col("best.list") - 1).cast("int"))
-    by_list = F.when(F.get("lists", F.lit(0)) == 3, "block").otherwise("allow")
-    return best.select("page_id", "host", "path", F.col("best.key").alias("rule"), F.coalesce(by_rule, by_list).alias("verdict"))
+    by_list = F.when(F.exists("known", lambda f: f["list"] == 3), "block").otherwise("allow")
+    return both.select("page_id", "host", "path", F.col("best.key").alias("rule"), F.coalesce(by_rule, by_list).alias("verdict"))

@@ -6,6 +6,7 @@ import sys
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, __file__.rsplit("/", 1)[0])
 from llm_oracle import same
@@ -58,10 +59,23 @@ def test_lines(spark, limit):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = collections.Counter(tuple(r) for r in linededup.deduped(docs, 3, 1, limit).collect())
     assert got == brute([(r["doc_id"], r["text"]) for r in docs.collect()], 3)
+    assert collections.Counter(tuple(r) for r in linededup.deduped(odd, 1, 1, limit).collect()) == brute(ODD, 1)
     assert linededup.deduped(odd.limit(0)).count() == 0
     assert linededup.clean(odd, 2).columns == odd.columns
 
 
+def test_hot_contents(spark):
+    """Texts that many rows share are looked up once and come back without gathering them."""
+    rows = [(i, ["same\nsame again", "", None, f"own {i}\nsame"][i % 4]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = linededup.staged(linededup.repeated_keys(docs, 1), "lines")
+    index, shards = linededup.line_index(keys)
+    hashed = linededup.line_hashes(F.col("text"), 1)
+    for hot in (1 << 16, 20):
+        got = {r["doc_id"]: r["answers"] for r in arrays.of_contents(docs, ["text"], hashed, index, shards, hot).collect()}
+        assert len(got) == 400 and got[0] == [200, 100] and got[3] == [0, 200] and got[1] is None and got[2] is None
+
+
 def test_line_query(spark):
     same(spark, queries, "op4_line_dedup", "/root/testdata/sf0.01")
 
@@ -83,6 +97,15 @@ def test_urls(spark, limit):
         (8, "com/de/", "block"), (9, "com/fr/", "allow"), (10, None, "allow"),
     }
     assert urlfilter.judged(pages.limit(0)).count() == 0
+    listed = spark.createDataFrame([("NET",), ("b.c",), (None,), ("",), ("x" * 300,), ("net",)], "host string")
+    more = spark.createDataFrame([(1, "http://casino.net/a"), (2, "http://a.b.c"), (3, "http://ab.c/"), (4, "http://casino.de/"), (5, "http://x.org/")], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in urlfilter.judged(more, hosts=listed, broadcast_bytes=limit).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow"}
+
+
+def test_drawn_list(spark):
+    hosts = spark.createDataFrame([("m.casino-win.example.com",), ("casino-win.example.com",), ("a.porn",), ("sexy.com",), ("",), ("xxx.a.xxx.b",)], "host string")
+    assert sorted(r["host"] for r in urlfilter.drawn_list(hosts).collect()) == ["casino-win.example.com", "porn", "xxx.b"]
 
 
 def test_url_query(spark):
