@@ -2,21 +2,21 @@
 
 A vector is coded as a sum of full-dimensional code words, one of each codebook. The
 codebooks are trained one after another on what the ones before leave (k-means on a
-sample of at most SAMPLE vectors, chosen by hash), and each vector is coded by beam
-search over all of them. Its code, the length of its approximation and the vector
-itself are stored in blocks.
+sample of at most SAMPLE vectors, those with the least hashes), and each vector is coded
+by beam search over all of them. Its code and its norm, as the ratio of its own length to
+that of its approximation, are stored in blocks; vectors themselves are not.
 
 A query's inner products with all code words are a table; a vector's score is the sum of
-its code words' entries. Stored lengths bound what a vector of a block can score. Of
-each block the best RERANK go on, are scored exactly there, in double precision, and
-the best of all blocks are the result. Queries come in blocks too; each block of
-queries meets each block of vectors once.
+its code words' entries times its stored norm, so that the quantised direction is scored
+at the vector's true length. Queries come in blocks too; each block of queries meets each
+block of vectors once, and the best RERANK of a block go on. The best RERANK of all
+blocks, for each query, are joined with their vectors, scored exactly in double
+precision, and the best of them are the result.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null
-or non-finite components take no part; null ids take no part as queries and are
-found like others; equal vectors are found in the order of their ids; with fewer
-candidates than asked for, all are returned; an empty table gives an empty table; other
-columns are ignored.
+or non-finite components take no part, and neither do rows with a null id; equal vectors
+are found in the order of their ids; with fewer candidates than asked for, all are
+returned; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,14 +32,18 @@ from strandlake.llm.shared import staged
 
 #: Vectors that the codebooks are trained on, at most.
 SAMPLE = 8192
-CODEBOOKS = 24
+CODEBOOKS = 40
 WORDS = 64
 BEAM = 4
 ROUNDS = 8
-#: Vectors and queries of a block, on average, and candidates of a block that are scored exactly.
-BLOCK = 4096
+#: Vectors and queries of a block, on average, and vectors that are scored at a time.
+BLOCK = 1 << 16
 QUERY_BLOCK = 256
-RERANK = 256
+SLICE = 8192
+#: Candidates of a query that are scored exactly.
+RERANK = 128
+#: Queries of up to this size are sent to all tasks.
+BROADCAST_BYTES = 64 << 20
 NEIGHBOURS = 20
 QUERY_EVERY = 20
 
@@ -73,7 +77,7 @@ def nearest(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 def encoded(vectors: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """The codes (vectors, books) by beam search, and the lengths of the approximations."""
+    """The codes (vectors, books) by beam search, and the norms: own lengths by those of the approximations."""
     n = len(vectors)
     codes = np.zeros((n, 1, 0), np.uint8)
     rest = vectors[:, None, :].astype(np.float32)
@@ -87,66 +91,105 @@ def encoded(vectors: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[n
         at = np.arange(n)[:, None]
         codes = np.concatenate([codes[at, row], word[..., None].astype(np.uint8)], axis=-1)
         rest = rest[at, row] - book[word]
-    codes = codes[:, 0]
-    return codes, np.linalg.norm(vectors - rest[:, 0], axis=1).astype(np.float32)
+    length = np.linalg.norm(vectors - rest[:, 0], axis=1)
+    return codes[:, 0], (np.linalg.norm(vectors, axis=1) / np.where(length > 0, length, 1)).astype(np.float32)
 
 
-def packed_blocks(vectors: DataFrame, n_blocks: int) -> DataFrame:
-    """block, ids, data: blocks of vectors by hash of their ids, each in the order of ids."""
+def coded(vectors: DataFrame, books: np.ndarray) -> DataFrame:
+    """vec_id, code, norm. Equal vectors of a batch get equal codes."""
+
+    def code(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                unique, place = np.unique(np.stack(frame["embedding"].to_list()).astype(np.float64), axis=0, return_inverse=True)
+                codes, norms = encoded(unique, books)
+                yield pd.DataFrame({"vec_id": frame["vec_id"], "code": [codes[i].tobytes() for i in place.ravel()], "norm": norms[place.ravel()]})
+
+    return vectors.mapInPandas(code, "vec_id long, code binary, norm float")
+
+
+def in_blocks(rows: DataFrame, n_blocks: int, columns: dict[str, type]) -> DataFrame:
+    """block, ids and each column as bytes: blocks by hash of vec_id, each in the order of ids."""
 
     def pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("vec_id", kind="stable")
-        data = np.stack(frame["embedding"].to_list()).astype(np.float64)
-        return pd.DataFrame({"block": [key[0]], "ids": [frame["vec_id"].to_numpy(np.int64).tobytes()], "data": [data.tobytes()]})
+        data = {"block": [key[0]], "ids": [frame["vec_id"].to_numpy(np.int64).tobytes()]}
+        for name, kind in columns.items():
+            data[name] = [b"".join(frame[name]) if kind is bytes else np.stack(frame[name].to_list()).astype(kind).tobytes()]
+        return pd.DataFrame(data)
+
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)))
+    return dealt.groupBy("block").applyInPandas(pack, "block long, ids binary, " + ", ".join(f"{name} binary" for name in columns))
+
+
+def scored(tables: np.ndarray, codes: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    """The approximate inner products (queries, vectors) from each query's table (books, queries, words)."""
+    total = np.zeros((tables.shape[1], len(codes)), np.float32)
+    for m, table in enumerate(tables):
+        total += table[:, codes[:, m]]
+    return total * norms
+
+
+def best_of_block(q_ids, queries, ids, codes, norms, books, rerank: int):
+    """For each query the best vectors of a block by their approximate score: query, vector, score; equal ones by id."""
+    tables = np.stack([queries.astype(np.float32) @ book.T for book in books])
+    best = np.empty((len(q_ids), 0), np.float32)
+    found = np.empty((len(q_ids), 0), np.int64)
+    for at in range(0, len(ids), SLICE):
+        own = ids[at : at + SLICE]
+        score = scored(tables, codes[at : at + SLICE], norms[at : at + SLICE])
+        score[q_ids[:, None] == own[None, :]] = -np.inf
+        best = np.concatenate([best, score], axis=1)
+        found = np.concatenate([found, np.broadcast_to(own, score.shape)], axis=1)
+        # Ids are in order, so that a stable sort keeps the smaller id first.
+        order = np.argsort(-best, axis=1, kind="stable")[:, :rerank]
+        best, found = np.take_along_axis(best, order, 1), np.take_along_axis(found, order, 1)
+    keep = best > -np.inf
+    return np.repeat(q_ids, keep.sum(1)), found[keep], best[keep]
+
+
+def approximate(vectors: DataFrame, asked: DataFrame, n: int, n_asked: int, books: np.ndarray, dimensions: int, rerank: int) -> DataFrame:
+    """query_id, vec_id: each query's rerank best of all vectors by their approximate score."""
+    n_blocks, q_blocks = -(-n // BLOCK), max(1, -(-n_asked // QUERY_BLOCK))
+    blocks = staged(in_blocks(coded(vectors, books), n_blocks, {"code": bytes, "norm": np.float32}), "vectors")
+    queries = in_blocks(asked, q_blocks, {"embedding": np.float64}).select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), "embedding")
+    # Each block of queries goes to each block of vectors.
+    numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))
+    asking = staged(queries, "queries").withColumn("block", numbers)
+    met = asking.join(blocks, "block").repartition(max(1, q_blocks * n_blocks // 4), "q_block", "block")
 
-    dealt = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)))
-    return dealt.groupBy("block").applyInPandas(pack, "block long, ids binary, data binary")
+    def answer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.itertuples():
+                q = np.frombuffer(r.embedding).reshape(-1, dimensions)
+                ids = np.frombuffer(r.ids, np.int64)
+                codes = np.frombuffer(r.code, np.uint8).reshape(len(ids), -1)
+                found = best_of_block(np.frombuffer(r.q_ids, np.int64), q, ids, codes, np.frombuffer(r.norm, np.float32), books, rerank)
+                yield pd.DataFrame(dict(zip(("query_id", "vec_id", "near"), found)))
 
+    order = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
+    near = met.mapInPandas(answer, "query_id long, vec_id long, near float")
+    return near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= rerank).select("query_id", "vec_id")
 
-def coded_blocks(blocks: DataFrame, books: np.ndarray, dimensions: int) -> DataFrame:
-    """The blocks with codes and lengths. Equal vectors of a block get equal codes."""
 
-    def code(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            codes, lengths = [], []
-            for data in frame["data"]:
-                unique, place = np.unique(np.frombuffer(data).reshape(-1, dimensions), axis=0, return_inverse=True)
-                own, length = encoded(unique, books)
-                codes.append(own[place.ravel()].tobytes())
-                lengths.append(length[place.ravel()].tobytes())
-            yield frame.assign(codes=codes, lengths=lengths)
-
-    return blocks.mapInPandas(code, "block long, ids binary, data binary, codes binary, lengths binary")
-
-
-def scored(queries: np.ndarray, codes: np.ndarray, books: np.ndarray) -> np.ndarray:
-    """The approximate inner products (queries, vectors), from a table for each query."""
-    total = np.zeros((len(queries), len(codes)), np.float32)
-    for m, book in enumerate(books):
-        total += (queries.astype(np.float32) @ book.T)[:, codes[:, m]]
-    return total
-
-
-def best_of_block(q_ids, queries, ids, vectors, codes, lengths, books, rerank: int, k: int):
-    """For each query the k best vectors of a block: query, vector, score."""
-    score = scored(queries, codes, books)
-    # By the inequality of Cauchy and Schwarz; it only mends what rounding adds to the sums.
-    score = np.minimum(score, np.linalg.norm(queries, axis=1)[:, None].astype(np.float32) * lengths * np.float32(1.0001))
-    score[q_ids[:, None] == ids[None, :]] = -np.inf
-    best = np.argsort(-score, axis=1, kind="stable")[:, :rerank]
-    exact = np.einsum("qrd,qd->qr", vectors[best], queries)
-    exact[np.take_along_axis(score, best, 1) == -np.inf] = -np.inf
-    found = ids[best]
-    order = np.lexsort((found, -exact), axis=1)[:, :k]
-    exact, found = np.take_along_axis(exact, order, 1), np.take_along_axis(found, order, 1)
-    keep = exact > -np.inf
-    return np.repeat(q_ids, keep.sum(1)), found[keep], exact[keep]
+def inner_product(a: str, b: str) -> Column:
+    """In double precision, of two columns of equally long arrays."""
+
+    @F.pandas_udf("double")
+    def product(a: pd.Series, b: pd.Series) -> pd.Series:
+        if not len(a):
+            return pd.Series([], dtype=float)
+        return pd.Series(np.einsum("nd,nd->n", np.stack(a.to_list()), np.stack(b.to_list())))
+
+    return product(a, b)
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, rerank: int = RERANK) -> DataFrame:
     """query_id, rank, vec_id, score of the k best vectors for each query, from vec_id and embedding.
 
-    vec_id must tell vectors apart; a query's own vec_id is not among its candidates.
+    vec_id must tell vectors apart; a query's own vec_id is not among its candidates. No
+    vector is in more than one rerank-th of the candidates, so that the join with the
+    vectors has no hot key.
     """
     kept = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).filter(usable(F.col("embedding")))
     kept = kept.filter("vec_id is not null")
@@ -155,34 +198,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, rerank: in
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dimensions, n = sizes["size"], sizes["count"]
     kept = kept.filter(F.size("embedding") == dimensions)
-    share = min(1.0, SAMPLE / n)
-    sample = kept.filter(F.pmod(F.xxhash64(F.lit(11), "vec_id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(SAMPLE + SAMPLE // 8)
+    sample = kept.orderBy(F.xxhash64(F.lit(11), "vec_id"), "vec_id").limit(SAMPLE)
     books = trained(np.array([r[0] for r in sample.select("embedding").toLocalIterator()]).reshape(-1, dimensions), CODEBOOKS, WORDS)
-    n_blocks = -(-n // BLOCK)
-    blocks = staged(coded_blocks(packed_blocks(kept, n_blocks), books, dimensions), "vectors")
     asked = kept.filter(is_query)
-    n_asked = max(1, -(-asked.count() // QUERY_BLOCK))
-    queries = packed_blocks(asked, n_asked).select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    queries = staged(queries, "queries")
-    # Each block of queries goes to each block of vectors.
-    numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))
-    met = blocks.join(queries.withColumn("block", numbers), "block")
-
-    def answer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for r in frame.itertuples():
-                q = np.frombuffer(r.q_data).reshape(-1, dimensions)
-                v = np.frombuffer(r.data).reshape(-1, dimensions)
-                codes = np.frombuffer(r.codes, np.uint8).reshape(len(v), -1)
-                found = best_of_block(
-                    np.frombuffer(r.q_ids, np.int64), q, np.frombuffer(r.ids, np.int64), v, codes, np.frombuffer(r.lengths, np.float32), books, rerank, k
-                )
-                yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found)))
-
-    return ranked(met.mapInPandas(answer, "query_id long, vec_id long, score double"), k)
-
-
-def ranked(found: DataFrame, k: int) -> DataFrame:
-    """The k best of what all blocks have found for each query, a few for each block."""
+    n_asked = asked.count()
+    near = staged(approximate(kept, asked, n, n_asked, books, dimensions, rerank), "near")
+    own = asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))
+    if n_asked * dimensions * 8 <= BROADCAST_BYTES:
+        own = F.broadcast(own)
+    both = near.join(kept, "vec_id").join(own, "query_id").select("query_id", "vec_id", inner_product("embedding", "asked").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -40,6 +40,33 @@ def test_recall(spark, folder):
         assert all(s == pytest.approx(float(vectors[q] @ vectors[v]), rel=1e-12, abs=1e-12) for v, s in found)
 
 
+def test_recall_of_several_blocks(spark, monkeypatch):
+    """Clustered vectors of different lengths, in many blocks and slices, far more than are reranked."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(300, 32))
+    made = centres[rng.integers(0, 300, 24_000)] * rng.uniform(0.5, 2, (24_000, 1)) + rng.normal(scale=0.3, size=(24_000, 32))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(made.astype(np.float32))]
+    monkeypatch.setattr(quantised, "BLOCK", 2000)
+    monkeypatch.setattr(quantised, "SLICE", 500)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(6)
+    want, got = brute(rows), results(quantised.search(df, F.col("vec_id") % 20 == 0))
+    assert set(want) == set(got)
+    assert np.mean([len({v for v, _ in want[q]} & {v for v, _ in got[q]}) / len(want[q]) for q in want]) >= 0.9
+
+
+def test_norms_enter_the_score():
+    """With coarse codes, scores at the vectors' own lengths find more of the nearest than those of the approximations."""
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(3000, 24)) * rng.uniform(0.2, 3, (3000, 1))
+    books = quantised.trained(vectors[:1500], 4, 16)
+    codes, norms = quantised.encoded(vectors, books)
+    tables = np.stack([vectors[:100].astype(np.float32) @ b.T for b in books])
+    want = np.argsort(-vectors[:100] @ vectors.T, 1)[:, :20]
+    found = [np.argsort(-quantised.scored(tables, codes, n), 1)[:, :96] for n in (norms, np.ones_like(norms))]
+    own, other = (np.mean([len(set(w) & set(f)) for w, f in zip(want, x)]) for x in found)
+    assert own > other + 0.5
+
+
 def test_odd_rows(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [0.0, 0.0], 1), (3, None, 1), (4, [nan, 1.0], 1), (5, [1.0, None], None), (6, [float("inf"), 1.0], 1),
