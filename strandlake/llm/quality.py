@@ -26,7 +26,7 @@ MAX_REPEAT_PERCENT = 30
 #: Line rules: a line of fewer words than this must end a sentence.
 SHORT_LINE = 6
 SENTENCE_END = r"[.!?:;…。！？।]['\")\]”’»]*$"
-#: At least this many separators, and one for every two words, make a navigation line.
+#: At least this many separators, and one for every four words, make a navigation line.
 SEPARATOR = r"(^|[\x20\t])[|»›·>•/]+(?=[\x20\t]|$)"
 MIN_SEPARATORS = 2
 #: Words glued to symbols or to repeated marks; lines with this share of them fail.

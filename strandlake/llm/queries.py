@@ -115,17 +115,17 @@ def secrets_sql() -> str:
             f"regexp_split_to_array(text, '{regex}') AS g, {least} AS least, {'true' if measured else 'false'} AS by_value FROM docs"
         )
     return f"""
-        WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, source, lang FROM documents),
+        WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, source FROM documents),
         found AS ({' UNION ALL '.join(found)}),
         hits AS (
             SELECT r, kind, name, unnest(v) AS value, unnest(list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(g[1:i], lambda x: length(x)))
                 + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)))::BIGINT AS s, unnest(list_transform(m, lambda x: length(x))) AS n, least, by_value
             FROM found WHERE len(m) > 0
         ),
-        good AS (SELECT h.*, source, lang FROM hits h JOIN docs USING (r) WHERE CASE WHEN by_value THEN length(value) ELSE n END >= least),
+        good AS (SELECT h.*, source, text FROM hits h JOIN docs USING (r) WHERE CASE WHEN by_value THEN length(value) ELSE n END >= least),
         held AS (
-            SELECT value, count(DISTINCT coalesce(source, chr(1))) >= {secrets.EXAMPLE_OWNERS}
-                OR count(DISTINCT (coalesce(source, chr(1)), coalesce(lang, chr(1)))) >= {secrets.EXAMPLE_REPOSITORIES} AS example
+            SELECT value, count(DISTINCT coalesce(source, chr(1))) >= {secrets.EXAMPLE_OWNERS} OR (count(DISTINCT coalesce(source, chr(1))) > 1
+                AND count(DISTINCT (coalesce(source, chr(1)), text)) >= {secrets.EXAMPLE_REPOSITORIES}) AS example
             FROM good GROUP BY value
         ),
         spans AS (SELECT g.*, example, kind < {secrets.BASE_KINDS} AS base, name || ':' || s || ':' || (s + n) AS said FROM good g JOIN held USING (value)),

@@ -1,9 +1,14 @@
 """Secret scans with corpus-wide ownership frequency, with DataFrame functions alone.
 
 Patterns propose candidates in whole texts. The hashes of their values are counted
-over the corpus by distinct owners and repositories: a value that many of them hold
-is a widely copied example, one that belongs to a single owner looks live. Spans of
-the three base kinds are always reported; those of the further kinds only if live.
+over the corpus by distinct owners and repositories: a value that several owners hold in
+many places is a widely copied example, one that belongs to a single owner looks live,
+however often that owner repeats it. Spans of the three base kinds are always reported;
+those of the further kinds only if live.
+
+The owner is a column, by default the source. Documents name no repositories, so that by
+default each different text of an owner stands for a repository of its own: mirrors and
+repeated rows count once, and an owner's files separately. Another column can be named.
 
 Places are code points, counted by splitting a text at its matches: a match begins
 after all pieces and matches before it. The running sums are a window within each
@@ -20,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.llm.shared import let, staged
+from strandlake.llm.shared import HOT_ROWS, let, spread_join, staged
 
 #: Kind, pattern, the group that holds the value, least code points, of which group.
 KINDS = (
@@ -31,11 +36,9 @@ KINDS = (
     ("pem", r"(-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----)", 1, 1, 0),
 )
 BASE_KINDS = 3
-#: A value with so many owners, or so many repositories, is an example that was copied.
+#: A value of so many owners, or of more than one with so many repositories together, is an example that was copied.
 EXAMPLE_OWNERS = 3
 EXAMPLE_REPOSITORIES = 5
-#: Copies of each counted value, so that the documents that hold one value are dealt over so many tasks.
-SALTS = 16
 
 
 def candidates(text: Column) -> Column:
@@ -66,23 +69,24 @@ def candidates(text: Column) -> Column:
 
 
 def ownership(spans: DataFrame) -> DataFrame:
-    """value, owners, repositories: who holds each value. No step gathers the holders of a value in one place."""
+    """value, n, owners, repositories: who holds each value, n times. No step gathers the holders of a value in one place."""
     return (
         spans.groupBy("value", "owner", "repository").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("value", "owner").agg(F.count(F.lit(1)).alias("repositories"))
-        .groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"))
+        .groupBy("value", "owner").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("repositories"))
+        .groupBy("value").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"))
     )
 
 
-def scan(docs: DataFrame, owner: str = "source", repository: str = "lang") -> DataFrame:
+def scan(docs: DataFrame, owner: str = "source", repository: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per row of docs: doc_id, counts and spans of each base kind, all spans, n_live, n_example."""
+    text = F.coalesce(F.col("text"), F.lit(""))
     hits = staged(
         docs.select(
             F.monotonically_increasing_id().alias("row"),
             F.col("doc_id").alias("doc_id"),
             F.col(owner).cast("string").alias("owner"),
-            F.col(repository).cast("string").alias("repository"),
-            candidates(F.coalesce(F.col("text"), F.lit(""))).alias("hits"),
+            (F.sha2(text, 256) if repository is None else F.col(repository).cast("string")).alias("repository"),
+            candidates(text).alias("hits"),
         ),
         "secrets",
     )
@@ -95,10 +99,9 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "lang") -> Da
         .select("row", "doc_id", "owner", "repository", "hit.kind", "hit.value", "hit.ok", "hit.long", start.alias("start"))
     )
     held = ownership(hits.filter(F.size("hits") > 0).select("owner", "repository", F.explode("hits").alias("hit")).filter("hit.ok").select("owner", "repository", "hit.value"))
-    example = (F.col("owners") >= EXAMPLE_OWNERS) | (F.col("repositories") >= EXAMPLE_REPOSITORIES)
-    salted = held.select("value", example.alias("example"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    rated = spans.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salted, ["value", "salt"], "left")
-    return with_digests(hits, rated)
+    example = (F.col("owners") >= EXAMPLE_OWNERS) | (F.col("owners") > 1) & (F.col("repositories") >= EXAMPLE_REPOSITORIES)
+    known = staged(held.select("value", "n", example.alias("example")), "held")
+    return with_digests(hits, spread_join(spans, known, "value", "n", "left", hot_rows))
 
 
 def with_digests(hits: DataFrame, rated: DataFrame) -> DataFrame:

@@ -157,6 +157,16 @@ def test_secrets_ownership(spark):
     assert all(got[i]["n_example"] == 1 and got[i]["spans"] == "" for i in range(9))
 
 
+def test_secrets_of_one_owner(spark):
+    """One owner's value stays live in any number of texts; two owners' needs several texts to be an example."""
+    key = lambda c: "ghp_" + c * 30
+    data = [(i, f"{i} {key('a')}", "one") for i in range(9)] + [(20 + i, f"{i} {key('b')}", f"s{i % 2}") for i in range(5)] + [(30 + i, f"same {key('c')}", f"s{i % 2}") for i in range(8)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    want = {r["doc_id"]: (r["n_live"], r["n_example"]) for r in rows(secrets.scan(df))}
+    assert {want[i] for i in range(9)} == {(1, 0)} and {want[20 + i] for i in range(5)} == {(0, 1)} and {want[30 + i] for i in range(8)} == {(1, 0)}
+    assert {r["doc_id"]: (r["n_live"], r["n_example"]) for r in rows(secrets.scan(df, hot_rows=6))} == want
+
+
 def level_targets(sizes, share=1.5, cap=2.0):
     """Reshare the excess until no source is above its cap."""
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
