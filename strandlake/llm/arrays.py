@@ -19,7 +19,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.shared import HOT_ROWS, spread_join, staged
+from strandlake.llm.shared import spread_join, staged
 
 SHARD_KEYS = 1 << 19
 BROADCAST_BYTES = 64 << 20
@@ -227,7 +227,7 @@ def routed(probes: DataFrame, index: DataFrame, shards: int) -> DataFrame:
     return salted.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInPandas(answer, schema)
 
 
-def of_contents(df: DataFrame, content: list[str], pairs: Column, index: DataFrame, shards: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+def of_contents(df: DataFrame, content: list[str], pairs: Column, index: DataFrame, shards: int, hot_rows: int | None = None) -> DataFrame:
     """df with `answers`: the index's answer to each of `pairs` (h1, h2), which depend on the columns `content` alone.
 
     Different contents are looked up once, and those without any answer but 0 have null.

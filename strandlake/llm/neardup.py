@@ -14,7 +14,7 @@ agree meet in buckets. In each bucket the texts are compared with its most centr
 and, where that has not connected the bucket, with its HUBS[-1] most central ones.
 Buckets that are still not connected are finished exactly: their texts of different
 components are compared where their rarest shingles allow that they are similar (a
-prefix filter). Every pair is checked by the overlap of the whole multisets. Classes are
+prefix filter). Hot buckets, texts, hubs and classes are spread over tasks. Every pair is checked by the overlap of the whole multisets. Classes are
 the connected components of the similar pairs.
 
 Defined results: texts without words (null, empty, white space) are in no class but
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.llm.arrays import mixed
-from strandlake.llm.shared import staged, words
+from strandlake.llm.shared import spread_join, staged, words
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -40,6 +40,8 @@ BANDS = 30
 ROWS = 5
 #: Texts of a bucket that the others are compared with, in the first round and in the second; the rest is left to prefixes.
 HUBS = (1, 4)
+#: Pairs that one copy of a text's multiset is compared in.
+PAIRS = 1024
 #: Texts with one rare unit that others are compared with in one part.
 PART = 256
 #: Prefixes of up to so many units are sent along, so that each pair is found once.
@@ -184,30 +186,46 @@ def multisets(docs: DataFrame, texts: DataFrame, wanted: DataFrame, width: int)
 
 
 def similar(pairs: DataFrame, units: DataFrame, similarity: float) -> DataFrame:
-    """pairs (tid, hub) with whether their multisets are similar."""
-    own = pairs.join(units, "tid").select("tid", "hub", F.col("units").alias("own"))
-    both = own.join(units.select(F.col("tid").alias("hub"), "units"), "hub")
-    shared = F.size(F.array_intersect("own", "units"))
-    fits = shared >= F.lit(similarity) * (F.size("own") + F.size("units") - shared)
+    """pairs (tid, hub), staged, with whether their multisets are similar.
+
+    A text of many pairs has a copy of its multiset for each PAIRS of them, and they are
+    dealt to its copies.
+    """
+    both = pairs
+    for key, other in (("tid", "hub"), ("hub", "tid")):
+        per = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / PAIRS).cast("int"))
+        per = staged(per, "per-text")
+        both = spread_join(both, per, key, "n").withColumn(f"{key}_part", F.pmod(F.xxhash64(other), F.col("parts")).cast("int")).drop("parts")
+        copies = units.withColumnRenamed("tid", key).join(per.drop("n"), key)
+        copies = copies.select(key, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias(f"{key}_part"), F.col("units").alias(f"{key}_units"))
+        both = both.join(copies, [key, f"{key}_part"])
+    shared = F.size(F.array_intersect("tid_units", "hub_units"))
+    fits = shared >= F.lit(similarity) * (F.size("tid_units") + F.size("hub_units") - shared)
     return both.select("tid", "hub", fits.alias("fits"))
 
 
+def hubs_of(left: DataFrame, n_hubs: int) -> DataFrame:
+    """band, size and hubs: the most central texts of each bucket."""
+    place = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("central"), "tid"))
+    one = F.struct(F.col("tid").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component"))
+    best = left.withColumn("place", place).filter(F.col("place") <= n_hubs).groupBy("band").agg(F.collect_list(one).alias("hubs"))
+    return staged(best.join(left.groupBy("band").agg(F.count(F.lit(1)).alias("size")), "band"), "hubs")
+
+
 def similar_pairs(docs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """tid, hub: enough of the pairs of similar texts to connect each bucket's.
 
     A text is the more central the more texts it meets in all its buckets.
     """
     met = texts.select(F.explode("bands").alias("band"), "tid", "n")
-    buckets = met.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    shared = staged(met.join(buckets, "band"), "shared")
+    buckets = met.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.count(F.lit(1)).alias("rows")).filter("size > 1")
+    shared = staged(spread_join(met, staged(buckets, "sizes"), "band", "rows"), "shared")
     central = shared.groupBy("tid").agg(F.sum("size").alias("central"))
     left = staged(shared.drop("size").join(central, "tid"), "buckets").withColumn("component", F.col("tid"))
     tested = units = None
     for n_hubs in HUBS:
-        place = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("central"), "tid"))
-        hubs = left.withColumn("place", place).filter(F.col("place") <= n_hubs)
-        hubs = hubs.select("band", F.col("tid").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component"))
-        faced = left.join(hubs, "band").filter((F.col("component") != F.col("hub_component")) & sizes_allow(F.col("n"), F.col("hub_n"), similarity))
+        faced = spread_join(left, hubs_of(left, n_hubs), "band", "size").select("tid", "n", "component", F.explode("hubs").alias("h")).select("tid", "n", "component", "h.*")
+        faced = faced.filter((F.col("component") != F.col("hub_component")) & sizes_allow(F.col("n"), F.col("hub_n"), similarity))
         pairs = faced.select(F.greatest("tid", "hub").alias("tid"), F.least("tid", "hub").alias("hub")).distinct()
         pairs = staged(pairs if tested is None else pairs.join(tested, ["tid", "hub"], "left_anti"), "pairs")
         ends = pairs.select("tid").union(pairs.select(F.col("hub").alias("tid"))).distinct()
@@ -217,10 +235,11 @@ def similar_pairs(docs: DataFrame, texts: DataFrame, width: int, similarity: flo
         tested = now if tested is None else tested.unionByName(now)
         # Buckets that are connected by now, or all of whose pairs are known, need no more pairs.
         joined = components(tested.filter("fits")).withColumnRenamed("id", "tid")
-        left = left.drop("component").join(joined, "tid", "left").withColumn("component", F.coalesce("component", "tid"))
+        left = staged(left.drop("component").join(joined, "tid", "left").withColumn("component", F.coalesce("component", "tid")), "joined")
         known = n_hubs + 1 if n_hubs == HUBS[-1] else 0
         facts = left.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("size"))
-        left = staged(left.join(facts.filter((F.col("a") != F.col("b")) & (F.col("size") > known)).select("band"), "band"), "left")
+        still = staged(facts.filter((F.col("a") != F.col("b")) & (F.col("size") > known)).select("band", "size"), "open-bands")
+        left = staged(spread_join(left, still, "band", "size"), "left")
     found = tested.filter("fits").select("tid", "hub")
     texts_left = staged(left.select("tid", "component").distinct(), "open")
     if not texts_left.head(1):
@@ -268,16 +287,18 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each step takes the smallest component of the neighbours, and then that one's.
     """
-    both = staged(edges.selectExpr("tid a", "hub b").union(edges.selectExpr("hub a", "tid b")).distinct(), "edges")
-    labels = staged(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    both = staged(edges.selectExpr("tid a", "hub id").union(edges.selectExpr("hub a", "tid id")).distinct(), "edges")
+    labels = staged(both.groupBy(F.col("a").alias("i")).agg(F.least(F.min("id"), F.first("a")).alias("component"), F.count(F.lit(1)).alias("degree")).withColumnRenamed("i", "id"), "labels")
     while True:
-        near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("component").alias("near"))
-        lower = labels.join(near, labels["id"] == near["a"]).select("id", "component", F.least("component", "near").alias("low"))
-        jump = labels.select(F.col("id").alias("low"), F.col("component").alias("lowest"))
-        after = staged(lower.join(jump, "low", "left").select("id", "component", F.least("low", F.coalesce("lowest", "low")).alias("next")), "labels")
-        labels = after.select("id", F.col("next").alias("component"))
+        near = spread_join(both, labels, "id", "degree").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
+        lower = staged(labels.join(near, "id").select("id", "component", "degree", F.least("component", "near").alias("low")), "lower")
+        members = lower.groupBy("low").agg(F.count(F.lit(1)).alias("members"))
+        jump = staged(members.join(labels.select(F.col("id").alias("low"), F.col("component").alias("lowest")), "low"), "jump")
+        after = spread_join(lower, jump, "low", "members", "left").select("id", "component", "degree", F.least("low", F.coalesce("lowest", "low")).alias("next"))
+        after = staged(after, "labels")
+        labels = after.select("id", F.col("next").alias("component"), "degree")
         if not after.filter("next != component").head(1):
-            return labels
+            return labels.drop("degree")
 
 
 def grouped(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, n_bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
@@ -304,10 +325,12 @@ def grouped(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY,
 def classes(docs: DataFrame, **options) -> DataFrame:
     """One row per row of docs: doc_id, class_id, class_size (rows of docs in its class)."""
     rows, texts = grouped(docs, **options)
-    named = texts.groupBy("component").agg(F.min("doc").alias("class_id"), F.sum("n_rows").alias("class_size"))
-    of_text = staged(texts.join(named, "component").select("t1", "t2", "class_id", "class_size"), "classes")
+    named = texts.groupBy("component").agg(F.min("doc").alias("class_id"), F.sum("n_rows").alias("class_size"), F.count(F.lit(1)).alias("n_texts"))
+    of_text = spread_join(texts, staged(named, "named"), "component", "n_texts").select(F.struct("t1", "t2").alias("t"), "n_rows", "class_id", "class_size")
+    of_text = staged(of_text, "classes")
     alone = rows.filter("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    together = rows.filter("n > 0").join(of_text, ["t1", "t2"]).select("doc_id", "class_id", "class_size")
+    with_words = rows.filter("n > 0").select("doc_id", F.struct("t1", "t2").alias("t"))
+    together = spread_join(with_words, of_text, "t", "n_rows").select("doc_id", "class_id", "class_size")
     return together.unionByName(alone)
 
 
@@ -315,14 +338,15 @@ def clean(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, of each class but one; that is one with the smallest doc_id. All columns kept."""
     _, texts = grouped(docs, **options)
     named = texts.groupBy("component").agg(
-        F.min(F.struct(F.col("doc").isNull().alias("last"), F.col("doc"), F.col("tid"))).alias("kept"), F.sum("n_rows").alias("class_size")
-    )
-    many = staged(
-        texts.join(named.filter("class_size > 1"), "component").select("t1", "t2", "component", "doc", (F.col("tid") == F.col("kept.tid")).alias("kept")),
-        "many",
+        F.min(F.struct(F.col("doc").isNull().alias("last"), F.col("doc"), F.col("tid"))).alias("kept"), F.sum("n_rows").alias("class_size"), F.count(F.lit(1)).alias("n_texts")
     )
+    named = staged(named.filter("class_size > 1").drop("class_size").withColumnRenamed("kept", "first"), "named")
+    many = spread_join(texts, named, "component", "n_texts").select(F.struct("t1", "t2").alias("t"), "n_rows", "component", "doc", (F.col("tid") == F.col("first.tid")).alias("kept"))
+    many = staged(many, "many")
     row = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), word_hashes(F.col("text")).alias("h"))
-    marked = row.withColumns(text_name(F.col("h"))).drop("h").join(small(many, many.count()), ["t1", "t2"], "left")
+    keyed = row.withColumn("t", F.struct(*[c.alias(n) for n, c in text_name(F.col("h")).items()])).drop("h")
+    sent = many.count() * ROW_BYTES <= BROADCAST_BYTES
+    marked = keyed.join(F.broadcast(many.drop("n_rows")), "t", "left") if sent else spread_join(keyed, many, "t", "n_rows", "left")
     alone = marked.filter("component is null").select("row.*")
     first = marked.filter(F.col("kept") & F.col("doc_id").eqNullSafe(F.col("doc"))).dropDuplicates(["component"]).select("row.*")
     return alone.unionByName(first)

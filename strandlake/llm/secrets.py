@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.llm.shared import HOT_ROWS, let, spread_join, staged
+from strandlake.llm.shared import let, spread_join, staged
 
 #: Kind, pattern, the group that holds the value, least code points, of which group.
 KINDS = (
@@ -77,7 +77,7 @@ def ownership(spans: DataFrame) -> DataFrame:
     )
 
 
-def scan(docs: DataFrame, owner: str = "source", repository: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+def scan(docs: DataFrame, owner: str = "source", repository: str | None = None, hot_rows: int | None = None) -> DataFrame:
     """One row per row of docs: doc_id, counts and spans of each base kind, all spans, n_live, n_example."""
     text = F.coalesce(F.col("text"), F.lit(""))
     hits = staged(

@@ -27,14 +27,14 @@ HOT_ROWS = 1 << 16
 HOT_KEYS = 50_000
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, rows: str, how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, rows: str, how: str = "inner", hot_rows: int | None = None) -> DataFrame:
     """left joined with right by a key that right has once, without its column `rows`: how many rows of left have the key.
 
     The few hot keys, of a number that is bounded, are sent to all tasks, so that none
     gathers the rows of one. Both tables should be staged. how may be inner or left.
     """
     found = right.agg(F.max(rows), F.sum(rows)).first()
-    bound = max(hot_rows, (found[1] or 0) // HOT_KEYS)
+    bound = max(HOT_ROWS if hot_rows is None else hot_rows, (found[1] or 0) // HOT_KEYS)
     if not found[0] or found[0] <= bound:
         return left.join(right.drop(rows), key, how)
     hot = right.filter(F.col(rows) > bound).drop(rows)

@@ -107,3 +107,27 @@ def test_pairs_far_from_central_texts(spark):
     got = neardup.classes(docs, n_bands=6, rows=1).collect()
     assert len({r["class_id"] for r in got}) == 40
     check(docs, got)
+
+
+def test_hot_keys_are_spread(spark, monkeypatch):
+    """One family holds most texts; joins that send hot keys to all tasks give the same classes."""
+    from strandlake.llm import shared
+
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(900):
+        words = [*base]
+        for at in rng.sample(range(0, 120, 8), rng.randrange(0, 3)):
+            words[at] = f"x{rng.random()}"
+        rows.append((i, " ".join(words if i % 3 else base)))
+    rows += [(1000 + i, " ".join(rng.choice(base) for _ in range(60))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = neardup.classes(docs).collect()
+    check(docs, plain)
+    monkeypatch.setattr(shared, "HOT_ROWS", 20)
+    monkeypatch.setattr(neardup, "PAIRS", 16)
+    monkeypatch.setattr(neardup, "BROADCAST_BYTES", 0)
+    spread = neardup.classes(docs).collect()
+    assert sorted(map(tuple, spread)) == sorted(map(tuple, plain))
+    assert {r["doc_id"] for r in neardup.clean(docs).collect()} == {r["class_id"] for r in plain}

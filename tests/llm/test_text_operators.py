@@ -160,7 +160,7 @@ def test_secrets_ownership(spark):
 def test_secrets_of_one_owner(spark):
     """One owner's value stays live in any number of texts; two owners' needs several texts to be an example."""
     key = lambda c: "ghp_" + c * 30
-    data = [(i, f"{i} {key('a')}", "one") for i in range(9)] + [(20 + i, f"{i} {key('b')}", f"s{i % 2}") for i in range(5)] + [(30 + i, f"same {key('c')}", f"s{i % 2}") for i in range(8)]
+    data = [(i, f"{i} {key('X')}", "one") for i in range(9)] + [(20 + i, f"{i} {key('Y')}", f"s{i % 2}") for i in range(5)] + [(30 + i, f"same {key('Z')}", f"s{i % 2}") for i in range(8)]
     df = spark.createDataFrame(data, "doc_id long, text string, source string")
     want = {r["doc_id"]: (r["n_live"], r["n_example"]) for r in rows(secrets.scan(df))}
     assert {want[i] for i in range(9)} == {(1, 0)} and {want[20 + i] for i in range(5)} == {(0, 1)} and {want[30 + i] for i in range(8)} == {(1, 0)}
@@ -213,8 +213,8 @@ def test_mix_rows(odd, docs):
 def test_staged_tables_can_be_cleared(spark):
     import os
 
-    from strandlake.llm import shared
+    from strandlake.sources import staging
 
-    shared.staged(spark.range(3), "test")
-    path = shared.STAGED[-1].removeprefix("file://")
-    assert os.path.isdir(path) and shared.clear_staged(spark) >= 1 and not os.path.exists(path) and not shared.STAGED
+    staging.staged(spark.range(3), "test")
+    path = staging.STAGED[-1].removeprefix("file://")
+    assert os.path.isdir(path) and staging.clear_staged(spark) >= 1 and not os.path.exists(path) and not staging.STAGED
