@@ -62,31 +62,34 @@ def parse_cigar(text: Column) -> Column:
     return F.transform(parts, lambda p: F.struct(F.right(p, F.lit(1)).alias("op"), F.left(p, F.length(p) - 1).cast("int").alias("len")))
 
 
-def walk(cigar: Column) -> Column:
-    """The operations with the offsets on the reference and on the read at which each begins."""
-    step = lambda c, ops: F.when(c["op"].isin(list(ops)), c["len"]).otherwise(0)
-    before = lambda i, ops: F.aggregate(F.slice(cigar, F.lit(1), i), F.lit(0), lambda n, c: n + step(c, ops))
-    return F.transform(
-        cigar,
-        lambda c, i: F.struct(c["op"].alias("op"), c["len"].alias("len"), before(i, ON_REFERENCE).alias("at"), before(i, ON_READ).alias("read_at")),
-    )
+def walk(cigar: Column, on_read: str = ON_READ) -> Column:
+    """The operations with the offsets on the reference and on the read at which each begins, in one pass."""
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("read_at"), F.array().cast("array<struct<op:string,len:int,at:int,read_at:int>>").alias("done"))
+
+    def step(a: Column, c: Column) -> Column:
+        size = c["len"].cast("int")
+        moved = lambda name, ops: (a[name] + F.when(c["op"].isin(list(ops)), size).otherwise(0)).alias(name)
+        one = F.struct(c["op"].alias("op"), size.alias("len"), a["at"].alias("at"), a["read_at"].alias("read_at"))
+        return F.struct(moved("at", ON_REFERENCE), moved("read_at", on_read), F.concat(a["done"], F.array(one)).alias("done"))
+
+    return F.aggregate(cigar, start, step, lambda a: a["done"])
 
 
 def soft_clips(pos: Column, cigar: Column) -> Column:
     """size, read_at, pos of each soft clip. D and N move on along the read too, as the clip list always has it."""
-    on_read = "MIS=XDN"
-    step = lambda c, ops: F.when(c["op"].isin(list(ops)), c["len"]).otherwise(0)
-    before = lambda i, ops: F.aggregate(F.slice(cigar, F.lit(1), i), F.lit(0), lambda n, c: n + step(c, ops))
     marked = F.transform(
-        cigar,
-        lambda c, i: F.struct(
-            c["op"].alias("op"), c["len"].alias("size"),
-            (before(i, on_read) + F.when(i == 0, c["len"]).otherwise(0)).alias("read_at"), (pos + before(i, ON_REFERENCE)).alias("pos"),
-        ),
-    )
+        walk(cigar, "MIS=XDN"),
+        lambda c, i: F.struct(c["op"].alias("op"), c["len"].alias("size"), (c["read_at"] + F.when(i == 0, c["len"]).otherwise(0)).alias("read_at"), (pos + c["at"]).alias("pos")),
+    )
     return F.filter(marked, lambda m: m["op"] == "S")
 
 
+def signs(bases: Column, quals: Column, use) -> Column:
+    """use(held), where held is the read's bases and Phred+33 signs as an array, split only once."""
+    held = F.arrays_zip(F.split(bases, "").alias("base"), F.split(quals, "").alias("sign"))
+    return F.transform(F.array(held), use)[0]
+
+
 def aligned_bases(bases: Column, cigar: Column) -> Column:
     """The bases as they lie along the reference: gaps as -, skipped parts as N, padding as *, clips left out."""
 

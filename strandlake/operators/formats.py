@@ -79,22 +79,32 @@ def yaml(names: list[str]) -> Column:
 def pileup_cells(alignments: DataFrame, ref: Column) -> DataFrame:
     """What pileup_lines takes, of mapped reads; ref is the reference's base at ref_id and p."""
     mapped = alignments.filter(reads.has(F.col("flag"), "mapped"))
+    reverse, bases = reads.has(F.col("flag"), "reverse"), F.col("bases")
     covers = F.filter(
         F.transform(reads.walk(F.col("cigar")), lambda c, i: F.struct(c["op"], c["len"], c["at"], c["read_at"], F.get(F.col("cigar"), i + 1).alias("then"))),
         lambda c: c["op"].isin("M", "=", "X", "D") & (c["len"] > 0),
     )
-    each = mapped.withColumn("end", reads.end_position(F.col("pos"), F.col("cigar"))).withColumn("b", F.explode(covers))
-    each = each.withColumn("step", F.explode(F.sequence(F.lit(0), F.col("b.len") - 1))).withColumn("p", F.col("pos") + F.col("b.at") + F.col("step"))
-    q = F.when(F.col("b.op") != "D", F.col("b.read_at") + F.col("step"))
-    size, at_end = F.col("b.then.len"), (F.col("step") == F.col("b.len") - 1) & (F.col("b.op") != "D")
-    signed = lambda text: F.when(reads.has(F.col("flag"), "reverse"), F.lower(text)).otherwise(F.upper(text))
-    inserted = F.concat(F.lit("+"), size.cast("string"), signed(F.substring(F.col("bases"), F.col("b.read_at") + F.col("b.len") + 1, size)))
-    deleted = F.concat(F.lit("-"), size.cast("string"), signed(F.repeat(F.lit("N"), size)))
-    indel = F.when(at_end & (F.col("b.then.op") == "I"), inserted).when(at_end & (F.col("b.then.op") == "D"), deleted).otherwise("")
-    return each.select(
-        "ref_id", "p", "seq", F.substring(F.col("bases"), q + 1, F.lit(1)).alias("base"), reads.phred(F.col("quals"), q).alias("quality"), "mapq",
-        reads.has(F.col("flag"), "reverse").alias("reverse"), ref.alias("ref"), (F.col("p") == F.col("pos")).alias("first"), (F.col("p") == F.col("end") - 1).alias("last"), indel.alias("indel"),
-    )
+    signed = lambda text: F.when(reverse, F.lower(text)).otherwise(F.upper(text))
+
+    def indel(c: Column) -> Column:
+        size = c["then"]["len"].cast("int")
+        inserted = F.concat(F.lit("+"), size.cast("string"), signed(F.substring(bases, c["read_at"] + c["len"] + 1, size)))
+        deleted = F.concat(F.lit("-"), size.cast("string"), signed(F.repeat(F.lit("N"), size)))
+        return F.when(c["then"]["op"] == "I", inserted).when(c["then"]["op"] == "D", deleted).otherwise("")
+
+    def cell(c: Column, held: Column, step: Column) -> Column:
+        own = F.get(held, F.when(c["op"] != "D", c["read_at"] + step))
+        at_end = (step == c["len"] - 1) & (c["op"] != "D")
+        quality = (F.ascii(own["sign"]) - 33).alias("quality")
+        return F.struct((c["at"] + step).alias("at"), own["base"].alias("base"), quality, F.when(at_end, indel(c)).otherwise("").alias("indel"))
+
+    each = lambda held: lambda c: F.transform(F.sequence(F.lit(0), c["len"] - 1), lambda step: cell(c, held, step))
+    cells = reads.signs(bases, F.col("quals"), lambda held: F.flatten(F.transform(covers, each(held))))
+    end = reads.end_position(F.col("pos"), F.col("cigar")).alias("end")
+    rows = mapped.select("ref_id", "pos", end, "seq", "mapq", reverse.alias("reverse"), F.explode(cells).alias("c")).withColumn("p", F.col("pos") + F.col("c.at"))
+    return rows.select(
+        "ref_id", "p", "seq", "c.base", "c.quality", "mapq", "reverse", ref.alias("ref"), (F.col("p") == F.col("pos")).alias("first"), (F.col("p") == F.col("end") - 1).alias("last"), "c.indel"
+    )
 
 
 def pileup_lines(cells: DataFrame, mapq: bool = False) -> DataFrame:

@@ -26,6 +26,22 @@ def covered(alignments: DataFrame) -> DataFrame:
     return each.withColumn("p", F.col("pos") + F.col("block.at") + F.col("step")).withColumn("q", q).drop("block", "step", "cigar")
 
 
+def based(cigar: Column, bases: Column, quals: Column) -> Column:
+    """at, q, base and bq of each place that a read covers, as one array: rows made of it carry no strings of the read.
+
+    at counts from the read's start on the reference; q, base and bq are null in a deletion.
+    """
+    blocks = F.filter(reads.walk(cigar), lambda c: c["op"].isin("M", "=", "X", "D") & (c["len"] > 0))
+
+    def cell(c: Column, held: Column, step: Column) -> Column:
+        q = F.when(c["op"] != "D", c["read_at"] + step)
+        own = F.get(held, q)
+        return F.struct((c["at"] + step).alias("at"), q.alias("q"), F.upper(own["base"]).alias("base"), (F.ascii(own["sign"]) - 33).alias("bq"))
+
+    each = lambda held: lambda c: F.transform(F.sequence(F.lit(0), c["len"] - 1), lambda step: cell(c, held, step))
+    return reads.signs(bases, quals, lambda held: F.flatten(F.transform(blocks, each(held))))
+
+
 def with_entropy(counts: DataFrame, raw: str) -> Column:
     """Natural entropy of the base counts over all reads at a place, also those that no count holds."""
     share = lambda b: F.col(f"n_{b}") / F.col(raw)
@@ -61,16 +77,14 @@ def pileup(alignments: DataFrame, min_mapq: int = 10, min_baseq: int = 10, min_c
     """
     flag = F.col("flag")
     used = ~reads.has(flag, "failed_qc") & (F.lit(keep_duplicates) | ~reads.has(flag, "duplicate"))
-    facts = alignments.select(
-        "sample", "ref_id", "pos", "flag", "cigar", "mapq", "bases", "quals",
-        used.alias("used"), reads.op_count(F.col("cigar"), "I").alias("ins"), reads.op_count(F.col("cigar"), "D").alias("dels"),
-        reads.has(flag, "reverse").alias("rev"),
+    each = alignments.filter(reads.has(flag, "mapped")).select(
+        "sample", "ref_id", "pos", "mapq", used.alias("used"), reads.op_count(F.col("cigar"), "I").alias("ins"), reads.op_count(F.col("cigar"), "D").alias("dels"),
+        reads.has(flag, "reverse").alias("rev"), F.length("bases").alias("size"), F.explode(based(F.col("cigar"), F.col("bases"), F.col("quals"))).alias("c"),
     )
-    each = covered(facts).select(
-        "sample", "ref_id", "p", "used", "ins", "dels", "rev", "mapq",
-        F.col("q").isNull().alias("gone"), reads.phred(F.col("quals"), F.col("q")).alias("bq"),
-        F.upper(F.substring(F.col("bases"), F.col("q") + 1, F.lit(1))).alias("base"),
-        F.when(F.col("rev"), F.length("bases") - F.col("q") - 1).otherwise(F.col("q")).alias("dist"),
+    q = F.col("c.q")
+    each = each.select(
+        "sample", "ref_id", (F.col("pos") + F.col("c.at")).alias("p"), "used", "ins", "dels", "rev", "mapq", q.isNull().alias("gone"), "c.bq", "c.base",
+        F.when(F.col("rev"), F.col("size") - q - 1).otherwise(q).alias("dist"),
     )
     good = F.col("used") & (F.col("mapq") >= min_mapq) & (F.col("gone") | (F.col("bq") >= min_baseq))
     here = good & ~F.col("gone")

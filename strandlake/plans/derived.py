@@ -97,8 +97,10 @@ def alignments(spark: SparkSession, folder: str) -> DataFrame:
         index = F.when(place.isNull(), (F.col("ok") + F.col("ln") + i) % 4).otherwise(over)
         return F.substring(F.lit(BASES), index.cast("int") + 1, 1)
 
-    quality = lambda i: F.char(F.lit(35) + (F.col("ok") * 13 + F.col("ln") * 7 + i * 31) % 35)
-    quals = F.array_join(F.transform(offsets, quality), "")
+    # Qualities go round a cycle of 35 signs in steps of 31; 26 steps make one sign on, so the text is a part of the cycle.
+    cycle = "".join(chr(35 + i * 31 % 35) for i in range(35 + LENGTH))
+    begin = (F.col("ok") * 13 + F.col("ln") * 7) % 35 * 26 % 35
+    quals = F.substring(F.lit(cycle), (begin + 1).cast("int"), F.lit(LENGTH))
     tag = lambda kind, **v: F.struct(F.lit(kind).alias("type"), *[v.get(n, F.lit(None)).cast(t).alias(n) for n, t in (("i", "long"), ("f", "double"), ("s", "string"))])
     tags = F.map_from_arrays(
         F.when(F.col("ln") == 1, F.array(F.lit("RG"), F.lit("NM"), F.lit("OQ"))).otherwise(F.array(F.lit("RG"), F.lit("NM"))),

@@ -294,3 +294,31 @@ def test_background_of_all_places(spark, kind):
     for r in rows:
         others = [v for p, v in shares[r["ref_id"], r["pos"] // 1000].items() if p != r["pos"]]
         assert r[name] == pytest.approx(sum(others) / len(others) if others else 0, abs=2e-6)
+
+
+def test_walk_of_a_long_read(spark):
+    """A read of 20,000 bases and 5,000 operations has each base once, at its place."""
+    from strandlake.functions import reads
+    from strandlake.operators import pileup
+
+    bases = "".join("ACGT"[i * 7 % 4] for i in range(20_000))
+    row = [("".join(["7M1D1M1I"] * 1250 + ["8749M1I"]), bases, "I" * 20_000)]
+    table = spark.createDataFrame(row, "c string, bases string, quals string").withColumn("cigar", reads.parse_cigar(F.col("c")))
+    cells = table.select(F.explode(pileup.based(F.col("cigar"), F.col("bases"), F.col("quals"))).alias("c")).select("c.*").collect()
+    want, at, q = [], 0, 0
+    for size, op in [(7, "M"), (1, "D"), (1, "M"), (1, "I")] * 1250 + [(8749, "M"), (1, "I")]:
+        for i in range(size):
+            if op != "I":
+                want.append((at + i, None if op == "D" else q + i, None if op == "D" else bases[q + i], None if op == "D" else 40))
+        at, q = at + size * (op != "I"), q + size * (op != "D")
+    assert [tuple(c) for c in cells] == want
+
+
+def test_curve_keeps_close_scores(spark):
+    """Scores that differ by less than any rounding are points of their own."""
+    from strandlake.operators import evaluate
+
+    rows = [(0.50000001, "SOMATIC"), (0.5, "WILDTYPE"), (0.49999999, "SOMATIC"), (0.2, "WILDTYPE")]
+    points = evaluate.curve(spark.createDataFrame(rows, "score double, label string"))
+    assert points.count() == 4
+    assert evaluate.area(points).first()["area"] == pytest.approx(0.75)
