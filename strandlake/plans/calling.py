@@ -10,6 +10,7 @@ from strandlake.operators import caller, features, pileup
 from strandlake.plans import derived
 from strandlake.plans.derived import READS_SQL
 from strandlake.plans.queries import NAMES, PILEUP_SQL, rounded
+from strandlake.sources.staging import staged
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -56,7 +57,17 @@ cand AS (
 )"""
 
 
-@query("paired_places", f"WITH {READS_SQL}, {PAIRS_SQL} SELECT ref_id, pos, ref::INT AS ref, t.n_all AS t_depth, n.n_all AS n_depth FROM pairs")
+#: The few columns of both samples that some queries need, paired in one aggregation.
+SLIM_SQL = f"""{PILEUP_SQL},
+slim AS (
+    SELECT ref_id, pos, any_value(p) AS p, max(n_all) FILTER (sample = 't') AS t_all, max(n_all) FILTER (sample = 'n') AS n_all,
+        any_value(ns) FILTER (sample = 't') AS t_ns, any_value(ns) FILTER (sample = 'n') AS n_ns, max(major) FILTER (sample = 'n') AS n_major, max(minor) FILTER (sample = 'n') AS n_minor
+    FROM pile GROUP BY ref_id, pos HAVING count(DISTINCT sample) = 2
+),
+matched AS (SELECT *, ((p * 1103515245::BIGINT + ref_id * 12345 + 7) % 2147483648) // 65536 % 4 AS ref FROM slim)"""
+
+
+@query("paired_places", f"WITH {READS_SQL}, {SLIM_SQL} SELECT ref_id, pos, ref::INT AS ref, t_all AS t_depth, n_all AS n_depth FROM matched")
 def paired_places(spark: SparkSession, folder: str) -> DataFrame:
     return pairs(spark, folder).select("ref_id", "pos", "ref", F.col("t_n_all").alias("t_depth"), F.col("n_n_all").alias("n_depth"))
 
@@ -88,9 +99,9 @@ def _pmf(k: str, n: str, p: float) -> str:
     return f"exp(lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1) + {k} * ln({p}) + ({n} - {k}) * ln(1 - {p}))"
 
 
-def _genotype_sql(s: str, kind: str) -> str:
+def _genotype_sql(s: str, kind: str, ns: str = "{s}.ns", depth: str = "{s}.n_all") -> str:
     ps = likelihood.PRIORS[kind]
-    each = ", ".join(_pmf(f"{s}.ns[alt + 1]", f"{s}.n_all", p) for p in ps)
+    each = ", ".join(_pmf(f"{ns.format(s=s)}[alt + 1]", depth.format(s=s), p) for p in ps)
     return f"list_transform([{each}], lambda x: x) AS {s}_raw"
 
 
@@ -117,11 +128,11 @@ def genotypes(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "heterozygous_calls",
-    f"WITH {READS_SQL}, {PAIRS_SQL}, het AS (SELECT ref_id, pos, ref, CASE WHEN n.major = ref THEN n.minor ELSE n.major END AS alt, t, n FROM pairs "
-    "WHERE list_max(list_transform(n.ns, lambda x, i: CASE WHEN i - 1 = ref THEN -1 ELSE x END)) >= 2), "
-    f"raw AS (SELECT *, {_genotype_sql('n', 'n')} FROM het), "
+    f"WITH {READS_SQL}, {SLIM_SQL}, het AS (SELECT *, CASE WHEN n_major = ref THEN n_minor ELSE n_major END AS alt FROM matched "
+    "WHERE list_max(list_transform(n_ns, lambda x, i: CASE WHEN i - 1 = ref THEN -1 ELSE x END)) >= 2), "
+    f"raw AS (SELECT *, {_genotype_sql('n', 'n', '{s}_ns', '{s}_all')} FROM het), "
     "shares AS (SELECT *, list_transform(n_raw, lambda x: round(x / CASE WHEN list_sum(n_raw) = 0 THEN 1e-150 ELSE list_sum(n_raw) END, 4)) AS n_s FROM raw) "
-    f"SELECT ref_id, pos, alt::INT AS alt, n.ns[alt + 1] AS n_ac, t.ns[alt + 1] AS t_ac, t.ns[ref + 1] AS t_rc, {_PL.format(s='n')} AS n_pl FROM shares WHERE {_GT.format(s='n')} = '0/1'",
+    f"SELECT ref_id, pos, alt::INT AS alt, n_ns[alt + 1] AS n_ac, t_ns[alt + 1] AS t_ac, t_ns[ref + 1] AS t_rc, {_PL.format(s='n')} AS n_pl FROM shares WHERE {_GT.format(s='n')} = '0/1'",
 )
 def heterozygous_calls(spark: SparkSession, folder: str) -> DataFrame:
     return caller.heterozygous(pairs(spark, folder)).select("ref_id", "pos", F.col("alt").cast("int"), "n_ac", "t_ac", "t_rc", "n_pl")
@@ -188,9 +199,14 @@ def reference_context(spark: SparkSession, folder: str) -> DataFrame:
 # Features -----------------------------------------------------------------------------------
 
 
+def featured_of(found: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    """Paired candidates with what their features need."""
+    named = found.withColumn("other", features.other_index(F.col("ref")).cast("int"))
+    return with_context(features.prepared(named, {"t_": "t", "n_": "n"}), reference_chunks(spark, folder))
+
+
 def featured(spark: SparkSession, folder: str) -> DataFrame:
-    found = candidates(spark, folder).withColumn("other", features.other_index(F.col("ref")).cast("int"))
-    return with_context(features.prepared(found, {"t_": "t", "n_": "n"}), reference_chunks(spark, folder))
+    return featured_of(candidates(spark, folder), spark, folder)
 
 
 def _features_frame(df: DataFrame, columns: dict) -> DataFrame:
@@ -200,11 +216,11 @@ def _features_frame(df: DataFrame, columns: dict) -> DataFrame:
 EP = "1e-5"
 
 
-def _samples_sql() -> str:
-    """Columns tD, tDb, tDa, ... of both samples."""
+def _samples_sql(samples: str) -> str:
+    """Columns tD, tDb, tDa, ... of the samples."""
     kinds = {"D": "n", "Q": "bq", "M": "mq", "X": "dist", "R": "rev"}
     out = []
-    for s in "tn":
+    for s in samples:
         for name, kind in kinds.items():
             of = f"[{', '.join(f'{s}.{kind}_{b}' for b in 'ACGT')}]"
             out += [f"{s}.{kind}_all AS {s}{name}", f"{of}[ref + 1] AS {s}{name}b", f"{of}[other + 1] AS {s}{name}a"]
@@ -214,11 +230,21 @@ def _samples_sql() -> str:
     return ", ".join(out)
 
 
-FACTS_SQL = f"""
+def _facts_sql(samples: str) -> str:
+    return f"""
 facts AS (
-    SELECT c.ref_id, c.pos, c.ref, c.other, x.gc, x.re, x.hf, CASE WHEN c.pos < 3 THEN 0 ELSE x.hb END AS hb, {_samples_sql()}
+    SELECT c.ref_id, c.pos, c.ref, c.other, x.gc, x.re, x.hf, CASE WHEN c.pos < 3 THEN 0 ELSE x.hb END AS hb, {_samples_sql(samples)}
     FROM cand c JOIN context x ON c.ref_id = x.ref_id AND c.pos = x.pos
 )"""
+
+
+#: Places and candidates of the tumour sample alone, whatever the normal one has.
+SINGLES_SQL = f"""{PILEUP_SQL},
+pairs AS (SELECT t.ref_id, t.pos, ((t.p * 1103515245::BIGINT + t.ref_id * 12345 + 7) % 2147483648) // 65536 % 4 AS ref, t FROM pile t WHERE t.sample = 't'),
+cand AS (
+    SELECT *, (SELECT coalesce(max_by(i, t.ns[i + 1] * 10 - i), [1, 2, 0, 0][ref + 1]) FROM (SELECT unnest(range(4)) AS i) WHERE i <> ref AND t.ns[i + 1] > 0) AS other
+    FROM pairs WHERE list_max(list_transform(t.ns, lambda x, i: CASE WHEN i - 1 = ref THEN -1 ELSE x END)) >= 2
+)"""
 _RATIOS = {f"ratio_{k}": f"((n{k}a / (nDa + {EP})) / nD) / ((t{k}a / (tDa + {EP})) / tD + {EP})" for k in "RMQX"}
 _CROSS = (
     "CASE WHEN tQ = 0 OR nQ = 0 THEN 0 ELSE list_sum(list_transform([1, 2, 3, 4], lambda i: CASE WHEN tbq[i] = 0 THEN 0 WHEN nbq[i] = 0 THEN 7 * tbq[i] / tQ "
@@ -298,23 +324,20 @@ def _background_sql(s: str) -> str:
     )
 
 
-_OWN = (
-    "(SELECT coalesce(max_by(i, {s}.ns[i + 1] * 10 - i), [1, 2, 0, 0][ref + 1]) FROM (SELECT unnest(range(4)) AS i) WHERE i <> ref AND {s}.ns[i + 1] > 0)"
-)
-BACKGROUND_SQL = f"""
-owns AS (SELECT ref_id, pos, ref, t, n, {_OWN.format(s='t')} AS t_o, {_OWN.format(s='n')} AS n_o FROM cand),
-shared AS (
-    SELECT ref_id, pos, ref_id || ':' || (pos // 1000) AS region, t.ns[t_o + 1] + t.ns[ref + 1] AS t_depth, n.ns[n_o + 1] + n.ns[ref + 1] AS n_depth,
-        coalesce(t.ns[t_o + 1] / nullif(t.ns[t_o + 1] + t.ns[ref + 1], 0), 0) AS t_own, coalesce(n.ns[n_o + 1] / nullif(n.ns[n_o + 1] + n.ns[ref + 1], 0), 0) AS n_own
-    FROM owns
-),
-bg AS (
-    SELECT ref_id, pos, t_depth, n_depth, CASE WHEN count(*) OVER r > 1 THEN greatest(0, least(1, (sum(t_own) OVER r - t_own) / (count(*) OVER r - 1))) END AS t_bg,
-        CASE WHEN count(*) OVER r > 1 THEN greatest(0, least(1, (sum(n_own) OVER r - n_own) / (count(*) OVER r - 1))) END AS n_bg
-    FROM shared WINDOW r AS (PARTITION BY region)
-),
-deep AS (SELECT *, {_background_sql('t')}, {_background_sql('n')} FROM facts JOIN bg USING (ref_id, pos))"""
-_FACTS = f"WITH {READS_SQL}, {PAIRS_SQL}, {CONTEXT_SQL}, {FACTS_SQL}"
+def _regions_sql(samples: str) -> str:
+    """The background of each place, from all places of its region, and facts with it."""
+    most = ", ".join(f"list_max(list_transform({s}.ns, lambda x, i: CASE WHEN i - 1 = ref THEN 0 ELSE x END)) AS {s}_o, {s}.ns[ref + 1] AS {s}_r" for s in samples)
+    own = ", ".join(f"{s}_o + {s}_r AS {s}_depth, coalesce({s}_o / nullif({s}_o + {s}_r, 0), 0) AS {s}_own" for s in samples)
+    mean = ", ".join(f"{s}_depth, CASE WHEN count(*) OVER r > 1 THEN greatest(0, least(1, (sum({s}_own) OVER r - {s}_own) / (count(*) OVER r - 1))) END AS {s}_bg" for s in samples)
+    return f"""
+owns AS (SELECT ref_id, pos, {most} FROM pairs),
+shared AS (SELECT ref_id, pos, {own} FROM owns),
+bg AS (SELECT ref_id, pos, {mean} FROM shared WINDOW r AS (PARTITION BY ref_id, pos // 1000)),
+deep AS (SELECT *, {', '.join(_background_sql(s) for s in samples)} FROM facts JOIN bg USING (ref_id, pos))"""
+
+
+_FACTS = f"WITH {READS_SQL}, {PAIRS_SQL}, {CONTEXT_SQL}, {_facts_sql('tn')}"
+_SINGLE_FACTS = f"WITH {READS_SQL}, {SINGLES_SQL}, {CONTEXT_SQL}, {_facts_sql('t')}"
 
 
 @query("paired_features", f"{_FACTS} SELECT ref_id, pos, {_features_sql(_PAIRED)} FROM facts")
@@ -322,9 +345,20 @@ def paired_features(spark: SparkSession, folder: str) -> DataFrame:
     return _features_frame(featured(spark, folder), features.paired_features())
 
 
-@query("single_features", f"{_FACTS} SELECT ref_id, pos, {_features_sql(_SINGLE)} FROM facts")
+def singles(spark: SparkSession, folder: str) -> DataFrame:
+    """All places of the tumour sample with its reference's base."""
+    return with_reference(caller.single(piles(spark, folder)))
+
+
+def single_featured(spark: SparkSession, folder: str, places: DataFrame) -> DataFrame:
+    """What the features of one sample need, of places' candidates; no normal sample is asked."""
+    found = places.filter(caller.is_candidate(F.col("ref"), normal_percent=None)).withColumn("other", features.other_index(F.col("ref")).cast("int"))
+    return with_context(features.prepared(found, {"t_": "t"}), reference_chunks(spark, folder))
+
+
+@query("single_features", f"{_SINGLE_FACTS} SELECT ref_id, pos, {_features_sql(_SINGLE)} FROM facts")
 def single_features(spark: SparkSession, folder: str) -> DataFrame:
-    return _features_frame(featured(spark, folder), features.single_features())
+    return _features_frame(single_featured(spark, folder, singles(spark, folder)), features.single_features())
 
 
 def with_region(places: DataFrame) -> DataFrame:
@@ -333,23 +367,23 @@ def with_region(places: DataFrame) -> DataFrame:
 
 def deep_places(spark: SparkSession, folder: str) -> DataFrame:
     """Candidates with the backgrounds of all places of their regions, quiet ones among them."""
-    piled = with_region(pairs(spark, folder))
-    return features.with_background(features.with_background(with_region(featured(spark, folder)), "t_", piled), "n_", piled)
+    piled = staged(with_region(pairs(spark, folder)), "pairs")
+    return features.with_background(featured_of(piled.filter(caller.is_candidate(F.col("ref"))), spark, folder), piled, ["t_", "n_"])
 
 
 def deep_single_places(spark: SparkSession, folder: str) -> DataFrame:
-    piled = with_region(with_reference(caller.single(piles(spark, folder))))
-    return features.with_background(with_region(featured(spark, folder)), "t_", piled)
+    piled = staged(with_region(singles(spark, folder)), "singles")
+    return features.with_background(single_featured(spark, folder, piled), piled, ["t_"])
 
 
-@query("deep_features", f"{_FACTS}, {BACKGROUND_SQL} SELECT ref_id, pos, {_features_sql(_DEEP)} FROM deep")
+@query("deep_features", f"{_FACTS}, {_regions_sql('tn')} SELECT ref_id, pos, {_features_sql(_DEEP)} FROM deep")
 def deep_features(spark: SparkSession, folder: str) -> DataFrame:
     return _features_frame(deep_places(spark, folder), features.deep_features())
 
 
 @query(
     "deep_single_features",
-    f"{_FACTS}, {BACKGROUND_SQL} SELECT ref_id, pos, {_features_sql({k: v for k, v in _SINGLE.items() if k != 'other_share'} | {'background': 't_bg', 'background_p': 't_bg_p'})} FROM deep",
+    f"{_SINGLE_FACTS}, {_regions_sql('t')} SELECT ref_id, pos, {_features_sql({k: v for k, v in _SINGLE.items() if k != 'other_share'} | {'background': 't_bg', 'background_p': 't_bg_p'})} FROM deep",
 )
 def deep_single_features(spark: SparkSession, folder: str) -> DataFrame:
     more = {"background": features.clean(F.col("t_bg")), "background_p": features.clean(F.col("t_bg_p"))}
