@@ -1,14 +1,16 @@
 """Call sets against truth: what agrees, rates, curves, boxes.
 
-Scores are rounded to DIGITS, so that a curve has at most 10^DIGITS + 1 points however
-many calls there are; only those points pass through the one window of a curve.
+A curve has a point for each different score; its sums are taken in ranges of scores.
+Histograms have their scores rounded to DIGITS.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.operators.ordered import running
+
 DIGITS = 4
 THRESHOLD = 0.8
 
@@ -48,22 +50,23 @@ def strict_lists(scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def curve(scored: DataFrame) -> DataFrame:
-    """score, fpr, tpr at each score, from the highest down."""
-    positive = is_positive()
-    points = scored.groupBy(F.round("score", DIGITS).alias("score")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n"))
-    down = Window.orderBy(F.desc("score"))
-    every = Window.partitionBy()
-    tpr = F.try_divide(F.sum("p").over(down), F.sum("p").over(every))
-    fpr = F.try_divide(F.sum("n").over(down), F.sum("n").over(every))
-    return points.select("score", fpr.alias("fpr"), tpr.alias("tpr"))
+    """score, fpr, tpr at each different score, from the highest down, and fpr_before, tpr_before at the one above it."""
+    points = scored.groupBy("score").agg(F.count_if(is_positive()).alias("p"), F.count_if(~is_positive()).alias("n"))
+    summed = running(points, [F.desc("score")], {"p_before": F.col("p"), "n_before": F.col("n")}, totals=True)
+    share = lambda k, more: F.try_divide(F.col(f"{k}_before") + more, F.col(f"{k}_before_total"))
+    return summed.select(
+        "score", share("n", F.col("n")).alias("fpr"), share("p", F.col("p")).alias("tpr"), share("n", F.lit(0)).alias("fpr_before"), share("p", F.lit(0)).alias("tpr_before")
+    )
+
+
+def area_under(up_to: float = 1.0) -> Column:
+    """An aggregate over a curve's points: the area from its start to the first point beyond up_to."""
+    step = (F.col("fpr") - F.col("fpr_before")) * (F.col("tpr") + F.col("tpr_before")) / 2
+    return F.sum(F.when(F.col("fpr_before") < up_to, step))
 
 
 def area(points: DataFrame, up_to: float = 1.0) -> DataFrame:
-    """The area under a curve from its start to the first point beyond up_to."""
-    down = Window.orderBy(F.desc("score"))
-    before = lambda c: F.coalesce(F.lag(c).over(down), F.lit(0.0))
-    steps = points.select(((F.col("fpr") - before("fpr")) * (F.col("tpr") + before("tpr")) / 2).alias("step"), before("fpr").alias("begin"))
-    return steps.filter(F.col("begin") < up_to).agg(F.sum("step").alias("area"))
+    return points.agg(area_under(up_to).alias("area"))
 
 
 def histogram(scored: DataFrame) -> DataFrame:

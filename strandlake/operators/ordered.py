@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 from strandlake.sources.staging import staged
 
 
-def running(df: DataFrame, order: list[Column], sums: dict[str, Column], place: str | None = None) -> DataFrame:
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column], place: str | None = None, totals: bool = False) -> DataFrame:
     """df with, for each name, the sum over the rows before it in the order.
 
     sums are columns of whole numbers. place names a column for the rank, from 1, which
     rows with equal keys share; for sums the order should tell rows apart. The table of
-    offsets that all tasks get has one row for each shuffle partition.
+    offsets that all tasks get has one row for each shuffle partition. With totals, each
+    name's sum over all rows comes too, as {name}_total.
     """
     named = {f"_v{i}": c for i, c in enumerate(sums.values())}
     dealt = df.withColumns(named).repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
@@ -27,6 +28,11 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, Column], place:
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     none = lambda c: F.coalesce(c, F.lit(0))
     offsets = per.select("_range", *[none(F.sum(v).over(before)).alias(f"_o{v}") for v in named], none(F.sum("_n").over(before)).alias("_on"))
+    if totals:
+        offsets = per.select(
+            "_range", *[none(F.sum(v).over(before)).alias(f"_o{v}") for v in named], none(F.sum("_n").over(before)).alias("_on"),
+            *[F.sum(v).over(Window.partitionBy()).alias(f"{name}_total") for name, v in zip(sums, named)],
+        )
     inside = Window.partitionBy("_range").orderBy(*order)
     ahead = inside.rowsBetween(Window.unboundedPreceding, -1)
     joined = dealt.join(F.broadcast(offsets), "_range")

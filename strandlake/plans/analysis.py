@@ -11,6 +11,7 @@ from strandlake.plans import calling, derived
 from strandlake.plans.calling import PAIRS_SQL
 from strandlake.plans.derived import READS_SQL
 from strandlake.plans.queries import NAMES, rounded
+from strandlake.sources.staging import staged
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -200,8 +201,7 @@ def roc_curve(spark: SparkSession, folder: str) -> DataFrame:
 @query("roc_area", f"WITH {READS_SQL}, {CALLS_SQL}, {CURVE_SQL} SELECT round(sum((fpr - f0) * (tpr + t0) / 2), 6) AS area, round(sum((fpr - f0) * (tpr + t0) / 2) FILTER (f0 < 0.1), 6) AS area_10 FROM steps")
 def roc_area(spark: SparkSession, folder: str) -> DataFrame:
     points = evaluate.curve(scored(spark, folder))
-    whole, part = evaluate.area(points).select(rounded("area").alias("area")), evaluate.area(points, 0.1).select(rounded("area").alias("area_10"))
-    return whole.withColumn("k", F.lit(1)).join(part.withColumn("k", F.lit(1)), "k").drop("k")
+    return points.agg(rounded(evaluate.area_under()).alias("area"), rounded(evaluate.area_under(0.1)).alias("area_10"))
 
 
 @query("score_histogram", f"WITH {READS_SQL}, {CALLS_SQL} SELECT score, positive, count(*) AS n FROM scored GROUP BY score, positive")
@@ -263,6 +263,6 @@ def training_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("forest_scores")
 def forest_scores(spark: SparkSession, folder: str) -> DataFrame:
-    rows = models.labelled(training_rows(spark, folder), ("SOMATIC",)).cache()
+    rows = staged(models.labelled(training_rows(spark, folder), ("SOMATIC",)), "training")
     model = models.forest(rows, [*features.paired_features()], trees=20, depth=8)
     return models.scored(model, rows).select("ref_id", "pos", "target", rounded("probability", 4).alias("probability"))
