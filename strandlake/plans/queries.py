@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions import reads
-from strandlake.operators import formats, pileup, toolkit
+from strandlake.operators import formats, ordered, pileup, toolkit
 from strandlake.plans import derived
 from strandlake.plans.derived import READS_SQL
 
@@ -189,23 +189,23 @@ def filter_script(aln: DataFrame) -> DataFrame:
 
 @query(
     "sort_by_position",
-    "SELECT seq, ref_id, pos, rank() OVER (ORDER BY ref_id < 0, ref_id, pos, seq) AS place FROM aln QUALIFY place <= 1000",
+    "SELECT seq, ref_id, pos, rank() OVER (ORDER BY ref_id < 0, ref_id, pos, seq) AS place FROM aln",
 )
 def sort_by_position(aln: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
+    """Every read of both files with its place in the order of both."""
+    both = toolkit.merged([aln.filter(F.col("sample") == s).select("seq", "ref_id", "pos") for s in "tn"])
+    return ordered.running(both, toolkit.by_position(), {}, "place")
 
-    order = Window.orderBy(*toolkit.by_position())
-    first = toolkit.merged([aln.filter("sample = 't'"), aln.filter("sample = 'n'")]).orderBy(*toolkit.by_position()).limit(2000)
-    return first.withColumn("place", F.rank().over(order)).filter("place <= 1000").select("seq", "ref_id", "pos", "place")
 
-
-@query("sort_by_tag", "SELECT seq, nm, rank() OVER (ORDER BY nm DESC, seq) AS place FROM aln QUALIFY place <= 500")
+@query("sort_by_tag", "SELECT seq, nm, rank() OVER (ORDER BY nm DESC, seq) AS place FROM aln")
 def sort_by_tag(aln: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
+    found = ordered.running(aln.select("seq", "tags"), toolkit.by_tag("NM", "i", descending=True), {}, "place")
+    return found.select("seq", reads.tag(F.col("tags"), "NM", "i").alias("nm"), "place")
+
 
-    order = toolkit.by_tag("NM", "i", descending=True)
-    top = aln.select("seq", "tags").orderBy(*order).limit(1500)
-    return top.withColumn("place", F.rank().over(Window.orderBy(*order))).filter("place <= 500").select("seq", reads.tag(F.col("tags"), "NM", "i").alias("nm"), "place")
+@query("sort_by_name", "SELECT seq, name, rank() OVER (ORDER BY name, seq) AS place FROM aln")
+def sort_by_name(aln: DataFrame) -> DataFrame:
+    return ordered.running(aln.select("seq", "name"), toolkit.by_name(), {}, "place")
 
 
 @query(
@@ -271,26 +271,26 @@ def convert_sam(aln: DataFrame) -> DataFrame:
 
 @query(
     "convert_json",
-    f"SELECT seq, json_object('name', name, 'alignmentFlag', flag::VARCHAR, 'reference', {NAMES_SQL}[ref_id + 1], 'position', pos + 1, 'mapQuality', mapq, 'cigar', cigar, "
+    f"SELECT seq, replace(json_object('name', name, 'alignmentFlag', flag::VARCHAR, 'reference', CASE WHEN ref_id >= 0 THEN {NAMES_SQL}[ref_id + 1] END, 'position', pos + 1, 'mapQuality', mapq, 'cigar', cigar, "
     f"'mateReference', {NAMES_SQL}[mate_ref_id + 1], 'matePosition', mate_pos + 1, 'insertSize', insert_size, 'queryBases', bases, "
     "'qualities', list_transform(string_split(quals, ''), lambda c: ascii(c) - 33), 'tags', CASE WHEN ln = 1 THEN json_object('RG', rg, 'NM', nm::VARCHAR, 'OQ', reverse(quals)) "
-    "ELSE json_object('RG', rg, 'NM', nm::VARCHAR) END)::VARCHAR AS line FROM strings WHERE ref_id >= 0",
+    "ELSE json_object('RG', rg, 'NM', nm::VARCHAR) END)::VARCHAR, '\"reference\":null,', '') AS line FROM strings",
     BASES_SQL,
 )
 def convert_json(aln: DataFrame) -> DataFrame:
-    return aln.filter("ref_id >= 0").select("seq", formats.json_line(NAMES).alias("line"))
+    return aln.select("seq", formats.json_line(NAMES).alias("line"))
 
 
 @query(
     "convert_yaml",
-    f"SELECT seq, concat('---', chr(10), '- Name: ', name, chr(10), '   AlignmentFlag: ', flag, chr(10), '   Reference: ', {NAMES_SQL}[ref_id + 1], chr(10), "
+    f"SELECT seq, concat('---', chr(10), '- Name: ', name, chr(10), '   AlignmentFlag: ', flag, chr(10), '   Reference: ', CASE WHEN ref_id >= 0 THEN {NAMES_SQL}[ref_id + 1] END, chr(10), "
     "'   Position: ', pos, chr(10), '   MapQuality: ', mapq, chr(10), "
     f"'   MateReference: ', {NAMES_SQL}[mate_ref_id + 1], chr(10), '   MatePosition: ', mate_pos, chr(10), '   InsertSize: ', insert_size, chr(10), "
-    "'   Cigar: ', cigar, chr(10), '   QueryBases: ', bases, chr(10), '   Qualities: ', quals) AS line FROM strings WHERE ref_id >= 0",
+    "'   Cigar: ', cigar, chr(10), '   QueryBases: ', bases, chr(10), '   Qualities: ', quals) AS line FROM strings",
     BASES_SQL,
 )
 def convert_yaml(aln: DataFrame) -> DataFrame:
-    return aln.filter("ref_id >= 0").select("seq", formats.yaml(NAMES).alias("line"))
+    return aln.select("seq", formats.yaml(NAMES).alias("line"))
 
 
 # Pileup -------------------------------------------------------------------------------------

@@ -43,7 +43,7 @@ def chunks(sequences: DataFrame, chunk: int = 4096, margin: int = 512) -> DataFr
 def header(spark: SparkSession, path: str) -> DataFrame:
     """n, kind, fields (a map) and text of each header line."""
     lines = spark.read.text(path).filter(F.col("value").startswith("@")).withColumn("n", F.monotonically_increasing_id())
-    parts = F.slice(F.split("value", "\t"), 2, 1000)
+    parts = F.slice(F.split("value", "\t"), F.lit(2), F.size(F.split("value", "\t")))
     pairs = F.filter(F.transform(parts, lambda p: F.struct(F.substring(p, 1, 2).alias("key"), F.substring(p, F.lit(4), F.length(p)).alias("value"))), lambda p: F.length(p["key"]) == 2)
     kind = F.substring("value", 2, 2)
     fields = F.when(kind != "CO", F.map_from_entries(F.array_distinct(pairs))).otherwise(F.create_map().cast("map<string,string>"))
