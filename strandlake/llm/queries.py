@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import linededup, mixing, neardup, pagetext, pieces, pii, quality, quantised, secrets, urlfilter
+from strandlake.llm import linededup, mixing, neardup, pagetext, pieces, pii, quality, quantised, ranked, secrets, spelling, tokencount, urlfilter
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -87,6 +87,22 @@ def op10_sentencepiece(spark: SparkSession, folder: str, model: str | None = Non
     )
 
 
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op12_token_counts(spark: SparkSession, folder: str, model: str | None = None) -> DataFrame:
+    if model is None:
+        import public_tokenizers
+
+        model = public_tokenizers.path("piece_bpe_32k.model")
+    return tokencount.counts(table(spark, folder, "documents"), model)
+
+
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_pii": op2_pii,
@@ -98,6 +114,9 @@ QUERIES = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_token_counts": op12_token_counts,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 WORD_SQL = r"[^\x20\x09-\x0D]+"
@@ -140,7 +159,26 @@ def secrets_sql() -> str:
         FROM docs LEFT JOIN agg USING (r)"""
 
 
+TERM_SQL = r"[^\x{00}-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+LOWER_SQL = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_ranked_search": f"""
+        WITH docs AS (SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(translate(text, {LOWER_SQL}), '{TERM_SQL}') AS t FROM documents),
+        items AS (SELECT row_number() OVER () AS i, item_id, regexp_extract_all(translate(text, {LOWER_SQL}), '{TERM_SQL}') AS t FROM benchmark),
+        asked AS (SELECT i, t, count(*) AS q FROM (SELECT i, unnest(t) AS t FROM items) GROUP BY i, t),
+        totals AS (SELECT count(*) AS n_docs, sum(len(t))::BIGINT AS n_terms FROM docs WHERE len(t) > 0),
+        held AS (SELECT d, t, count(*) AS tf FROM (SELECT d, unnest(t) AS t FROM docs) WHERE t IN (SELECT t FROM asked) GROUP BY d, t),
+        weights AS (SELECT t, floor(1000 * ln((2 * max(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM held, totals GROUP BY t),
+        lengths AS (SELECT d, doc_id, 100 - 25 + ((25 * len(t) * n_docs) // n_terms) AS m FROM docs, totals WHERE len(t) > 0),
+        scored AS (
+            SELECT i, d, sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+            FROM held JOIN weights USING (t) JOIN lengths USING (d) JOIN asked USING (t) GROUP BY i, d
+        )
+        SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score
+        FROM scored JOIN items USING (i) JOIN docs USING (d) WHERE score > 0
+        QUALIFY row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) <= 20""",
     "op6_secret_scans": secrets_sql(),
     "op4_line_dedup": f"""
         WITH docs AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
