@@ -44,7 +44,7 @@ MIN_COUNT = 2
 FORM_TIMES = 10
 
 #: Different words that a task counts before it passes them on.
-WORDS_TOGETHER = 1 << 18
+WORDS_TOGETHER = 1 << 17
 #: Words up to which so many parts hold.
 PARTS = ((1 << 22, 4), (1 << 26, 6), (1 << 62, 8))
 #: Larger blocks are dealt to pairs of tiles of this size.
@@ -52,9 +52,9 @@ TILE = 4096
 #: Blocks with more rows than the HOT_KEYS-th part of all are the only ones that can be hot, so that few are.
 HOT_KEYS = 50_000
 #: Rows that a task compares together.
-ROWS_TOGETHER = 1 << 17
+ROWS_TOGETHER = 1 << 15
 #: Numbers of a product, and of signs compared, at a time.
-CELLS = 1 << 23
+CELLS = 1 << 21
 #: Blocks of up to this size are multiplied many at a time.
 SMALL = 64
 
@@ -136,7 +136,7 @@ class Block:
         place[np.frombuffer(letters.encode("latin-1"), np.uint8)] = np.arange(len(letters))
         owner = np.repeat(np.arange(len(frame)), self.size)
         counts = np.bincount(owner * len(letters) + place[self.signs], minlength=len(frame) * len(letters))
-        self.counts = counts.reshape(len(frame), len(letters))
+        self.counts = counts.astype(np.int32).reshape(len(frame), len(letters))
         # Sums of squares stay exact in floats of 24 bits for words of this length, and in those of 53 for all.
         self.kind = np.float32 if len(frame) == 0 or self.size.max() < 2000 else np.float64
 
