@@ -15,11 +15,13 @@ def paired(piles: DataFrame) -> DataFrame:
     """Tumour and normal counts of places that both have: columns t_* and n_*.
 
     piles has one row for each sample and place, so that each maximum is over one value:
-    both samples come from one pass over the reads, without a join.
+    both samples come from one pass over the reads, without a join. A pileup is dealt by
+    ref_id and p, so that its pairs are made where it is.
     """
     kept = [c for c in piles.columns if c not in ("sample", "p", *PLACE)]
     side = lambda s: [F.max(F.when(F.col("sample") == s, F.col(c))).alias(f"{s}_{c}") for c in kept]
-    return piles.groupBy(*PLACE).agg(*side("t"), *side("n")).filter("t_n_all is not null and n_n_all is not null")
+    both = piles.groupBy("ref_id", "p").agg(*side("t"), *side("n")).filter("t_n_all is not null and n_n_all is not null")
+    return both.withColumn("pos", F.col("p") + 1).drop("p")
 
 
 def single(piles: DataFrame, sample: str = "t") -> DataFrame:

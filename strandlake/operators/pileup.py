@@ -1,7 +1,8 @@
 """Pileups: reads by the places of the reference that they cover.
 
-Counts are one aggregation by sample, reference and position with partial sums, in any
-order of the reads. Filters that need no base come before the rows are multiplied.
+Reads are dealt by stretches of the reference while they are narrow; each task sums up
+the places of its stretches, and those sums are added up by place, in any order of the
+reads. Rows of single cells never leave the code that makes them.
 """
 
 from __future__ import annotations
@@ -12,6 +13,13 @@ from pyspark.sql import functions as F
 from strandlake.functions import reads
 
 BASES = "ACGT"
+#: Places of a bin by which reads and places meet regions, as bits.
+BIN_BITS = 10
+#: Places of a stretch, as bits.
+STRETCH_BITS = 12
+#: Reads of a stretch that one task piles. A hot stretch has more, and more than the HOT_STRETCHES-th part of all reads.
+HOT_READS = 1 << 17
+HOT_STRETCHES = 50_000
 
 
 def covered(alignments: DataFrame) -> DataFrame:
@@ -26,20 +34,74 @@ def covered(alignments: DataFrame) -> DataFrame:
     return each.withColumn("p", F.col("pos") + F.col("block.at") + F.col("step")).withColumn("q", q).drop("block", "step", "cigar")
 
 
-def based(cigar: Column, bases: Column, quals: Column) -> Column:
-    """at, q, base and bq of each place that a read covers, as one array: rows made of it carry no strings of the read.
+def by_stretch(alignments: DataFrame, hot_reads: int = HOT_READS) -> DataFrame:
+    """alignments with stretch and salt, dealt by them and ref_id: reads of one stretch of the reference share a task.
 
-    at counts from the read's start on the reference; q, base and bq are null in a deletion.
+    Stretches with very many reads are dealt over several tasks. Only places are read to find
+    them, and there are HOT_STRETCHES of them at most.
     """
-    blocks = F.filter(reads.walk(cigar), lambda c: c["op"].isin("M", "=", "X", "D") & (c["len"] > 0))
+    keyed = alignments.withColumn("stretch", F.shiftright("pos", STRETCH_BITS))
+    sizes = keyed.groupBy("ref_id", "stretch").agg(F.count(F.lit(1)).alias("n"))
+    most, total = sizes.agg(F.max("n"), F.sum("n")).first()
+    bound = max(hot_reads, (total or 0) // HOT_STRETCHES)
+    if (most or 0) <= bound:
+        return keyed.withColumn("salt", F.lit(0)).repartition("ref_id", "stretch", "salt")
+    hot = sizes.filter(F.col("n") > bound).select("ref_id", "stretch", F.ceil(F.col("n") / bound).cast("int").alias("_salts"))
+    salt = F.floor(F.rand(3) * F.col("_salts")).cast("int")  # equal reads are dealt too; sums do not depend on it
+    dealt = keyed.join(F.broadcast(hot), ["ref_id", "stretch"], "left").withColumn("salt", F.coalesce(salt, F.lit(0)))
+    return dealt.drop("_salts").repartition("ref_id", "stretch", "salt")
+
+
+def cells(alignments: DataFrame, clip: tuple[str, str] | None = None) -> DataFrame:
+    """One row for each place that a mapped read covers: at (0-based), q, code and bq beside the read's columns.
+
+    bases and quals must be binary; code is the base's byte. q, code and bq are null in a
+    deletion. clip names columns of the first place and the one after the last that count
+    for the read: others are cut before rows are made of them.
+    """
+    blocks = F.filter(reads.walk(F.col("cigar")), lambda c: c["op"].isin("M", "=", "X", "D") & (c["len"] > 0))
+    kept = [c for c in alignments.columns if c != "cigar"]
+    each = alignments.select(*kept, F.explode(blocks).alias("block"))
+    low, high = F.col("pos") + F.col("block.at"), F.col("pos") + F.col("block.at") + F.col("block.len")
+    if clip:
+        low, high = F.greatest(low, F.col(clip[0])), F.least(high, F.col(clip[1]))
+    read_at = F.when(F.col("block.op") != "D", F.col("block.read_at") - F.col("pos") - F.col("block.at"))
+    each = each.select(*kept, low.alias("low"), high.alias("high"), read_at.alias("shift")).filter("low < high")
+    each = each.select(*kept, "shift", F.explode(F.sequence(F.col("low"), F.col("high") - 1)).alias("at"))
+    q = F.col("at") + F.col("shift")
+    byte = lambda column: F.ascii(F.substring(F.col(column), F.col("q") + 1, F.lit(1)).cast("string"))
+    return each.withColumn("q", q.cast("int")).withColumns({"code": byte("bases"), "bq": byte("quals") - 33}).drop("shift")
+
+
+def pieces(regions: DataFrame) -> DataFrame:
+    """region_id, ref_id, bin, lo, hi (0-based, half-open): regions (region_id, ref_id, 1-based closed start and stop) cut at bins.
+
+    A region without start or stop goes from the reference's start, or to its end; it has pieces as far as `size`,
+    a column that such regions need.
+    """
+    low = F.greatest(F.coalesce(F.col("start"), F.lit(1)) - 1, F.lit(0)).cast("long")
+    high = (F.coalesce("stop", "size") if "size" in regions.columns else F.col("stop")).cast("long")
+    whole = regions.select("region_id", F.col("ref_id").cast("int").alias("ref_id"), low.alias("lo"), high.alias("hi")).filter("lo < hi")
+    each = whole.withColumn("bin", F.explode(F.sequence(F.shiftright("lo", BIN_BITS), F.shiftright(F.col("hi") - 1, BIN_BITS))))
+    first = F.shiftleft(F.col("bin"), BIN_BITS)
+    return each.select("region_id", "ref_id", "bin", F.greatest("lo", first).alias("lo"), F.least("hi", first + (1 << BIN_BITS)).alias("hi"))
+
 
-    def cell(c: Column, held: Column, step: Column) -> Column:
-        q = F.when(c["op"] != "D", c["read_at"] + step)
-        own = F.get(held, q)
-        return F.struct((c["at"] + step).alias("at"), q.alias("q"), F.upper(own["base"]).alias("base"), (F.ascii(own["sign"]) - 33).alias("bq"))
+def region_pileup(alignments: DataFrame, regions: DataFrame, min_mapq: int = 10, min_baseq: int = 10, min_count: int = 4, keep_duplicates: bool = False) -> DataFrame:
+    """The pileup of target regions: rows as in `pileup`, with region_id, once for each region that holds a place.
 
-    each = lambda held: lambda c: F.transform(F.sequence(F.lit(0), c["len"] - 1), lambda step: cell(c, held, step))
-    return reads.signs(bases, quals, lambda held: F.flatten(F.transform(blocks, each(held))))
+    regions: see `pieces`. Reads meet regions by bins, each of which has one row. Reads that meet no bin of a region
+    are dropped before anything is made of them; the others have cells only from the first place
+    of the bin's regions to their last one. A place that several regions hold is piled once.
+    """
+    parts = pieces(regions)
+    own = piled_reads(alignments, keep_duplicates).withColumn("end", reads.end_position(F.col("pos"), F.col("cigar")).cast("long")).filter("pos < end")
+    met = own.withColumn("bin", F.explode(F.sequence(F.shiftright(F.col("pos").cast("long"), BIN_BITS), F.shiftright(F.col("end") - 1, BIN_BITS))))
+    held = parts.groupBy("ref_id", "bin").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    cut = met.join(held, ["ref_id", "bin"]).filter("lo < end and hi > pos").drop("bin", "end")
+    piled = placed(cells(by_stretch(cut), ("lo", "hi")), min_mapq, min_baseq, min_count)
+    keyed = piled.withColumn("bin", F.shiftright(F.col("p").cast("long"), BIN_BITS))
+    return keyed.join(parts, ["ref_id", "bin"]).filter("p >= lo and p < hi").drop("bin", "lo", "hi")
 
 
 def with_entropy(counts: DataFrame, raw: str) -> Column:
@@ -67,39 +129,55 @@ def minor_index(counts: list[Column], major: Column) -> Column:
     return index
 
 
-def pileup(alignments: DataFrame, min_mapq: int = 10, min_baseq: int = 10, min_count: int = 4, keep_duplicates: bool = False) -> DataFrame:
-    """One row for each sample, reference and place with min_count counted bases.
-
-    For each base b: n_b, bq_b, mq_b, dist_b, rev_b (sums over counted reads) and
-    indel_b (reads with an insertion or deletion anywhere). For all: the same with
-    _all. pos is 1-based. Reads that failed checks and duplicates are left out of
-    everything; coverage counts the others before quality; raw counts all reads.
-    """
+def piled_reads(alignments: DataFrame, keep_duplicates: bool) -> DataFrame:
+    """What a pileup needs of mapped reads: narrow columns, with texts as bytes."""
     flag = F.col("flag")
     used = ~reads.has(flag, "failed_qc") & (F.lit(keep_duplicates) | ~reads.has(flag, "duplicate"))
-    each = alignments.filter(reads.has(flag, "mapped")).select(
-        "sample", "ref_id", "pos", "mapq", used.alias("used"), reads.op_count(F.col("cigar"), "I").alias("ins"), reads.op_count(F.col("cigar"), "D").alias("dels"),
-        reads.has(flag, "reverse").alias("rev"), F.length("bases").alias("size"), F.explode(based(F.col("cigar"), F.col("bases"), F.col("quals"))).alias("c"),
-    )
-    q = F.col("c.q")
-    each = each.select(
-        "sample", "ref_id", (F.col("pos") + F.col("c.at")).alias("p"), "used", "ins", "dels", "rev", "mapq", q.isNull().alias("gone"), "c.bq", "c.base",
-        F.when(F.col("rev"), F.col("size") - q - 1).otherwise(q).alias("dist"),
+    return alignments.filter(reads.has(flag, "mapped")).select(
+        "sample", "ref_id", "pos", "mapq", "cigar", used.alias("used"), reads.op_count(F.col("cigar"), "I").alias("ins"), reads.op_count(F.col("cigar"), "D").alias("dels"),
+        reads.has(flag, "reverse").alias("rev"), F.length("bases").alias("size"), F.upper("bases").cast("binary").alias("bases"), F.col("quals").cast("binary").alias("quals"), "flag",
     )
-    good = F.col("used") & (F.col("mapq") >= min_mapq) & (F.col("gone") | (F.col("bq") >= min_baseq))
-    here = good & ~F.col("gone")
+
+
+def counted(each: DataFrame, keys: list[str], min_mapq: int, min_baseq: int) -> DataFrame:
+    """Sums over the cells of each key."""
+    each = each.withColumn("dist", F.when(F.col("rev"), F.col("size") - F.col("q") - 1).otherwise(F.col("q")))
+    each = each.withColumn("good", F.col("used") & (F.col("mapq") >= min_mapq) & (F.col("q").isNull() | (F.col("bq") >= min_baseq)))
+    each = each.withColumn("code", F.when(F.col("good") & F.col("q").isNotNull(), F.col("code")))
     total = lambda test, value=None: F.sum(F.when(test, F.lit(1) if value is None else F.col(value)).otherwise(0)).cast("long")
     sums = []
     for b in BASES:
-        own = here & (F.col("base") == b)
+        own = F.col("code") == ord(b)
         sums += [total(own).alias(f"n_{b}"), total(own, "bq").alias(f"bq_{b}"), total(own, "mapq").alias(f"mq_{b}")]
         sums += [total(own, "dist").alias(f"dist_{b}"), total(own & F.col("rev")).alias(f"rev_{b}")]
         sums += [total(own & (F.col("ins") + F.col("dels") > 0)).alias(f"indel_{b}")]
-    counted = each.groupBy("sample", "ref_id", "p").agg(
-        *sums, total(F.col("used")).alias("coverage"), F.count(F.lit(1)).alias("raw"), total(here & (F.col("base") == "N")).alias("ambiguous"),
-        total(good, "ins").alias("ins"), total(good, "dels").alias("dels"),
-    )
-    return finished(counted, min_count)
+    good = F.col("good")
+    sums += [total(F.col("used")).alias("coverage"), F.count(F.lit(1)).alias("raw"), total(F.col("code") == ord("N")).alias("ambiguous"), total(good, "ins").alias("ins"), total(good, "dels").alias("dels")]
+    return each.groupBy(*keys).agg(*sums)
+
+
+def pileup(alignments: DataFrame, min_mapq: int = 10, min_baseq: int = 10, min_count: int = 4, keep_duplicates: bool = False) -> DataFrame:
+    """One row for each sample, reference and place with min_count counted bases.
+
+    For each base b: n_b, bq_b, mq_b, dist_b, rev_b (sums over counted reads) and
+    indel_b (reads with an insertion or deletion anywhere). For all: the same with
+    _all. pos is 1-based. Reads that failed checks and duplicates are left out of
+    everything; coverage counts the others before quality; raw counts all reads.
+
+    Reads are brought together by stretches of the reference, as they are, and each task
+    sums up its places; only those sums go to the places, by ref_id and p, so that what
+    joins or groups by place later needs no exchange of its own.
+    """
+    return placed(cells(by_stretch(piled_reads(alignments, keep_duplicates))), min_mapq, min_baseq, min_count)
+
+
+def placed(each: DataFrame, min_mapq: int, min_baseq: int, min_count: int) -> DataFrame:
+    """The pileup of cells that are dealt by stretch."""
+    each = each.withColumnRenamed("at", "p")
+    near = counted(each, ["sample", "ref_id", "stretch", "salt", "p"], min_mapq, min_baseq)
+    sums = [c for c in near.columns if c not in ("sample", "ref_id", "stretch", "salt", "p")]
+    whole = near.repartition("ref_id", "p").groupBy("sample", "ref_id", "p").agg(*[F.sum(c).alias(c) for c in sums])
+    return finished(whole, min_count)
 
 
 def finished(counted: DataFrame, min_count: int) -> DataFrame:

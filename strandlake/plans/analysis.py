@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions import reads
-from strandlake.operators import caller, evaluate, features, models, regions, resolve, toolkit
+from strandlake.operators import caller, evaluate, features, models, pileup, regions, resolve, toolkit
 from strandlake.plans import calling, derived
 from strandlake.plans.calling import PAIRS_SQL
 from strandlake.plans.derived import READS_SQL
-from strandlake.plans.queries import NAMES, rounded
+from strandlake.plans.queries import NAMES, PILE_COLUMNS, PILEUP_SQL, rounded
 from strandlake.sources.staging import staged
 
 QUERIES: dict = {}
@@ -75,6 +75,16 @@ def reads_by_region(spark: SparkSession, folder: str) -> DataFrame:
     return met.groupBy("region_id").agg(F.count(F.lit(1)).alias("n"), F.sum("mapq").alias("mapq"))
 
 
+@query(
+    "region_tuples",
+    f"WITH {READS_SQL}, {PILEUP_SQL}, {REGIONS_SQL} SELECT region_id, {', '.join(PILE_COLUMNS)}, round(entropy, 6) AS entropy FROM pile JOIN (SELECT region_id, ref_id AS mr, m0, m1 FROM manifest) ON ref_id = mr AND p >= m0 - 1 AND p < m1",
+)
+def region_tuples(spark: SparkSession, folder: str) -> DataFrame:
+    """Pileups of the manifest's regions, which overlap: a place is there for each region that holds it."""
+    found = pileup.region_pileup(derived.alignments(spark, folder), manifest(spark, folder))
+    return found.select("region_id", *PILE_COLUMNS, rounded("entropy").alias("entropy"))
+
+
 @query(
     "region_flanks",
     f"WITH {REGIONS_SQL}, t AS (SELECT DISTINCT chrom, t0 AS start FROM targets), m AS (SELECT chrom, m0, m0 + 6 AS m1 FROM manifest) "

@@ -304,7 +304,8 @@ def test_walk_of_a_long_read(spark):
     bases = "".join("ACGT"[i * 7 % 4] for i in range(20_000))
     row = [("".join(["7M1D1M1I"] * 1250 + ["8749M1I"]), bases, "I" * 20_000)]
     table = spark.createDataFrame(row, "c string, bases string, quals string").withColumn("cigar", reads.parse_cigar(F.col("c")))
-    cells = table.select(F.explode(pileup.based(F.col("cigar"), F.col("bases"), F.col("quals"))).alias("c")).select("c.*").collect()
+    table = table.select(F.lit(0).alias("pos"), "cigar", F.col("bases").cast("binary").alias("bases"), F.col("quals").cast("binary").alias("quals"))
+    cells = pileup.cells(table).orderBy("at", "q").select("at", "q", F.chr("code").alias("base"), "bq").collect()
     want, at, q = [], 0, 0
     for size, op in [(7, "M"), (1, "D"), (1, "M"), (1, "I")] * 1250 + [(8749, "M"), (1, "I")]:
         for i in range(size):
@@ -314,6 +315,48 @@ def test_walk_of_a_long_read(spark):
     assert [tuple(c) for c in cells] == want
 
 
+READS = "sample string, ref_id int, pos int, mapq int, c string, flag int, bases string, quals string"
+
+
+def some_reads(spark, rows):
+    from strandlake.functions import reads
+
+    return spark.createDataFrame(rows, READS).withColumn("cigar", reads.parse_cigar(F.col("c"))).drop("c")
+
+
+def test_hot_stretches_are_dealt(spark, monkeypatch):
+    """A stretch with most of the reads, many of them equal, gives the same pileup when it is dealt over tasks."""
+    rng = random.Random(4)
+    rows = [("t", 0, 100, 30, "20M", 0, "ACGTACGTACGTACGTACGT", "I" * 20)] * 300
+    rows += [("t", 0, rng.randrange(5000), 30, "5M1D5M", rng.choice([0, 16, 1024]), "ACGTACGTAC", "I" * 10) for _ in range(200)]
+    table = some_reads(spark, rows)
+    whole = sorted(map(tuple, pileup.pileup(table).collect()))
+    monkeypatch.setattr(pileup, "HOT_READS", 16)
+    dealt = pileup.by_stretch(table, 16)
+    assert dealt.filter("stretch = 0").select("salt").distinct().count() > 8
+    monkeypatch.setattr(pileup.by_stretch, "__defaults__", (16,))
+    assert sorted(map(tuple, pileup.pileup(table).collect())) == whole
+
+
+def test_region_pileup(spark):
+    """Overlapping, repeated, empty and unbounded regions, and one over several bins, against a plain filter of the whole pileup."""
+    rng = random.Random(5)
+    rows = [("n", rng.randrange(2), rng.randrange(40_000), 30, rng.choice(["10M", "4M3D6M", "5M20000N5M", "2S8M", "3M2I5M"]), 0, "ACGTACGTAC", "I" * 10) for _ in range(3000)]
+    rows += [("n", 0, 16380, 30, "10M", 0, "ACGTACGTAC", "I" * 10)] * 6
+    table = some_reads(spark, rows)
+    regions_ = [(1, 0, 16381, 16390, 50_000), (2, 0, 16385, 16385, 50_000), (3, 0, 100, 39_000, 50_000), (3, 0, 100, 39_000, 50_000), (4, 1, None, None, 50_000), (5, 1, 30, 20, 50_000), (6, 7, 1, 10, 50_000)]
+    targets = spark.createDataFrame(regions_, "region_id int, ref_id int, start long, stop long, size long")
+    got = pileup.region_pileup(table, targets, min_count=1)
+    columns = [c for c in got.columns if c != "region_id"]
+    whole = [r.asDict() for r in pileup.pileup(table, min_count=1).select(*columns).collect()]
+    want = []
+    for i, ref, start, stop, size in regions_:
+        low, high = (start or 1) - 1, stop or size
+        want += [(i, *[r[c] for c in columns]) for r in whole if r["ref_id"] == ref and low <= r["p"] < high]
+    assert sorted(tuple(r[c] for c in ["region_id", *columns]) for r in got.collect()) == sorted(want)
+    assert pileup.region_pileup(table, targets.limit(0)).count() == 0
+
+
 def test_curve_keeps_close_scores(spark):
     """Scores that differ by less than any rounding are points of their own."""
     from strandlake.operators import evaluate
