@@ -11,7 +11,8 @@ from strandlake.plans import calling, derived
 from strandlake.plans.calling import PAIRS_SQL
 from strandlake.plans.derived import READS_SQL
 from strandlake.plans.queries import NAMES, PILE_COLUMNS, PILEUP_SQL, rounded
-from strandlake.sources.staging import staged
+from strandlake.sources import bam
+from strandlake.sources.staging import new_path, staged
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -96,6 +97,21 @@ def region_flanks(spark: SparkSession, folder: str) -> DataFrame:
     return regions.flanks(points, apart).select("chrom", "start", "left", "right")
 
 
+@query(
+    "bam_region_scan",
+    f"WITH {READS_SQL} SELECT name, flag, ref_id, pos, mapq, cigar FROM aln WHERE ref_id = 1 AND pos >= 2000 AND pos < 60000",
+)
+def bam_region_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """All reads written as sorted files, and a region of them read back: the scan takes the filter and decodes six columns."""
+    path = new_path(spark, "bam")
+    spark.dataSource.register(bam.BamSource)
+    head = "\n".join(["@HD\tVN:1.6\tSO:coordinate", *[f"@SQ\tSN:{n}\tLN:{1 << 29}" for n in NAMES], ""])
+    aln = derived.alignments(spark, folder).select(*bam.COLUMNS)
+    aln.repartitionByRange("ref_id", "pos").sortWithinPartitions("ref_id", "pos").write.format("bam").mode("append").option("header", head).save(path)
+    found = bam.scan(spark, path, ["name", "flag", "ref_id", "pos", "mapq", "cigar"]).filter("ref_id = 1 and pos >= 2000 and pos < 60000")
+    return found.withColumn("cigar", reads.cigar_text(F.col("cigar")))
+
+
 # Pairs --------------------------------------------------------------------------------------
 
 RESOLVE_SQL = """
@@ -157,7 +173,7 @@ def scored_calls(spark: SparkSession, folder: str) -> DataFrame:
     """Candidates with the share of the other base as their score."""
     found = calling.candidates(spark, folder).withColumn("alt", caller.alternative(F.col("ref")))
     share = caller.at_index("t_", "n", F.col("alt")) / F.col("t_n_all")
-    return found.select("ref_id", "pos", F.round(share, evaluate.DIGITS).alias("score"))
+    return found.select("ref_id", "pos", share.alias("score"))
 
 
 def truth(spark: SparkSession, folder: str) -> DataFrame:
@@ -168,7 +184,7 @@ def truth(spark: SparkSession, folder: str) -> DataFrame:
 
 
 CALLS_SQL = f"""{PAIRS_SQL},
-calls AS (SELECT ref_id, pos, round(t.ns[alt + 1] / t.n_all, 4) AS score FROM cand),
+calls AS (SELECT ref_id, pos, t.ns[alt + 1] / t.n_all AS score FROM cand),
 truth AS (
     SELECT ref_id, pos, CASE WHEN ((pos - 1)::BIGINT * 69621 + ref_id * 17) % 2147483647 % 97 = 0 THEN 'SOMATIC' WHEN pos % 7 = 0 THEN 'WILDTYPE' END AS label
     FROM (SELECT DISTINCT ref_id, pos + i AS pos FROM (SELECT ref_id, pos, unnest(range(1, 8)) AS i FROM aln WHERE ref_id >= 0))
@@ -214,7 +230,7 @@ def roc_area(spark: SparkSession, folder: str) -> DataFrame:
     return points.agg(rounded(evaluate.area_under()).alias("area"), rounded(evaluate.area_under(0.1)).alias("area_10"))
 
 
-@query("score_histogram", f"WITH {READS_SQL}, {CALLS_SQL} SELECT score, positive, count(*) AS n FROM scored GROUP BY score, positive")
+@query("score_histogram", f"WITH {READS_SQL}, {CALLS_SQL} SELECT round(score, 4) AS score, positive, count(*) AS n FROM scored GROUP BY ALL")
 def score_histogram(spark: SparkSession, folder: str) -> DataFrame:
     return evaluate.histogram(scored(spark, folder))
 

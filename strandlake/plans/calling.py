@@ -155,13 +155,13 @@ def reference_chunks(spark: SparkSession, folder: str) -> DataFrame:
 def with_context(places: DataFrame, chunks: DataFrame) -> DataFrame:
     """places (ref_id, 1-based pos) with hf, hb, gc, re and trinucleotide."""
     keyed = places.withColumn("chunk", F.floor((F.col("pos") - 1) / sequence.CHUNK))
-    held = chunks.select("ref_id", "chunk", "size", F.col("bases").alias("seq"), F.col("offset").alias("seq_at"))
+    held = sequence.with_runs(chunks).select("ref_id", "chunk", "size", "runs", F.col("bases").alias("seq"), F.col("offset").alias("seq_at"))
     joined = keyed.join(held, ["ref_id", "chunk"]).withColumn("_w", sequence.window(F.col("pos"), F.col("size")))
     pos = F.col("pos")
     return joined.withColumns(
         {"hf": sequence.homopolymer_forward(pos), "hb": sequence.homopolymer_backward(pos), "gc": sequence.gc_content(F.col("_w")),
          "re": sequence.sequence_entropy(F.col("_w")), "trinucleotide": sequence.trinucleotide(pos)}
-    ).drop("_w", "seq", "seq_at", "size", "chunk")
+    ).drop("_w", "seq", "seq_at", "size", "chunk", "runs")
 
 
 def _rb(p: str, ref: str = "ref_id") -> str:

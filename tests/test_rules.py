@@ -129,11 +129,44 @@ def test_flanks_in_two_regions_fail(spark):
 
 def test_homopolymers(spark):
     seq = "ACCCGTTTTA"
-    df = spark.createDataFrame([(i, seq, 0) for i in range(1, 11)], "pos int, seq string, seq_at int")
+    df = spark.createDataFrame([(i, seq, 0, None) for i in range(1, 11)], "pos int, seq string, seq_at int, runs array<struct<run_start:long,run_end:long>>")
     got = {r["pos"]: (r["f"], r["b"]) for r in df.select("pos", sequence.homopolymer_forward(F.col("pos")).alias("f"), sequence.homopolymer_backward(F.col("pos")).alias("b")).collect()}
     assert got[1] == (2, 0) and got[5] == (3, 1) and got[10][1] == 3 and got[4] == (0, 0)
 
 
+def test_long_homopolymers(spark):
+    """Runs of any length over several chunks, at the ends and on borders, against a plain count."""
+    rng = random.Random(7)
+    some = lambda n: "".join(rng.choices("ACGT", k=n))
+    seqs = ["A" * 300 + some(3000) + "c" * 5000 + "C" * 5000 + some(500) + "G" * 199 + some(40) + "T" * 256 + some(900) + "G" * 700, some(4096 - 210) + "A" * 210 + "A" * 4096 + "T" + "G" * 4095 + "G" * 3 + some(9), "T" * 10_000]
+    table = spark.createDataFrame(list(enumerate(seqs)), "ref_id int, bases string")
+    chunks = sequence.with_runs(text.chunks(table, sequence.CHUNK, sequence.MARGIN))
+    runs = sequence.long_runs(text.chunks(table, sequence.CHUNK, sequence.MARGIN))
+    want = []
+    for ref, seq in enumerate(seqs):
+        start = 0
+        for i in range(1, len(seq) + 1):
+            if i == len(seq) or seq[i].upper() != seq[start].upper():
+                if i - start >= sequence.LONG_RUN:
+                    want.append((ref, start, i))
+                start = i
+    assert sorted(tuple(r) for r in runs.select("ref_id", "run_start", "run_end").collect()) == want
+    places = [(ref, p) for ref, seq in enumerate(seqs) for p in sorted({*range(1, 6), *rng.sample(range(1, len(seq)), 150), *(x + d for _, a, b in [w for w in want if w[0] == ref] for x in (a, b) for d in (-1, 0, 1, 2))}) if 1 <= p < len(seq)]
+    keyed = spark.createDataFrame(places, "ref_id int, pos long").withColumn("at", F.col("pos") - 1)
+    held = sequence.with_chunk(keyed, chunks, "at")
+    got = {(r["ref_id"], r["pos"]): (r["f"], r["b"]) for r in held.select("ref_id", "pos", sequence.homopolymer_forward(F.col("pos")).alias("f"), sequence.homopolymer_backward(F.col("pos")).alias("b")).collect()}
+    assert len(got) == len(set(places))
+    for (ref, pos), found in got.items():
+        seq = seqs[ref].upper()
+        f = 0
+        while pos + f + 1 < len(seq) and seq[pos + f + 1] == seq[pos]:
+            f += 1
+        b = 0
+        while pos >= 3 and pos - 2 - b - 1 >= 2 and seq[pos - 2 - b - 1] == seq[pos - 2]:
+            b += 1
+        assert found == (f, b), (ref, pos)
+
+
 CIGAR = [("S", 2), ("M", 4), ("I", 1), ("M", 2), ("D", 2), ("N", 3), ("M", 1), ("H", 2)]
 
 
@@ -176,6 +209,81 @@ def test_bam_round_trip(spark, tmp_path):
     assert bam.read_header(str(next((tmp_path / "out").glob("*.bam"))))[1] == [("chr1", 1000), ("chr2", 500)]
 
 
+def made_bam(spark, folder, n=1500, order="unsorted"):
+    """A file of reads of very different sizes: some are longer than several blocks."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(n):
+        size = rng.choice([0, 1, 7, 50, 50, 50, 151]) if i % 97 else 90_001
+        bases = "".join(rng.choices("ACGTN", k=size))
+        quals = "".join(chr(33 + rng.randrange(60)) for _ in range(size)) if rng.random() < 0.8 else ""
+        tags = {"NM": ("i", i, None, None), "XS": ("Z", None, None, "x" * rng.randrange(30))} if i % 3 else {}
+        ref = rng.choice([-1, 0, 0, 1])
+        rows.append((f"read{i}", rng.randrange(2048), ref, -1 if ref < 0 else rng.randrange(1000), rng.randrange(256), [("M", size)] if size else [], rng.choice([-1, 0, 1]), i % 7 - 1, i - 50, bases, quals, tags))
+    rows.sort(key=lambda r: (r[2] < 0, r[2], r[3]) if order == "coordinate" else r[0])
+    spark.dataSource.register(bam.BamSource)
+    head = HEADER.replace("SO:unsorted", f"SO:{order}")
+    spark.createDataFrame(rows, bam.SCHEMA).coalesce(1).write.format("bam").mode("overwrite").option("header", head).save(str(folder))
+    return rows
+
+
+def plain_read(r):
+    return json.dumps(r.asDict(recursive=True), sort_keys=True)
+
+
+@pytest.mark.parametrize("split", [3000, 20_000, 65_536, 1 << 30])
+def test_bam_splits(spark, tmp_path, split):
+    """A file in many splits has the reads of the whole, each once, wherever records cross blocks."""
+    rows = made_bam(spark, tmp_path / "out")
+    back = bam.scan(spark, str(tmp_path / "out"), split_bytes=split)
+    size = sum(f.stat().st_size for f in (tmp_path / "out").glob("*.bam"))
+    assert back.rdd.getNumPartitions() == -(-size // split)
+    assert sorted(map(plain_read, back.collect())) == sorted(map(plain_read, spark.createDataFrame(rows, bam.SCHEMA).collect()))
+
+
+@pytest.mark.parametrize("order", ["unsorted", "coordinate"])
+def test_bam_pushdown(spark, tmp_path, order):
+    rows = made_bam(spark, tmp_path / "out", order=order)
+    table = spark.createDataFrame(rows, bam.SCHEMA)
+    for test in ("ref_id = 0 and pos < 300 and pos >= 100", "ref_id = 1 and pos <= 10", "ref_id < 1", "ref_id in (-1, 1) and mapq > 200", "flag = 4 or pos > 990", "name like 'read1%' and ref_id = 0 and pos = 5"):
+        got = bam.scan(spark, str(tmp_path / "out"), ["pos", "name", "ref_id", "mapq", "flag"], 50_000).filter(test)
+        assert sorted(map(plain_read, got.collect())) == sorted(map(plain_read, table.filter(test).select("pos", "name", "ref_id", "mapq", "flag").collect())), test
+    plan = bam.scan(spark, str(tmp_path / "out"), ["pos", "ref_id"]).filter("ref_id = 0 and pos < 300")._jdf.queryExecution().executedPlan().toString()
+    assert "Filter (" not in plan and "Project [pos" in plan  # the scan has taken all filters
+
+
+def test_bam_stops_early_in_sorted_files(spark, tmp_path):
+    made_bam(spark, tmp_path / "out", order="coordinate")
+    reader = bam.FilteringReader({"path": str(tmp_path / "out")}, ["pos"], {})
+    reader.tests = [("ref_id", "==", 0), ("pos", "<", 100)]
+    bam_together, bam.TOGETHER = bam.TOGETHER, 20
+    try:
+        read = sum(1 for _ in reader.read(reader.partitions()[0]))
+        reader.tests = []
+        assert read * 4 < sum(1 for _ in reader.read(reader.partitions()[0]))
+    finally:
+        bam.TOGETHER = bam_together
+
+
+def test_bam_faults(spark, tmp_path):
+    made_bam(spark, tmp_path / "out", n=300)
+    path = next((tmp_path / "out").glob("*.bam"))
+    data = path.read_bytes()
+    for i, bad in enumerate([data[: len(data) // 2], data[:400] + bytes([data[400] ^ 255]) + data[401:], b"no blocks here"]):
+        (tmp_path / f"{i}.bam").write_bytes(bad)
+        with pytest.raises(Exception):  # noqa: B017
+            bam.scan(spark, str(tmp_path / f"{i}.bam")).count()
+    # A block head with another field before the size.
+    body = data[:10] + b"\x0b\x00" + b"XX\x01\x00z" + data[12:16] + data[16:]
+    assert bam.block_size(body) == bam.block_size(data)
+    made_bam(spark, tmp_path / "two", n=5, order="coordinate")
+    (tmp_path / "two" / "other.bam").write_bytes(data)
+    with pytest.raises(Exception, match="sorted in different ways"):
+        bam.scan(spark, str(tmp_path / "two")).count()
+    with pytest.raises(Exception, match="no such columns"):
+        bam.scan(spark, str(path), ["pos", "nothing"]).count()
+
+
 def test_text_sources(spark, tmp_path):
     (tmp_path / "a.fa").write_text(">one first\nACGTA\nCG\n>two\nGGGTT\nT\n")
     got = [tuple(r) for r in text.fasta(spark, str(tmp_path / "a.fa")).orderBy("ref_id").collect()]
