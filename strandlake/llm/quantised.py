@@ -8,15 +8,16 @@ that of its approximation, are stored in blocks; vectors themselves are not.
 
 A query's inner products with all code words are a table; a vector's score is the sum of
 its code words' entries times its stored norm, so that the quantised direction is scored
-at the vector's true length. Queries come in blocks too; each block of queries meets each
-block of vectors once, and the best RERANK of a block go on. The best RERANK of all
-blocks, for each query, are joined with their vectors, scored exactly in double
+at the vector's true length. Blocks of codes stay where they are, and queries are sent to
+all of them, QUERY_BYTES at a time; the best RERANK of a block go on. The best RERANK of
+all blocks, for each query, are joined with their vectors, scored exactly in double
 precision, and the best of them are the result.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null
 or non-finite components take no part, and neither do rows with a null id; equal vectors
-are found in the order of their ids; with fewer candidates than asked for, all are
-returned; an empty table gives an empty table; other columns are ignored.
+are found in the order of their ids; rows that share an id, or are equal, are vectors and
+queries of their own, each among the candidates of the others; with fewer candidates than
+asked for, all are returned; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,12 +38,13 @@ WORDS = 64
 BEAM = 4
 ROUNDS = 8
 #: Vectors and queries of a block, on average, and vectors that are scored at a time.
-BLOCK = 1 << 16
+BLOCK = 1 << 14
 QUERY_BLOCK = 256
 SLICE = 8192
 #: Candidates of a query that are scored exactly.
 RERANK = 128
-#: Queries of up to this size are sent to all tasks.
+#: Queries that are sent to the blocks at a time, and up to which they are sent to the exact scores.
+QUERY_BYTES = 16 << 20
 BROADCAST_BYTES = 64 << 20
 NEIGHBOURS = 20
 QUERY_EVERY = 20
@@ -96,30 +98,28 @@ def encoded(vectors: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[n
 
 
 def coded(vectors: DataFrame, books: np.ndarray) -> DataFrame:
-    """vec_id, code, norm. Equal vectors of a batch get equal codes."""
+    """row, vec_id, code, norm. Equal vectors of a batch get equal codes."""
 
     def code(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
                 unique, place = np.unique(np.stack(frame["embedding"].to_list()).astype(np.float64), axis=0, return_inverse=True)
                 codes, norms = encoded(unique, books)
-                yield pd.DataFrame({"vec_id": frame["vec_id"], "code": [codes[i].tobytes() for i in place.ravel()], "norm": norms[place.ravel()]})
+                yield pd.DataFrame({"row": frame["row"], "vec_id": frame["vec_id"], "code": [codes[i].tobytes() for i in place.ravel()], "norm": norms[place.ravel()]})
 
-    return vectors.mapInPandas(code, "vec_id long, code binary, norm float")
+    return vectors.mapInPandas(code, "row long, vec_id long, code binary, norm float")
 
 
-def in_blocks(rows: DataFrame, n_blocks: int, columns: dict[str, type]) -> DataFrame:
-    """block, ids and each column as bytes: blocks by hash of vec_id, each in the order of ids."""
+def in_blocks(rows: DataFrame, n_blocks: int) -> DataFrame:
+    """block, rows, ids, code, norm: blocks by hash of the row's number, each in the order of vec_id, with columns as bytes."""
 
     def pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("vec_id", kind="stable")
-        data = {"block": [key[0]], "ids": [frame["vec_id"].to_numpy(np.int64).tobytes()]}
-        for name, kind in columns.items():
-            data[name] = [b"".join(frame[name]) if kind is bytes else np.stack(frame[name].to_list()).astype(kind).tobytes()]
-        return pd.DataFrame(data)
+        frame = frame.sort_values(["vec_id", "row"], kind="stable")
+        flat = {c: [frame[c].to_numpy(kind).tobytes()] for c, kind in (("row", np.int64), ("vec_id", np.int64), ("norm", np.float32))}
+        return pd.DataFrame({"block": [key[0]], "rows": flat["row"], "ids": flat["vec_id"], "code": [b"".join(frame["code"])], "norm": flat["norm"]})
 
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)))
-    return dealt.groupBy("block").applyInPandas(pack, "block long, ids binary, " + ", ".join(f"{name} binary" for name in columns))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(n_blocks)))
+    return dealt.groupBy("block").applyInPandas(pack, "block long, rows binary, ids binary, code binary, norm binary")
 
 
 def scored(tables: np.ndarray, codes: np.ndarray, norms: np.ndarray) -> np.ndarray:
@@ -130,46 +130,56 @@ def scored(tables: np.ndarray, codes: np.ndarray, norms: np.ndarray) -> np.ndarr
     return total * norms
 
 
-def best_of_block(q_ids, queries, ids, codes, norms, books, rerank: int):
-    """For each query the best vectors of a block by their approximate score: query, vector, score; equal ones by id."""
+def best_of_block(q_rows, queries, rows, codes, norms, books, rerank: int):
+    """For each query the best vectors of a block by their approximate score: query, place in the block, score; equal ones in the block's order."""
     tables = np.stack([queries.astype(np.float32) @ book.T for book in books])
-    best = np.empty((len(q_ids), 0), np.float32)
-    found = np.empty((len(q_ids), 0), np.int64)
-    for at in range(0, len(ids), SLICE):
-        own = ids[at : at + SLICE]
+    best = np.empty((len(q_rows), 0), np.float32)
+    found = np.empty((len(q_rows), 0), np.int64)
+    for at in range(0, len(rows), SLICE):
+        own = rows[at : at + SLICE]
         score = scored(tables, codes[at : at + SLICE], norms[at : at + SLICE])
-        score[q_ids[:, None] == own[None, :]] = -np.inf
+        score[q_rows[:, None] == own[None, :]] = -np.inf
         best = np.concatenate([best, score], axis=1)
-        found = np.concatenate([found, np.broadcast_to(own, score.shape)], axis=1)
-        # Ids are in order, so that a stable sort keeps the smaller id first.
+        found = np.concatenate([found, np.broadcast_to(np.arange(at, at + len(own)), score.shape)], axis=1)
+        # Places are in the order of ids, so that a stable sort keeps the smaller id first.
         order = np.argsort(-best, axis=1, kind="stable")[:, :rerank]
         best, found = np.take_along_axis(best, order, 1), np.take_along_axis(found, order, 1)
     keep = best > -np.inf
-    return np.repeat(q_ids, keep.sum(1)), found[keep], best[keep]
+    return np.repeat(q_rows, keep.sum(1)), found[keep], best[keep]
 
 
 def approximate(vectors: DataFrame, asked: DataFrame, n: int, n_asked: int, books: np.ndarray, dimensions: int, rerank: int) -> DataFrame:
-    """query_id, vec_id: each query's rerank best of all vectors by their approximate score."""
-    n_blocks, q_blocks = -(-n // BLOCK), max(1, -(-n_asked // QUERY_BLOCK))
-    blocks = staged(in_blocks(coded(vectors, books), n_blocks, {"code": bytes, "norm": np.float32}), "vectors")
-    queries = in_blocks(asked, q_blocks, {"embedding": np.float64}).select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), "embedding")
-    # Each block of queries goes to each block of vectors.
-    numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))
-    asking = staged(queries, "queries").withColumn("block", numbers)
-    met = asking.join(blocks, "block").repartition(max(1, q_blocks * n_blocks // 4), "q_block", "block")
+    """query, row: the numbers of each query's row and of the rerank best of all vectors by their approximate score.
+
+    Blocks of codes stay where they are; queries are sent to them, a bounded number at a time.
+    """
+    n_blocks = -(-n // BLOCK)
+    blocks = staged(in_blocks(coded(vectors, books), n_blocks), "vectors")
+    passes = max(1, -(-n_asked * dimensions * 8 // QUERY_BYTES))
+    found = [searched(blocks.repartition(n_blocks), asked.filter(F.pmod(F.xxhash64(F.lit(5), "row"), F.lit(passes)) == p), books, dimensions, rerank) for p in range(passes)]
+    near = found[0]
+    for more in found[1:]:
+        near = near.unionByName(more)
+    order = Window.partitionBy("query").orderBy(F.desc("near"), "vec_id", "row")
+    return near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= rerank).select("query", "row")
+
+
+def searched(blocks: DataFrame, asked: DataFrame, books: np.ndarray, dimensions: int, rerank: int) -> DataFrame:
+    """query, row, vec_id, near: the best of each block for each of the queries, which are few enough to be sent to all blocks."""
+    rows = asked.select("row", "embedding").toPandas()
+    sent = asked.sparkSession.sparkContext.broadcast((rows["row"].to_numpy(np.int64), np.array(rows["embedding"].to_list(), np.float64).reshape(-1, dimensions)))
 
     def answer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q_rows, queries = sent.value
         for frame in frames:
             for r in frame.itertuples():
-                q = np.frombuffer(r.embedding).reshape(-1, dimensions)
-                ids = np.frombuffer(r.ids, np.int64)
-                codes = np.frombuffer(r.code, np.uint8).reshape(len(ids), -1)
-                found = best_of_block(np.frombuffer(r.q_ids, np.int64), q, ids, codes, np.frombuffer(r.norm, np.float32), books, rerank)
-                yield pd.DataFrame(dict(zip(("query_id", "vec_id", "near"), found)))
+                own, ids = np.frombuffer(r.rows, np.int64), np.frombuffer(r.ids, np.int64)
+                codes, norms = np.frombuffer(r.code, np.uint8).reshape(len(own), -1), np.frombuffer(r.norm, np.float32)
+                for at in range(0, len(q_rows), QUERY_BLOCK):
+                    query, place, near = best_of_block(q_rows[at : at + QUERY_BLOCK], queries[at : at + QUERY_BLOCK], own, codes, norms, books, rerank)
+                    yield pd.DataFrame({"query": query, "row": own[place], "vec_id": ids[place], "near": near})
 
-    order = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
-    near = met.mapInPandas(answer, "query_id long, vec_id long, near float")
-    return near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= rerank).select("query_id", "vec_id")
+    return blocks.mapInPandas(answer, "query long, row long, vec_id long, near float")
 
 
 def inner_product(a: str, b: str) -> Column:
@@ -187,25 +197,25 @@ def inner_product(a: str, b: str) -> Column:
 def search(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, rerank: int = RERANK) -> DataFrame:
     """query_id, rank, vec_id, score of the k best vectors for each query, from vec_id and embedding.
 
-    vec_id must tell vectors apart; a query's own vec_id is not among its candidates. No
-    vector is in more than one rerank-th of the candidates, so that the join with the
-    vectors has no hot key.
+    Each row is a vector, and a query, of its own, also where rows share a vec_id: a query's
+    candidates are all rows but its own. No row is in more than one rerank-th of the
+    candidates, so that the join with the vectors has no hot key.
     """
     kept = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).filter(usable(F.col("embedding")))
-    kept = kept.filter("vec_id is not null")
+    kept = staged(kept.filter("vec_id is not null").withColumn("row", F.monotonically_increasing_id()), "embeddings")
     sizes = kept.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").first()
     if sizes is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dimensions, n = sizes["size"], sizes["count"]
     kept = kept.filter(F.size("embedding") == dimensions)
-    sample = kept.orderBy(F.xxhash64(F.lit(11), "vec_id"), "vec_id").limit(SAMPLE)
+    sample = kept.orderBy(F.xxhash64(F.lit(11), "vec_id"), "vec_id", "row").limit(SAMPLE)
     books = trained(np.array([r[0] for r in sample.select("embedding").toLocalIterator()]).reshape(-1, dimensions), CODEBOOKS, WORDS)
     asked = kept.filter(is_query)
     n_asked = asked.count()
     near = staged(approximate(kept, asked, n, n_asked, books, dimensions, rerank), "near")
-    own = asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))
+    own = asked.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))
     if n_asked * dimensions * 8 <= BROADCAST_BYTES:
         own = F.broadcast(own)
-    both = near.join(kept, "vec_id").join(own, "query_id").select("query_id", "vec_id", inner_product("embedding", "asked").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    both = near.join(kept, "row").join(own, "query").select("query", "query_id", "vec_id", inner_product("embedding", "asked").alias("score"))
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

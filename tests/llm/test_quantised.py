@@ -81,3 +81,20 @@ def test_many_equal_vectors(spark):
     same = spark.range(3000).select(F.col("id").alias("vec_id"), F.array(F.lit(0.6), F.lit(0.8)).cast("array<float>").alias("embedding"))
     got = results(quantised.search(same, F.col("vec_id") == 40))
     assert [v for v, _ in got[40]] == list(range(20))
+
+
+def test_repeated_rows(spark, monkeypatch):
+    """Rows that share an id, and equal rows, are each found and asked as rows of their own."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=8).astype(np.float32)]) for i in range(60)]
+    rows += [rows[0]] * 3 + [rows[5]] * 40 + [(7, rows[9][1]), (20, rows[0][1])]
+    monkeypatch.setattr(quantised, "BLOCK", 16)
+    monkeypatch.setattr(quantised, "QUERY_BYTES", 128)  # queries in several passes
+    got = quantised.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3), F.col("vec_id") % 20 == 0)
+    vectors = np.array([r[1] for r in rows])
+    want = collections.Counter()
+    for i, (q, _) in enumerate(rows):
+        if q % 20 == 0:
+            near = sorted((-float(vectors[i] @ vectors[j]), v) for j, (v, _) in enumerate(rows) if j != i)[:20]
+            want.update((q, k + 1, v, round(-s, 9)) for k, (s, v) in enumerate(near))
+    assert collections.Counter((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in got.collect()) == want
