@@ -43,8 +43,6 @@ RULES = (
 #: What draws the block list from the corpus where none is given.
 LISTED_WORDS = ("adult", "casino", "porn", "sex", "xxx", "gambling", "poker", "betting", "warez", "torrent", "phishing", "malware", "pills")
 LISTS = ("allow", "block", "host")
-#: Fixed value: the most signs of a host name.
-HOST_SIGNS = 253
 
 
 def parsed(url: Column) -> tuple[Column, Column]:
@@ -118,8 +116,8 @@ def judged(
     host, path = parsed(F.col("url"))
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
     listed = drawn_list(urls) if hosts is None else hosts.select(ascii_lower(F.col("host").cast("string")).alias("host"))
-    listed = staged(listed.filter(F.length("host").between(1, HOST_SIGNS)).distinct(), "listed")
-    # Host names have at most 127 labels, so that this is a short row of numbers.
+    listed = staged(listed.filter(F.length("host") > 0).distinct(), "listed")
+    # The different numbers of labels of listed hosts: a host with k labels adds one number, so that k of them take k * k / 2 signs.
     n_labels = sorted(listed.agg(F.collect_set(F.size(F.split("host", r"\.")))).first()[0])
     keyed = urls.withColumn("keys", keys_of(F.col("host"), F.col("path"), rules, n_labels))
     keys = staged(universe(keyed, rules, listed), "urls")

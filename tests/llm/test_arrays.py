@@ -115,3 +115,13 @@ def test_url_query(spark):
 def test_line_hash_of_kept(spark):
     (row,) = spark.createDataFrame([(1, None)], "doc_id long, text string").transform(linededup.deduped).collect()
     assert hashlib.sha256(row["text"].encode()).hexdigest() == hashlib.sha256(b"").hexdigest()
+
+
+def test_hosts_of_any_length(spark):
+    """A listed host of more signs than host names have in practice blocks its pages."""
+    from strandlake.llm import urlfilter
+
+    long = ".".join(["casino" * 10] * 40)
+    pages = spark.createDataFrame([(1, f"http://{long}/a"), (2, f"http://sub.{long}/"), (3, f"http://x{long}/"), (4, "http://plain.info/")], "page_id long, url string")
+    listed = spark.createDataFrame([(long,)], "host string")
+    assert {r["page_id"]: r["verdict"] for r in urlfilter.judged(pages, hosts=listed).collect()} == {1: "block", 2: "block", 3: "allow", 4: "allow"}
