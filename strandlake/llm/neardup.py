@@ -178,10 +178,11 @@ def sizes_allow(n1: Column, n2: Column, similarity: float) -> Column:
 def multisets(docs: DataFrame, texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """tid, units: of the wanted texts, each read from one of the rows that hold it."""
     chosen = staged(texts.join(wanted, "tid", "left_semi").select("tid", "t1", "t2", F.col("doc").alias("id")), "wanted")
-    rows = docs.select("doc_id", "text").join(small(chosen, chosen.count()), F.col("doc_id").eqNullSafe(F.col("id")))
-    read = rows.withColumn("h", word_hashes(F.col("text")))
-    name = text_name(F.col("h"))
-    read = read.filter((F.col("t1") == name["t1"]) & (F.col("t2") == name["t2"])).select("tid", "h").dropDuplicates(["tid"])
+    ids, n = chosen.select("id").distinct(), chosen.count()
+    # Ids tell which rows to read, however many rows and texts share one; names tell the texts.
+    rows = docs.select("doc_id", "text").join(small(ids, n), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    read = rows.withColumn("h", word_hashes(F.col("text"))).withColumns(text_name(F.col("h")))
+    read = read.join(small(chosen.drop("id"), n), ["t1", "t2"]).select("tid", "h").dropDuplicates(["tid"])
     return staged(read.select("tid", multiset_column(width)("h").alias("units")), "multisets")
 
 

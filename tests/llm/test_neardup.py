@@ -6,7 +6,11 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
 from strandlake.llm import neardup
+from strandlake.llm.shared import staged
 
 
 def multiset(text):
@@ -131,3 +135,20 @@ def test_hot_keys_are_spread(spark, monkeypatch):
     spread = neardup.classes(docs).collect()
     assert sorted(map(tuple, spread)) == sorted(map(tuple, plain))
     assert {r["doc_id"] for r in neardup.clean(docs).collect()} == {r["class_id"] for r in plain}
+
+
+def test_many_texts_of_one_id(spark):
+    """Hundreds of rows without an id, all of different texts, each with a near copy: every text is read once."""
+    rows = []
+    for i in range(300):
+        words = [f"w{i}x{k}" for k in range(60)]
+        rows += [(None, " ".join(words)), (None, " ".join([*words[:59], "end"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = [r["class_size"] for r in neardup.classes(docs).collect()]
+    assert sizes == [2] * 600
+    wanted = spark.range(100).withColumnRenamed("id", "tid")
+    name = neardup.text_name(F.col("h"))
+    read = docs.withColumn("h", neardup.word_hashes(F.col("text"))).select(F.monotonically_increasing_id().alias("tid"), name["t1"].alias("t1"), name["t2"].alias("t2"), F.col("doc_id").alias("doc"))
+    texts = read.withColumn("tid", F.row_number().over(Window.orderBy("tid")).cast("long") - 1)
+    units = neardup.multisets(docs, staged(texts, "t"), wanted, 5)
+    assert units.count() == 100 and units.select("tid").distinct().count() == 100
