@@ -38,11 +38,13 @@ WORDS = 64
 BEAM = 4
 ROUNDS = 8
 #: Vectors and queries of a block, on average, and vectors that are scored at a time.
-BLOCK = 1 << 14
+BLOCK = 1 << 16
 QUERY_BLOCK = 256
 SLICE = 8192
 #: Candidates of a query that are scored exactly.
 RERANK = 128
+#: Tasks that few blocks are copied to, each with a part of the queries.
+TASKS = 12
 #: Queries that are sent to the blocks at a time, and up to which they are sent to the exact scores.
 QUERY_BYTES = 16 << 20
 BROADCAST_BYTES = 64 << 20
@@ -156,7 +158,9 @@ def approximate(vectors: DataFrame, asked: DataFrame, n: int, n_asked: int, book
     n_blocks = -(-n // BLOCK)
     blocks = staged(in_blocks(coded(vectors, books), n_blocks), "vectors")
     passes = max(1, -(-n_asked * dimensions * 8 // QUERY_BYTES))
-    found = [searched(blocks.repartition(n_blocks), asked.filter(F.pmod(F.xxhash64(F.lit(5), "row"), F.lit(passes)) == p), books, dimensions, rerank) for p in range(passes)]
+    slices = max(1, TASKS // n_blocks)
+    dealt = blocks.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).repartition(n_blocks * slices)
+    found = [searched(dealt, slices, asked.filter(F.pmod(F.xxhash64(F.lit(5), "row"), F.lit(passes)) == p), books, dimensions, rerank) for p in range(passes)]
     near = found[0]
     for more in found[1:]:
         near = near.unionByName(more)
@@ -164,15 +168,16 @@ def approximate(vectors: DataFrame, asked: DataFrame, n: int, n_asked: int, book
     return near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= rerank).select("query", "row")
 
 
-def searched(blocks: DataFrame, asked: DataFrame, books: np.ndarray, dimensions: int, rerank: int) -> DataFrame:
+def searched(blocks: DataFrame, slices: int, asked: DataFrame, books: np.ndarray, dimensions: int, rerank: int) -> DataFrame:
     """query, row, vec_id, near: the best of each block for each of the queries, which are few enough to be sent to all blocks."""
     rows = asked.select("row", "embedding").toPandas()
     sent = asked.sparkSession.sparkContext.broadcast((rows["row"].to_numpy(np.int64), np.array(rows["embedding"].to_list(), np.float64).reshape(-1, dimensions)))
 
     def answer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q_rows, queries = sent.value
+        all_rows, all_queries = sent.value
         for frame in frames:
             for r in frame.itertuples():
+                q_rows, queries = all_rows[r.slice :: slices], all_queries[r.slice :: slices]
                 own, ids = np.frombuffer(r.rows, np.int64), np.frombuffer(r.ids, np.int64)
                 codes, norms = np.frombuffer(r.code, np.uint8).reshape(len(own), -1), np.frombuffer(r.norm, np.float32)
                 for at in range(0, len(q_rows), QUERY_BLOCK):
