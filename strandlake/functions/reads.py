@@ -129,6 +129,16 @@ def tag(tags: Column, name: str, field: str) -> Column:
     return F.element_at(tags, name)[field]
 
 
+def tag_names(tags: Column) -> Column:
+    """The names of a read's tags in order."""
+    return F.sort_array(F.map_keys(tags))
+
+
+def tag_type(tags: Column, name: str) -> Column:
+    """A tag's type as it is stored; null for a read without it."""
+    return F.element_at(tags, name)["type"]
+
+
 def with_tag(tags: Column, name: str, kind: str, **value: Column) -> Column:
     """The tags with one added or replaced."""
     fields = [value.get(n, F.lit(None)).cast(t).alias(n) for n, t in (("i", "long"), ("f", "double"), ("s", "string"))]

@@ -69,6 +69,49 @@ def area(points: DataFrame, up_to: float = 1.0) -> DataFrame:
     return points.agg(area_under(up_to).alias("area"))
 
 
+def variant_ratio(alt: Column, ref: Column) -> Column:
+    """The share of variant reads among variant and reference reads; null without either."""
+    return F.try_divide(alt.cast("double"), alt + ref)
+
+
+def labels(truth: DataFrame) -> DataFrame:
+    """The different labels and how many places have each."""
+    return truth.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def labelled_features(rows: DataFrame, calls: DataFrame, key: list[str], threshold: float = THRESHOLD, positive: Column | None = None) -> DataFrame:
+    """rows of features (with label) with the score of their call and their bucket; both null for rows without a call."""
+    met = rows.join(calls.select(*key, "score"), key, "left")
+    return met.withColumn("bucket", F.when(F.col("score").isNotNull(), bucket(threshold, positive)))
+
+
+def integral(scored: DataFrame, step: float = 1.0) -> DataFrame:
+    """score, n, integral: how many calls have each score, and Simpson's integral of n over the scores below it, step apart.
+
+    An even number of points has one interval too many: the mean of the integrals with the
+    trapezium at the first and at the last one. One point has none, and neither has the
+    lowest score, which has no points below it. Sums over even and odd places are running sums
+    over ranges of scores; neighbours meet by their places, without a window over all scores.
+    """
+    points = scored.filter("score is not null").groupBy("score").agg(F.count(F.lit(1)).alias("n"))
+    placed = running(points, [F.asc("score")], {}, "i").withColumn("i", F.col("i") - 1)
+    even = F.when(F.col("i") % 2 == 0, F.col("n")).otherwise(0)
+    summed = running(placed, [F.asc("score")], {"even": even, "odd": F.col("n") - even})
+    # A row's sums are over the places before it; what lies one and two places before comes by the place.
+    near = summed.select(F.explode(F.sequence(F.lit(0), F.lit(2))).alias("back"), "*").withColumn("i", F.col("i") + F.col("back"))
+    at = lambda c, back: F.max(F.when(F.col("back") == back, F.col(c)))
+    met = near.groupBy("i").agg(at("score", 0).alias("score"), at("n", 0).alias("n"), at("even", 0).alias("even"), at("odd", 0).alias("odd"), at("n", 1).alias("last"), at("n", 2).alias("next"))
+    first = placed.agg(F.max(F.when(F.col("i") == 0, F.col("n"))).alias("n0"), F.max(F.when(F.col("i") == 1, F.col("n"))).alias("n1"))
+    joined = met.filter("score is not null").join(F.broadcast(first))  # one row
+    n0, n1, last, before, even, odd = (F.col(c) for c in ("n0", "n1", "last", "next", "even", "odd"))
+    whole = (2 * even - n0 - last + 4 * odd) / 3
+    left = F.when(F.col("i") > 2, (2 * even - n0 - before + 4 * (odd - last)) / 3).otherwise(0)  # all but the last point
+    right = F.when(F.col("i") > 2, (2 * odd - n1 - last + 4 * (even - n0)) / 3).otherwise(0)  # all but the first one
+    both = (left + (before + last) / 2 + right + (n0 + n1) / 2) / 2
+    value = F.when(F.col("i") < 2, 0.0).when(F.col("i") % 2 == 1, whole).otherwise(both) * step
+    return joined.select("score", "n", value.alias("integral"))
+
+
 def histogram(scored: DataFrame) -> DataFrame:
     """How many calls have each score, by truth."""
     return scored.groupBy(F.round("score", DIGITS).alias("score"), is_positive().alias("positive")).agg(F.count(F.lit(1)).alias("n"))

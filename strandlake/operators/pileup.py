@@ -20,6 +20,8 @@ STRETCH_BITS = 12
 #: Reads of a stretch that one task piles. A hot stretch has more, and more than the HOT_STRETCHES-th part of all reads.
 HOT_READS = 1 << 17
 HOT_STRETCHES = 50_000
+#: Settings of a pileup of all places, whatever their qualities and depth.
+ALL_PLACES = {"min_mapq": 0, "min_baseq": 0, "min_count": 0}
 
 
 def covered(alignments: DataFrame) -> DataFrame:
@@ -94,14 +96,22 @@ def region_pileup(alignments: DataFrame, regions: DataFrame, min_mapq: int = 10,
     are dropped before anything is made of them; the others have cells only from the first place
     of the bin's regions to their last one. A place that several regions hold is piled once.
     """
-    parts = pieces(regions)
+    held = pieces(regions).groupBy("ref_id", "bin").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return in_regions(clipped_pileup(alignments, held, min_mapq, min_baseq, min_count, keep_duplicates), regions)
+
+
+def in_regions(places: DataFrame, regions: DataFrame) -> DataFrame:
+    """places (ref_id, 0-based p) with region_id, once for each region that holds one."""
+    keyed = places.withColumn("bin", F.shiftright(F.col("p").cast("long"), BIN_BITS))
+    return keyed.join(pieces(regions), ["ref_id", "bin"]).filter("p >= lo and p < hi").drop("bin", "lo", "hi")
+
+
+def clipped_pileup(alignments: DataFrame, held: DataFrame, min_mapq: int = 10, min_baseq: int = 10, min_count: int = 4, keep_duplicates: bool = False) -> DataFrame:
+    """The pileup of the places from lo to hi (0-based, half-open) of some bins: held has one row (ref_id, bin, lo, hi) for each."""
     own = piled_reads(alignments, keep_duplicates).withColumn("end", reads.end_position(F.col("pos"), F.col("cigar")).cast("long")).filter("pos < end")
     met = own.withColumn("bin", F.explode(F.sequence(F.shiftright(F.col("pos").cast("long"), BIN_BITS), F.shiftright(F.col("end") - 1, BIN_BITS))))
-    held = parts.groupBy("ref_id", "bin").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     cut = met.join(held, ["ref_id", "bin"]).filter("lo < end and hi > pos").drop("bin", "end")
-    piled = placed(cells(by_stretch(cut), ("lo", "hi")), min_mapq, min_baseq, min_count)
-    keyed = piled.withColumn("bin", F.shiftright(F.col("p").cast("long"), BIN_BITS))
-    return keyed.join(parts, ["ref_id", "bin"]).filter("p >= lo and p < hi").drop("bin", "lo", "hi")
+    return placed(cells(by_stretch(cut), ("lo", "hi")), min_mapq, min_baseq, min_count)
 
 
 def with_entropy(counts: DataFrame, raw: str) -> Column:

@@ -57,6 +57,12 @@ def statistics(alignments: DataFrame) -> DataFrame:
     return alignments.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(test).alias(name) for name, test in tests.items()])
 
 
+def percents(counts: DataFrame) -> DataFrame:
+    """The counts of `statistics` as percents of all reads, null without reads; total stays a count."""
+    parts = [c for c in counts.columns if c != "total"]
+    return counts.select("total", *[(F.try_divide(F.col(c), F.col("total")) * 100).alias(c) for c in parts])
+
+
 def insert_sizes(alignments: DataFrame) -> DataFrame:
     """Mean and median of the insert sizes of first mates."""
     sizes = alignments.filter(reads.has(F.col("flag"), "first_mate") & (F.col("insert_size") != 0)).select(F.abs("insert_size").alias("size"))

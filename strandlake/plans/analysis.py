@@ -183,12 +183,14 @@ def truth(spark: SparkSession, folder: str) -> DataFrame:
     return places.select("ref_id", "pos", F.when(varied, "SOMATIC").when(F.col("pos") % 7 == 0, "WILDTYPE").alias("label")).filter("label is not null")
 
 
-CALLS_SQL = f"""{PAIRS_SQL},
-calls AS (SELECT ref_id, pos, t.ns[alt + 1] / t.n_all AS score FROM cand),
+TRUTH_SQL = """
 truth AS (
     SELECT ref_id, pos, CASE WHEN ((pos - 1)::BIGINT * 69621 + ref_id * 17) % 2147483647 % 97 = 0 THEN 'SOMATIC' WHEN pos % 7 = 0 THEN 'WILDTYPE' END AS label
     FROM (SELECT DISTINCT ref_id, pos + i AS pos FROM (SELECT ref_id, pos, unnest(range(1, 8)) AS i FROM aln WHERE ref_id >= 0))
-),
+)"""
+CALLS_SQL = f"""{PAIRS_SQL},
+calls AS (SELECT ref_id, pos, t.ns[alt + 1] / t.n_all AS score FROM cand),
+{TRUTH_SQL},
 scored AS (SELECT c.*, label, label = 'SOMATIC' AS positive FROM calls c JOIN truth t ON c.ref_id = t.ref_id AND c.pos = t.pos WHERE label IS NOT NULL)"""
 
 

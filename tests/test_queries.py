@@ -3,9 +3,9 @@
 import pytest
 from oracle import same
 
-from strandlake.plans import analysis, calling, queries
+from strandlake.plans import analysis, calling, queries, training
 
-ALL = [(m, n) for m in (queries, calling, analysis) for n in m.QUERIES]
+ALL = [(m, n) for m in (queries, calling, analysis, training) for n in m.QUERIES]
 
 
 @pytest.mark.parametrize(("module", "name"), [(m, n) for m, n in ALL if n in m.ORACLE_SQL], ids=lambda x: x if isinstance(x, str) else "")
