@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import reads
@@ -10,6 +10,11 @@ from strandlake.functions import reads
 CONFIDENCE = 0.9973
 MIN_MAPQ = 1
 AMBIGUOUS = 0.1
+#: In a statistics file, instead of a model.
+NO_MODEL = 100
+#: The options of a statistics file, and the line over its read groups.
+STATISTICS_OPTIONS = {"ConfidenceInterval", "ForceMarkReadGroups", "MinimumMapQuality", "UnusedModelThreshold"}
+STATISTICS_FIELDS = "#<name> <medianFL> <minFL> <maxFL> <topModelID> <nextTopModelID> <isAmbiguous?>"
 
 
 def model() -> Column:
@@ -67,13 +72,61 @@ def group_statistics(pairs: DataFrame, confidence: float = CONFIDENCE) -> DataFr
 
 def marked(alignments: DataFrame, min_mapq: int = MIN_MAPQ, confidence: float = CONFIDENCE) -> DataFrame:
     """alignments with the proper-pair bit set for reads of usual pairs, and cleared for all others."""
-    grouped = with_group(alignments)
-    pairs = candidate_pairs(grouped, min_mapq)
-    stats = group_statistics(pairs, confidence).withColumnRenamed("next", "second")
+    pairs = candidate_pairs(with_group(alignments), min_mapq)
+    return marked_by(alignments, group_statistics(pairs, confidence), pairs, min_mapq)
+
+
+def marked_by(alignments: DataFrame, stats: DataFrame, pairs: DataFrame, min_mapq: int = MIN_MAPQ) -> DataFrame:
+    """The same, from statistics of the read groups and the pairs (rg, name) that are known; groups without statistics have no usual pairs."""
     names = pairs.select("rg", "name").distinct().withColumn("known", F.lit(True))
-    joined = grouped.join(stats, "rg", "left").join(names, ["rg", "name"], "left")
+    bounds = stats.select("rg", "top", F.col("next").alias("second"), "shortest", "longest")
+    joined = with_group(alignments).join(bounds, "rg", "left").join(names, ["rg", "name"], "left")
     usual = model().isin(F.col("top"), F.col("second")) | (model() == F.col("top"))
     length = F.abs("insert_size")
     proper = eligible() & (F.col("mapq") >= min_mapq) & usual & (length >= F.col("shortest")) & (length <= F.col("longest")) & F.col("known")
     flag = reads.with_flag(F.col("flag"), "proper_pair", False)
     return joined.withColumn("flag", F.when(F.coalesce(proper, F.lit(False)), reads.with_flag(flag, "proper_pair", True)).otherwise(flag)).select(*alignments.columns)
+
+
+def statistics_lines(stats: DataFrame, options: dict[str, object]) -> DataFrame:
+    """part and value: the lines of a statistics file, to be written in their order. A group without a second model has NO_MODEL there."""
+    spark = stats.sparkSession
+    head = ["[Options]", *[f"{k}={str(v).lower() if isinstance(v, bool) else v}" for k, v in options.items()], "", "[ReadGroups]", STATISTICS_FIELDS]
+    fixed = spark.createDataFrame([(i, line) for i, line in enumerate(head)], "part int, value string")
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit(str(NO_MODEL) if c == "next" else "")) for c in ("rg", "middle", "shortest", "longest", "top", "next", "ambiguous")]
+    return fixed.unionByName(stats.select(F.lit(len(head)).alias("part"), F.concat_ws("\t", *fields).alias("value")))
+
+
+def make_statistics(alignments: DataFrame, path: str, min_mapq: int = MIN_MAPQ, confidence: float = CONFIDENCE) -> None:
+    """Write a statistics file (path/statistics, one line a read group) and the pairs that it rests on (path/pairs) for `mark_pairs`."""
+    spark = alignments.sparkSession
+    candidate_pairs(with_group(alignments), min_mapq).write.parquet(f"{path}/pairs")
+    stats = group_statistics(spark.read.parquet(f"{path}/pairs"), confidence)
+    options = {"ConfidenceInterval": confidence, "ForceMarkReadGroups": False, "MinimumMapQuality": min_mapq, "UnusedModelThreshold": AMBIGUOUS}
+    statistics_lines(stats, options).orderBy("part", "value").select("value").coalesce(1).write.text(f"{path}/statistics")
+
+
+def read_statistics(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str]]:
+    """The statistics of each read group, and the options, of a statistics file. A line that is neither is an error; so is an unknown option."""
+    lines = spark.read.text(path).filter("value rlike '^[^#\\\\s\\\\[]' or value like '\t%'")
+    options = {r["k"]: r["v"] for r in lines.filter("not contains(value, '\t')").select(F.regexp_extract("value", "^([^=]*)", 1).alias("k"), F.regexp_extract("value", "=(.*)$", 1).alias("v")).collect()}
+    if unknown := set(options) - STATISTICS_OPTIONS:
+        raise ValueError(f"no options of a statistics file: {sorted(unknown)}")
+    cut = F.split("value", "\t")
+    whole = F.when(F.size(cut) == 7, cut).otherwise(F.raise_error(F.concat(F.lit("no line of a statistics file: "), F.col("value"))).cast("array<string>"))
+    names = [("rg", "string"), ("middle", "int"), ("shortest", "int"), ("longest", "int"), ("top", "int"), ("next", "int"), ("ambiguous", "boolean")]
+    stats = lines.filter("contains(value, '\t')").select(whole.alias("f")).select(*[F.get("f", F.lit(i)).cast(t).alias(n) for i, (n, t) in enumerate(names)])
+    return stats.withColumn("next", F.nullif("next", F.lit(NO_MODEL))), options
+
+
+def mark_pairs(alignments: DataFrame, path: str) -> DataFrame:
+    """alignments marked by the statistics and pairs that an earlier job wrote to path, with the smallest quality that it used."""
+    spark = alignments.sparkSession
+    stats, options = read_statistics(spark, f"{path}/statistics")
+    return marked_by(alignments, stats, spark.read.parquet(f"{path}/pairs"), int(options.get("MinimumMapQuality", MIN_MAPQ)))
+
+
+def two_pass(alignments: DataFrame, path: str, min_mapq: int = MIN_MAPQ, confidence: float = CONFIDENCE) -> DataFrame:
+    """Both jobs: statistics are written to path, then the reads are marked by them."""
+    make_statistics(alignments, path, min_mapq, confidence)
+    return mark_pairs(alignments, path)

@@ -166,6 +166,16 @@ def mark_proper_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return marked.groupBy("rg").agg(F.sum(proper).alias("proper"), F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "two_pass_pairs",
+    f"WITH {READS_SQL}, {RESOLVE_SQL} SELECT seq, name, ((flag & ~2) | CASE WHEN eligible AND mapq >= 1 AND model IN (top, second) AND abs(insert_size) BETWEEN shortest AND longest "
+    "AND (rg, name) IN (SELECT (rg, name) FROM closed) THEN 2 ELSE 0 END)::INT AS flag FROM models LEFT JOIN stats USING (rg)",
+)
+def two_pass_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """The flags of all reads after both jobs: one writes statistics, the other reads them and marks."""
+    return resolve.two_pass(derived.alignments(spark, folder), new_path(spark, "pairs")).select("seq", "name", "flag")
+
+
 # Evaluation ---------------------------------------------------------------------------------
 
 

@@ -12,7 +12,8 @@ from strandlake.plans.analysis import CALLS_SQL, REGIONS_SQL, TRUTH_SQL
 from strandlake.plans.calling import CONTEXT_SQL, PAIRS_SQL
 from strandlake.plans.derived import READS_SQL
 from strandlake.plans.queries import NAMES, rounded
-from strandlake.sources.staging import staged
+from strandlake.sources import text
+from strandlake.sources.staging import new_path, staged
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -144,6 +145,42 @@ def labelled_features(spark: SparkSession, folder: str) -> DataFrame:
 # Reference and reads ------------------------------------------------------------------------
 
 
+def written_reference(spark: SparkSession, folder: str, width: int = 60) -> str:
+    """The path of the derived reference as FASTA text, in parts that go on from each other."""
+    symbol = lambda p: F.substring(F.lit("ACGT"), derived.reference_base(F.col("ref_id").cast("long"), p).cast("int") + 1, 1)
+    sizes = spark.read.parquet(f"{folder}/lineitem.parquet").agg((F.max("l_partkey") * 7 + 600).alias("size"))
+    ends = sizes.select("size", F.explode(F.sequence(F.lit(0), F.lit(derived.REFERENCES - 1))).alias("ref_id"))
+    lines = ends.select("ref_id", "size", F.explode(F.sequence(F.lit(-1).cast("long"), F.floor((F.col("size") - 1) / width))).alias("n"))
+    bases = F.array_join(F.transform(F.sequence(F.col("n") * width, F.least((F.col("n") + 1) * width, F.col("size")) - 1), symbol), "")
+    value = F.when(F.col("n") < 0, F.concat(F.lit(">chr"), F.col("ref_id") + 1, F.lit(" derived"))).otherwise(bases)
+    path = new_path(spark, "fasta")
+    lines.repartitionByRange("ref_id", "n").sortWithinPartitions("ref_id", "n").select(value.alias("value")).write.text(path)
+    return path
+
+
+_REFERENCE_SQL = "sizes AS (SELECT max(l_partkey) * 7 + 600 AS size FROM lineitem), refs AS (SELECT unnest(range(5)) AS ref_id, size FROM sizes)"
+
+
+@query(
+    "fasta_index",
+    f"WITH {_REFERENCE_SQL} SELECT 'chr' || (ref_id + 1) AS name, size AS length, (ref_id + 1) * 14 + ref_id * (size + (size + 59) // 60) AS \"offset\", 60 AS line_bases, 61 AS line_bytes, ref_id::INT AS ref_id FROM refs",
+)
+def fasta_index(spark: SparkSession, folder: str) -> DataFrame:
+    return text.fasta_index(spark, written_reference(spark, folder))
+
+
+@query(
+    "fasta_chunks",
+    f"WITH {_REFERENCE_SQL}, parts AS (SELECT ref_id, size, unnest(range((size + 4095) // 4096)) AS chunk FROM refs), "
+    "bounds AS (SELECT *, greatest(chunk * 4096 - 512, 0) AS lo, least((chunk + 1) * 4096 + 512, size) AS hi FROM parts), "
+    f"letters AS (SELECT ref_id, chunk, size, lo, i, substr('ACGT', ({calling._rb('i')})::INT + 1, 1) AS b FROM (SELECT *, unnest(range(lo, hi)) AS i FROM bounds)) "
+    "SELECT ref_id::INT AS ref_id, chunk::INT AS chunk, lo::INT AS \"offset\", size::INT AS size, md5(string_agg(b, '' ORDER BY i)) AS bases FROM letters GROUP BY ref_id, chunk, lo, size",
+)
+def fasta_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """The reference, written as text and read in parts: a digest of each chunk's bases."""
+    return text.fasta_chunks(spark, written_reference(spark, folder)).withColumn("bases", F.md5("bases"))
+
+
 @query(
     "wide_context",
     f"WITH {READS_SQL}, {PAIRS_SQL}, sizes AS (SELECT max(l_partkey) * 7 + 600 AS size FROM lineitem), "

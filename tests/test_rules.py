@@ -1,13 +1,15 @@
 """Golden values of pileups and genotypes, filter tokens, target planning, sources, streams."""
 
 import json
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from strandlake.functions import likelihood, reads, sequence
-from strandlake.operators import evaluate, formats, models, pileup, regions, toolkit
+from strandlake.operators import evaluate, formats, models, pileup, regions, resolve, toolkit
+from strandlake.plans import derived
 from strandlake.sources import bam, text
 from strandlake.streaming import pileup as stream
 
@@ -289,7 +291,7 @@ def test_text_sources(spark, tmp_path):
     got = [tuple(r) for r in text.fasta(spark, str(tmp_path / "a.fa")).orderBy("ref_id").collect()]
     assert got == [(0, "one", "ACGTACG"), (1, "two", "GGGTTT")]
     index = [tuple(r) for r in text.fasta_index(spark, str(tmp_path / "a.fa")).orderBy("offset").collect()]
-    assert index == [("one", 7, 11, 5, 6), ("two", 6, 25, 5, 6)]
+    assert index == [("one", 7, 11, 5, 6, 0), ("two", 6, 25, 5, 6, 1)]
     (tmp_path / "p").write_text("1:1-20\n20:17\nchr2\n3:x\n")
     assert [tuple(r) for r in text.positions(spark, str(tmp_path / "p")).collect()] == [("1", 1, 20), ("20", 17, 17), ("chr2", None, None), ("3", None, None)]
     (tmp_path / "m").write_text("chrom\tbegin\tend\n1\t92\t130\n")
@@ -298,11 +300,90 @@ def test_text_sources(spark, tmp_path):
     assert [(r["tumour"], r["normal"], r["pos"], r["label"]) for r in text.training(spark, str(tmp_path / "t")).collect()] == [("a.bam", "b.bam", 100, "SOMATIC")]
     (tmp_path / "h").write_text(HEADER + "@RG\tPU:x\n@SQ\tSN:chr1\tLN:9\n")
     faults = sorted(r["fault"] for r in text.header_faults(text.header(spark, str(tmp_path / "h"))).collect())
-    assert faults == ["lacks ID", "repeated name"]
+    assert faults == ["lacks ID", "repeated SN: chr1", *(["should have SO"] if "SO:" not in HEADER else [])]
     lines = text.header(spark, str(tmp_path / "h"))
     assert text.merged_header([lines.filter("n < 3"), lines.filter("n < 4")]).count() == 4
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_fasta_parts(spark, tmp_path, end):
+    """Sequences over many splits and files: bases, places and offsets equal those of a plain walk."""
+    rng = random.Random(4)
+    made, sizes = {}, [0, 1, 59, 60, 61, 9000, 20_011, 7, 4096, 8192]
+    for i, size in enumerate(sizes):
+        made[f"s{i}"] = "".join(rng.choices("ACGTN", k=size))
+    whole = end.join(x for n, b in made.items() for x in (f">{n} more words", *[b[k : k + 60] for k in range(0, len(b), 60)])) + end
+    (tmp_path / "parts").mkdir()
+    cut = whole.index(end, len(whole) // 3) + len(end)
+    (tmp_path / "parts" / "a.fa").write_bytes(whole[:cut].encode())
+    (tmp_path / "parts" / "b.fa").write_bytes(whole[cut:].encode())
+    want, at = [], 0
+    for i, (n, b) in enumerate(made.items()):
+        at += len(f">{n} more words") + len(end)
+        first = min(len(b), 60)
+        want.append((n, len(b), at, first, first + len(end) if b else 0, i))
+        at += len(b) + len(end) * -(-len(b) // 60)
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        path = str(tmp_path / "parts")
+        assert spark.read.text(path).rdd.getNumPartitions() > 40
+        assert [tuple(r) for r in text.fasta_index(spark, path).orderBy("ref_id").collect()] == want
+        assert {r["name"]: r["bases"] for r in text.fasta(spark, path).collect()} == made
+        got = text.fasta_chunks(spark, path, 1000, 128)
+        frame = spark.createDataFrame([(i, b) for i, b in enumerate(made.values()) if b], "ref_id int, bases string")
+        key = lambda df: sorted(tuple(r) for r in df.select("ref_id", "chunk", "bases", "offset", "size").collect())
+        assert key(got) == key(text.chunks(frame, 1000, 128))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
+#: Lines, and the faults of each.
+HEADERS = [
+    (["@HD\tVN:1.6\tSO:coordinate\tGO:query", "@SQ\tSN:a\tLN:536870911", "@RG\tID:x\tPL:Illumina", "@RG\tID:y", "@PG\tID:p", "@PG\tID:q\tPP:p", "@CO\tSN: any"], []),
+    (["@HD\tVN:16\tSO:unsorted"], ["bad VN: 16"]),
+    (["@HD\tVN:1.x\tSO:unsorted"], ["bad VN: 1.x"]),
+    (["@HD\tVN:.6\tSO:unsorted"], ["bad VN: .6"]),
+    (["@HD\tVN:1.6"], ["should have SO"]),
+    (["@HD\tGO:none"], ["should have VN,SO"]),
+    (["@HD\tVN:1.6\tSO:unknown"], ["bad SO: unknown"]),
+    (["@HD\tVN:1.6\tSO:unsorted\tGO:some"], ["bad GO: some"]),
+    (["@SQ\tLN:9", "@SQ\tSN:\tLN:9"], ["lacks SN", "lacks SN"]),
+    (["@SQ\tSN:=a\tLN:9", "@SQ\tSN:*\tLN:9"], ["bad SN: *", "bad SN: =a"]),
+    (["@SQ\tSN:a", "@SQ\tSN:b\tLN:0", "@SQ\tSN:c\tLN:536870912", "@SQ\tSN:d\tLN:x"], ["bad LN: 0", "bad LN: 536870912", "bad LN: x", "lacks LN"]),
+    (["@SQ\tSN:a\tLN:9", "@SQ\tSN:a\tLN:8"], ["repeated SN: a"]),
+    (["@RG\tID:x\tPU:u", "@RG\tID:x\tPU:v", "@RG\tID:y\tPU:v"], ["repeated ID: x", "repeated PU: v"]),
+    (["@RG\tPL:SOLID", "@RG\tID:z\tPL:abacus"], ["bad PL: abacus", "lacks ID"]),
+    (["@PG\tID:p", "@PG\tID:p\tPP:q"], ["repeated ID: p", "unknown PP: q"]),
+    (["@XX\tID:p"], ["unknown kind"]),
+]
+
+
+def test_header_rules(spark, tmp_path):
+    for i, (lines, want) in enumerate(HEADERS):
+        (tmp_path / f"h{i}").write_text("\n".join(lines) + "\n")
+        found = text.header_faults(text.header(spark, str(tmp_path / f"h{i}"))).collect()
+        assert sorted(r["fault"] for r in found) == want, lines
+        assert {r["level"] for r in found} <= {"warning" if "should" in f else "error" for f in want}
+
+
+def test_resolve_modes(spark, tmp_path):
+    """Statistics go out and in without loss, and all modes mark alike."""
+    aln = derived.alignments(spark, "/root/testdata/sf0.001").select("seq", "name", "flag", "ref_id", "pos", "mapq", "mate_ref_id", "mate_pos", "insert_size", "tags")
+    resolve.make_statistics(aln, str(tmp_path / "r"), min_mapq=5)
+    stats, options = resolve.read_statistics(spark, str(tmp_path / "r" / "statistics"))
+    direct = resolve.group_statistics(resolve.candidate_pairs(resolve.with_group(aln), 5))
+    rows = lambda df: sorted(str(sorted(r.asDict().items())) for r in df.collect())
+    assert rows(stats) == rows(direct) and len(rows(stats)) == 4
+    assert options["MinimumMapQuality"] == "5" and options["ConfidenceInterval"] == "0.9973"
+    key = lambda df: sorted((r["seq"], r["flag"]) for r in df.select("seq", "flag").collect())
+    want = key(resolve.marked(aln, 5))
+    assert want == key(resolve.mark_pairs(aln, str(tmp_path / "r"))) == key(resolve.two_pass(aln, str(tmp_path / "t"), 5))
+    (tmp_path / "odd").write_text("[Options]\nShoeSize=4\n")
+    with pytest.raises(ValueError, match="ShoeSize"):
+        resolve.read_statistics(spark, str(tmp_path / "odd"))
+
+
 def test_vcf(spark, tmp_path):
     rows = spark.createDataFrame([(0, 9, "x"), (0, 3, "y")], "ref_id int, pos int, line string")
     text.write_vcf(rows, str(tmp_path / "v"), ["TUMOUR"])
@@ -356,6 +437,49 @@ def test_stream(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.table("depths").collect()) == [(0, 5, 1), (0, 6, 2), (0, 7, 2), (0, 8, 1)]
 
 
+def sorted_parts(spark, folder, parts=12, backwards=False):
+    """Files of reads in the order of their places, each a batch of a stream, and a read after all; the reads as one frame."""
+    aln = derived.alignments(spark, "/root/testdata/sf0.001").select("sample", "ref_id", "pos", "mapq", "cigar", "flag", "bases", "quals").filter("ref_id >= 0")
+    rows = sorted(aln.collect(), key=lambda r: (r["ref_id"], r["pos"]))
+    folder.mkdir()
+    size = -(-len(rows) // parts)
+    batches = [rows[i : i + size] for i in range(0, len(rows), size)]
+    batches = (batches[::-1] if backwards else batches) + [[("t", 9, 0, 0, [("M", 1)], 0, "A", "!")]]
+    for i, batch in enumerate(batches):
+        one_file = folder.parent / f"{folder.name}{i}"
+        spark.createDataFrame(batch, aln.schema).coalesce(1).write.parquet(str(one_file))
+        made = next(one_file.glob("*.parquet"))
+        os.utime(made, (1_000_000 + i, 1_000_000 + i))
+        made.rename(folder / f"{i:03}.parquet")
+    return spark.createDataFrame(rows, aln.schema)
+
+
+def run_stream(spark, folder, schema, f, name):
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    q = f(source).writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start()
+    stream.finished(q, 0.2)
+    return spark.table(name), q
+
+
+def test_closed_places(spark, tmp_path):
+    """A sorted stream gives each place once, as the whole table does; most of them before the end."""
+    aln = sorted_parts(spark, tmp_path / "in")
+    got, q = run_stream(spark, tmp_path / "in", aln.schema, lambda s: stream.closed_depths(s, 100), "closed_depths")
+    key = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(*sorted(df.columns)).collect())
+    assert key(got) == key(pileup.coverage(aln))
+    assert sum(p.stateOperators[0].numRowsRemoved > 0 for p in q.recentProgress if p.stateOperators) > 6
+    got, q = run_stream(spark, tmp_path / "in", aln.schema, lambda s: stream.closed_pileup(s, min_count=1, span=100), "closed_pileup")
+    assert key(got) == key(pileup.pileup(aln, min_count=1))
+
+
+def test_closed_places_ask_for_order(spark, tmp_path):
+    aln = sorted_parts(spark, tmp_path / "in", parts=3, backwards=True)
+    with pytest.raises(ValueError, match="not sorted"):
+        run_stream(spark, tmp_path / "in", aln.schema, lambda s: stream.closed_depths(s, 100), "backwards")
+    with pytest.raises(Exception, match="covers more than 20 places"):
+        run_stream(spark, tmp_path / "in", aln.schema, lambda s: stream.closed_depths(s, 20), "long_reads")
+
+
 def test_split_and_layout(spark, tmp_path):
     df = spark.createDataFrame([(i, i % 3 - 1, i, 1 if i % 2 else 5, {"RG": ("Z", None, None, f"g{i % 2}")}) for i in range(30)],
                                "seq long, ref_id int, pos int, flag int, tags map<string,struct<type:string,i:bigint,f:double,s:string>>")
