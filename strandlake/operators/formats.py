@@ -66,6 +66,32 @@ def json_line(names: list[str]) -> Column:
     )
 
 
+def json_record(names: list[str], filename: Column | None = None) -> Column:
+    """A read as one object with parts of their own: operations in an array, the mate in an object, tags by their types.
+
+    A part that a read lacks is left out: the reference, the mate of a read that is not paired, empty bases, qualities, operations or tags.
+    """
+    f = F.col("flag")
+    quoted = lambda c: F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+    part = lambda name, c: F.concat(F.lit(f'"{name}":'), c)
+    listed = lambda c: F.concat(F.lit("["), F.array_join(c, ","), F.lit("]"))
+    known = lambda c: (F.col(c) >= 0) & (F.col(c) < len(names))
+    text = lambda c: c.cast("string")
+    mate = F.concat_ws(",", part("reference", quoted(said("mate_ref_id", names))), part("position", text(F.col("mate_pos") + 1)), part("insertSize", text(F.col("insert_size"))))
+    operations = F.transform("cigar", lambda c: F.concat(F.lit('"'), text(c["len"]), c["op"], F.lit('"')))
+    numbers = F.transform(F.split("quals", ""), lambda c: text(F.ascii(c) - 33))
+    value = lambda v: F.coalesce(F.when(v["s"].isNotNull(), quoted(v["s"])), text(v["i"]), text(v["f"]))
+    tags = F.array_join(F.transform(F.map_entries("tags"), lambda e: F.concat(quoted(e["key"]), F.lit(":"), value(e["value"]))), ",")
+    parts = [
+        part("name", quoted(F.col("name"))), part("alignmentFlag", quoted(text(f))), F.when(known("ref_id"), part("reference", quoted(said("ref_id", names)))),
+        part("position", text(F.col("pos") + 1)), part("mapQuality", text(F.col("mapq"))), F.when(F.size("cigar") > 0, part("cigar", listed(operations))),
+        F.when(reads.has(f, "paired") & known("mate_ref_id"), part("mate", F.concat(F.lit("{"), mate, F.lit("}")))),
+        F.when(F.col("bases") != "", part("queryBases", quoted(F.col("bases")))), F.when(F.col("quals") != "", part("qualities", listed(numbers))),
+        F.lit(None).cast("string") if filename is None else part("filename", quoted(filename)), F.when(F.size("tags") > 0, part("tags", F.concat(F.lit("{"), tags, F.lit("}")))),
+    ]
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
 def yaml(names: list[str]) -> Column:
     pairs = [
         ("AlignmentFlag", F.col("flag")), ("Reference", said("ref_id", names)), ("Position", F.col("pos")), ("MapQuality", F.col("mapq")),

@@ -14,21 +14,16 @@ from pyspark.sql import functions as F
 BIN_BITS = 14
 
 
-def overlap_join(left: DataFrame, right: DataFrame, bits: int = BIN_BITS, how: str = "inner") -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, bits: int = BIN_BITS) -> DataFrame:
     """Pairs of rows with equal chrom whose closed ranges [start, stop] overlap.
 
-    left keeps its names; right's start and stop become r_start and r_stop. how may be
-    inner or left_semi.
+    left keeps its names; right's start and stop become r_start and r_stop.
     """
     bins = lambda start, stop: F.explode(F.sequence(F.shiftright(start, bits), F.shiftright(stop, bits)))
     named = right.withColumnsRenamed({"start": "r_start", "stop": "r_stop"})
     a = left.filter("start <= stop").withColumn("_bin", bins(F.col("start"), F.col("stop")))
     b = named.filter("r_start <= r_stop").withColumn("_bin", bins(F.col("r_start"), F.col("r_stop")))
     overlap = (F.col("start") <= F.col("r_stop")) & (F.col("r_start") <= F.col("stop"))
-    if how == "left_semi":
-        keyed = a.withColumn("_row", F.struct(*[F.col(c) for c in left.columns]))
-        hit = keyed.join(b.withColumnRenamed("chrom", "_c"), (F.col("chrom") == F.col("_c")) & (keyed["_bin"] == b["_bin"]) & overlap, "left_semi")
-        return hit.select("_row").distinct().select("_row.*")
     pairs = a.join(b, ["chrom", "_bin"]).filter(overlap)
     return pairs.filter(F.col("_bin") == F.shiftright(F.greatest("start", "r_start"), bits)).drop("_bin")
 

@@ -226,7 +226,7 @@ def index_layout(alignments: DataFrame, partitions: int | None = None) -> DataFr
 
 
 def split_key(kind: str, tag: str | None = None) -> Column:
-    """The name of the output that a read goes to; null for reads that go to none."""
+    """The name of the output that a read goes to; null for reads that go to none. A tag that holds an array is an error."""
     f = F.col("flag")
     if kind == "mapped":
         return F.when(reads.has(f, "mapped"), "MAPPED").otherwise("UNMAPPED")
@@ -235,7 +235,9 @@ def split_key(kind: str, tag: str | None = None) -> Column:
     if kind == "reference":
         return F.when(F.col("ref_id") < 0, "unmapped").otherwise(F.concat(F.lit("REF_"), F.col("ref_id")))
     held = F.element_at(F.col("tags"), tag)
-    return F.concat(F.lit(f"TAG_{tag}_"), F.coalesce(held["s"], held["i"].cast("string"), held["f"].cast("string")))
+    array = F.raise_error(F.lit(f"{tag} holds an array, by which reads cannot be split")).cast("string")
+    value = F.coalesce(held["s"], held["i"].cast("string"), held["f"].cast("string"))
+    return F.concat(F.lit(f"TAG_{tag}_"), F.when(held["type"].startswith("B"), array).otherwise(value))
 
 
 def split(alignments: DataFrame, path: str, kind: str, tag: str | None = None) -> None:

@@ -281,6 +281,21 @@ def convert_json(aln: DataFrame) -> DataFrame:
     return aln.select("seq", formats.json_line(NAMES).alias("line"))
 
 
+_MATE_SQL = f"""'"mate":{{"reference":"' || {NAMES_SQL}[mate_ref_id + 1] || '","position":' || (mate_pos + 1) || ',"insertSize":' || insert_size || '}}'"""
+_TAGS_SQL = """'"tags":{"RG":"' || rg || '","NM":' || nm || CASE WHEN ln = 1 THEN ',"OQ":' || to_json(reverse(quals))::VARCHAR ELSE '' END || '}'"""
+
+
+@query(
+    "convert_json_record",
+    f"""SELECT seq, '{{' || concat_ws(',', '"name":"' || name || '"', '"alignmentFlag":"' || flag || '"', CASE WHEN ref_id >= 0 THEN '"reference":"' || {NAMES_SQL}[ref_id + 1] || '"' END, '"position":' || (pos + 1),
+    '"mapQuality":' || mapq, '"cigar":["' || array_to_string(regexp_extract_all(cigar, '[0-9]+[A-Z]'), '","') || '"]', CASE WHEN (flag & 1) <> 0 THEN {_MATE_SQL} END, '"queryBases":"' || bases || '"',
+    '"qualities":[' || array_to_string(list_transform(string_split(quals, ''), lambda c: ascii(c) - 33), ',') || ']', '"filename":"' || sample || '.bam"', {_TAGS_SQL}) || '}}' AS line FROM strings""",
+    BASES_SQL,
+)
+def convert_json_record(aln: DataFrame) -> DataFrame:
+    return aln.select("seq", formats.json_record(NAMES, F.concat("sample", F.lit(".bam"))).alias("line"))
+
+
 @query(
     "convert_yaml",
     f"SELECT seq, concat('---', chr(10), '- Name: ', name, chr(10), '   AlignmentFlag: ', flag, chr(10), '   Reference: ', CASE WHEN ref_id >= 0 THEN {NAMES_SQL}[ref_id + 1] END, chr(10), "

@@ -397,6 +397,28 @@ def test_fasta_lines(spark):
     assert got == [">r\n" + "A" * 50 + "\n" + "A" * 50 + "\n" + "A" * 20, ">q\nNACGT"]
 
 
+def test_json_record(spark):
+    schema = "name string, flag int, ref_id int, pos int, mapq int, cigar array<struct<op:string,len:int>>, mate_ref_id int, mate_pos int, insert_size int, bases string, quals string, tags map<string,struct<type:string,i:bigint,f:double,s:string>>"
+    rows = [
+        ('a"b', 1, 0, 4, 7, [("M", 2), ("S", 1)], 0, 9, -3, "ACG", '!"I', {"XA": ("A", None, None, "c"), "XF": ("f", None, 0.5, None), "NM": ("C", 3, None, None)}),
+        ("bare", 4, -1, -1, 0, [], -1, -1, 0, "", "", {}),
+        ("single", 0, 1, 0, 1, [("M", 1)], 1, 5, 0, "A", "", {}),
+    ]
+    got = [json.loads(r["line"]) for r in spark.createDataFrame(rows, schema).coalesce(1).select(formats.json_record(["x", "y"], F.lit("f.bam")).alias("line")).collect()]
+    assert got == [
+        {"name": 'a"b', "alignmentFlag": "1", "reference": "x", "position": 5, "mapQuality": 7, "cigar": ["2M", "1S"], "mate": {"reference": "x", "position": 10, "insertSize": -3},
+         "queryBases": "ACG", "qualities": [0, 1, 40], "filename": "f.bam", "tags": {"XA": "c", "XF": 0.5, "NM": 3}},
+        {"name": "bare", "alignmentFlag": "4", "position": 0, "mapQuality": 0, "filename": "f.bam"},
+        {"name": "single", "alignmentFlag": "0", "reference": "y", "position": 1, "mapQuality": 1, "cigar": ["1M"], "queryBases": "A", "filename": "f.bam"},
+    ]
+
+
+def test_split_by_arrays(spark, tmp_path):
+    df = spark.createDataFrame([(0, 0, 0, 0, {"XB": ("B", None, None, "i,1,2")})], "seq long, ref_id int, pos int, flag int, tags map<string,struct<type:string,i:bigint,f:double,s:string>>")
+    with pytest.raises(Exception, match="holds an array"):
+        toolkit.split(df, str(tmp_path / "s"), "tag", "XB")
+
+
 def test_pileup_lines(spark):
     cells = [(0, 4, 1, "A", 40, 60, False, "A", True, False, ""), (0, 4, 2, "C", 30, 10, True, "A", False, True, "+2ac"), (0, 4, 3, None, None, 10, False, "A", False, False, "")]
     df = spark.createDataFrame(cells, "ref_id int, p int, seq int, base string, quality int, mapq int, reverse boolean, ref string, first boolean, last boolean, indel string")
