@@ -98,3 +98,23 @@ def test_repeated_rows(spark, monkeypatch):
             near = sorted((-float(vectors[i] @ vectors[j]), v) for j, (v, _) in enumerate(rows) if j != i)[:20]
             want.update((q, k + 1, v, round(-s, 9)) for k, (s, v) in enumerate(near))
     assert collections.Counter((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in got.collect()) == want
+
+
+@pytest.mark.parametrize("kind", ["spread", "lengths", "close"])
+def test_rows_that_codes_tell_badly_apart(spark, monkeypatch, kind):
+    """Vectors without clusters in many dimensions, of very different lengths, or nearly alike: every true neighbour is found."""
+    rng = np.random.default_rng(21)
+    made = {
+        "spread": lambda: rng.normal(size=(6000, 256)),
+        "lengths": lambda: rng.normal(size=(6000, 64)) * np.exp(rng.normal(scale=4, size=(6000, 1))),
+        "close": lambda: rng.normal(size=(1, 64)) + rng.normal(scale=1e-4, size=(6000, 64)),
+    }[kind]().astype(np.float32)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(made)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(6)
+    asked = list(range(0, 6000, 200))
+    got = results(quantised.search(df, F.col("vec_id") % 200 == 0))
+    whole = made.astype(np.float64)
+    for q in asked:
+        score = whole @ whole[q]
+        score[q] = -np.inf
+        assert {v for v, _ in got[q]} == set(np.argsort(-score)[:20].tolist())
