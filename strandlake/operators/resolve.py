@@ -61,7 +61,8 @@ def group_statistics(pairs: DataFrame, confidence: float = CONFIDENCE) -> DataFr
         F.max(F.when(F.col("place") == 1, F.col("model"))).alias("top"), F.max(F.when(F.col("place") == 2, F.col("model"))).alias("next"),
         F.sum(F.when(F.col("place") <= 2, F.col("n")).otherwise(0)).alias("used"), F.sum(F.when(F.col("place") > 2, F.col("n")).otherwise(0)).alias("unused"),
     )
-    lengths = pairs.join(ranked.filter("place <= 2").select("rg", "model"), ["rg", "model"]).groupBy("rg", "fragment").agg(F.count(F.lit(1)).alias("n"))
+    # Read groups and models are few, and so all pairs of one would meet in one task unless these go to the pairs.
+    lengths = pairs.join(F.broadcast(ranked.filter("place <= 2").select("rg", "model")), ["rg", "model"]).groupBy("rg", "fragment").agg(F.count(F.lit(1)).alias("n"))
     upto = Window.partitionBy("rg").orderBy("fragment")
     placed = lengths.withColumns({"upto": F.sum("n").over(upto), "all": F.sum("n").over(Window.partitionBy("rg"))})
     half = (1 - confidence) / 2
@@ -80,7 +81,7 @@ def marked_by(alignments: DataFrame, stats: DataFrame, pairs: DataFrame, min_map
     """The same, from statistics of the read groups and the pairs (rg, name) that are known; groups without statistics have no usual pairs."""
     names = pairs.select("rg", "name").distinct().withColumn("known", F.lit(True))
     bounds = stats.select("rg", "top", F.col("next").alias("second"), "shortest", "longest")
-    joined = with_group(alignments).join(bounds, "rg", "left").join(names, ["rg", "name"], "left")
+    joined = with_group(alignments).join(F.broadcast(bounds), "rg", "left").join(names, ["rg", "name"], "left")
     usual = model().isin(F.col("top"), F.col("second")) | (model() == F.col("top"))
     length = F.abs("insert_size")
     proper = eligible() & (F.col("mapq") >= min_mapq) & usual & (length >= F.col("shortest")) & (length <= F.col("longest")) & F.col("known")
