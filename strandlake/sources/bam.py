@@ -27,12 +27,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.datasource import (
-    DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, WriterCommitMessage,
+    DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, WriterCommitMessage,
 )
 from pyspark.sql.pandas.types import to_arrow_type
 
+from strandlake.functions import cells as flat_reads
+
 FIELDS = (
     "name string", "flag int", "ref_id int", "pos int", "mapq int", "cigar array<struct<op:string,len:int>>", "mate_ref_id int", "mate_pos int",
     "insert_size int", "bases string", "quals string", "tags map<string,struct<type:string,i:bigint,f:double,s:string>>",
@@ -248,6 +251,137 @@ def encode_record(r: Row) -> bytes:
     return struct.pack("<i", len(body)) + body
 
 
+def scatter(out: np.ndarray, to: np.ndarray, data: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> None:
+    """Copy pieces of data, each from where it begins, to their places."""
+    source, owner = flat_reads.spread(begins, begins + lengths)
+    out[source + (to - begins)[owner]] = data[source]
+
+
+def bins_of(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    levels = ((14, 4681), (17, 585), (20, 73), (23, 9), (26, 1))
+    return np.select([begin >> bits == (end - 1) >> bits for bits, _ in levels], [first + (begin >> bits) for bits, first in levels], 0)
+
+
+class Unusual(Exception):
+    """A batch that holds what single records are left to encode, or to refuse."""
+
+
+def tag_bytes(tags: pa.MapArray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tags of all reads in the order of their names, as bytes, and the bytes of each read."""
+    counts = np.where(np.asarray(tags.is_valid()), np.diff(tags.offsets.to_numpy()), 0)
+    if tags.null_count and counts.sum() != tags.offsets[-1].as_py() - tags.offsets[0].as_py():
+        raise Unusual
+    first = tags.offsets[0].as_py()
+    keys, items = tags.keys.slice(first, counts.sum()), tags.items.slice(first, counts.sum())
+    names, at, sizes_of = flat_reads.flat_bytes(keys)
+    types, type_at, type_sizes = flat_reads.flat_bytes(items.field("type"))
+    if items.null_count or (sizes_of != 2).any() or (type_sizes != 1).any():
+        raise Unusual
+    name = names[at[:, None] + np.arange(2)] if len(at) else np.empty((0, 2), np.uint8)
+    kind = types[type_at] if len(type_at) else np.empty(0, np.uint8)
+    read = np.repeat(np.arange(n), counts)
+    whole, whole_at, whole_sizes = flat_reads.flat_bytes(items.field("s"))
+    numbers_, floats = items.field("i"), items.field("f")
+    body = np.zeros(len(read), np.int64)
+    known = np.zeros(len(read), bool)
+    for sign in (*NUMBERS, "f", "A", "Z", "H"):
+        own = kind == ord(sign)
+        known |= own
+        held = numbers_ if sign in NUMBERS else floats if sign == "f" else items.field("s")
+        if (own & ~np.asarray(held.is_valid())).any():
+            raise Unusual
+        body[own] = struct.calcsize(f"<{NUMBERS.get(sign, 'f')}") if sign in NUMBERS or sign == "f" else (whole_sizes + (sign != "A"))[own]
+    if not known.all():
+        raise Unusual
+    order_ = np.lexsort((name[:, 1], name[:, 0], read))
+    name, kind, body = name[order_], kind[order_], body[order_]
+    begins = np.cumsum(body + 3) - body - 3
+    out = np.zeros(int((body + 3).sum()), np.uint8)
+    out[begins], out[begins + 1], out[begins + 2] = name[:, 0], name[:, 1], kind
+    values = flat_reads.numbers(numbers_)[order_]
+    for sign, code in NUMBERS.items():
+        own = np.flatnonzero(kind == ord(sign))
+        made = values[own].astype(np.dtype(f"<{code}"))
+        if (made.astype(np.int64) != values[own]).any():
+            raise Unusual
+        size = made.dtype.itemsize
+        out[begins[own][:, None] + 3 + np.arange(size)] = made.view(np.uint8).reshape(-1, size)
+    own = np.flatnonzero(kind == ord("f"))
+    if len(own):
+        made = flat_reads.numbers(floats, np.float64)[order_][own]
+        if (np.abs(made) > np.finfo(np.float32).max).any():
+            raise Unusual
+        out[begins[own][:, None] + 3 + np.arange(4)] = made.astype("<f4").view(np.uint8).reshape(-1, 4)
+    own = np.flatnonzero(np.isin(kind, [ord(c) for c in "AZH"]))
+    scatter(out, begins[own] + 3, whole, whole_at[order_][own], whole_sizes[order_][own])
+    return out, np.bincount(read, body + 3, n).astype(np.int64)
+
+
+def encode_batch(batch: pa.RecordBatch) -> bytes:
+    """The records of a batch, as `encode_record` makes them one by one."""
+    if not batch.num_rows:
+        return b""
+    try:
+        return _encoded(batch)
+    except Unusual:
+        rows = [{**r, "tags": dict(r["tags"] or ())} for r in batch.to_pylist()]
+        return b"".join(encode_record(r) for r in rows)
+
+
+def _encoded(batch: pa.RecordBatch) -> bytes:
+    n = batch.num_rows
+    get = lambda name: flat_reads.column(batch, name)
+    if any(get(c).null_count for c in (*NUMERIC, "cigar")):
+        raise Unusual
+    number = {c: flat_reads.numbers(get(c)) for c in NUMERIC}
+    name, name_at, name_size = flat_reads.flat_bytes(pc.if_else(pc.equal(pc.fill_null(get("name"), ""), ""), "*", get("name")))
+    base, base_at, n_bases = flat_reads.flat_bytes(get("bases"))
+    qual, qual_at, n_quals = flat_reads.flat_bytes(get("quals"))
+    found = flat_reads.operations(get("cigar"))
+    parts = get("cigar").flatten()
+    odd = parts.null_count or parts.field("op").null_count or parts.field("len").null_count or pc.index_in(parts.field("op"), value_set=pa.array([*OPS])).null_count
+    if odd or (len(found.size) and not 0 <= found.size.min() <= found.size.max() < 1 << 28) or (base > 127).any() or (qual > 127).any() or (qual < 33).any():
+        raise Unusual
+    n_ops = np.bincount(found.read, minlength=n)
+    span = np.bincount(found.read, np.where(flat_reads.ON_REFERENCE[found.op], found.size, 0), n).astype(np.int64)
+    end = number["pos"] + np.maximum(1, span)
+    bins = bins_of(np.maximum(number["pos"], 0), np.maximum(end, 1))
+    for value, most in ((name_size + 1, 255), (number["mapq"], 255), (bins, 65535), (n_ops, 65535), (number["flag"], 65535)):
+        if value.min() < 0 or value.max() > most:
+            raise Unusual
+    tags, tag_size = tag_bytes(get("tags"), n)
+    qual_size, packed_size = np.where(n_quals > 0, n_quals, n_bases), (n_bases + 1) // 2
+    lengths = FIXED.itemsize + name_size + 1 + 4 * n_ops + packed_size + qual_size + tag_size
+    begins = np.cumsum(lengths) - lengths
+    out = np.zeros(int(lengths.sum()), np.uint8)
+    fixed = np.zeros(n, FIXED)
+    values = {**number, "size": lengths - 4, "n_name": name_size + 1, "bin": bins, "n_ops": n_ops, "n_bases": n_bases}
+    for c, v in values.items():
+        fixed[c] = v
+    out[begins[:, None] + np.arange(FIXED.itemsize)] = fixed.view(np.uint8).reshape(n, -1)
+    at = begins + FIXED.itemsize
+    scatter(out, at, name, name_at, name_size)
+    at = at + name_size + 1
+    words = (found.size << 4 | found.op).astype("<u4").view(np.uint8)
+    scatter(out, at, words, 4 * (np.cumsum(n_ops) - n_ops), 4 * n_ops)
+    at = at + 4 * n_ops
+    codes = np.full(256, 15, np.uint8)
+    for i, sign in enumerate(SYMBOLS):
+        codes[ord(sign)] = codes[ord(sign.lower())] = i
+    step, owner = flat_reads.spread(np.zeros(n, np.int64), n_bases)
+    nibble = codes[base[base_at[owner] + step]] if len(owner) else np.empty(0, np.uint8)
+    even = step % 2 == 0
+    out[(at[owner] + step // 2)[even]] = nibble[even] << 4
+    out[(at[owner] + step // 2)[~even]] |= nibble[~even]
+    at = at + packed_size
+    step, owner = flat_reads.spread(at, at + qual_size)
+    out[step] = 255
+    scatter(out, at, qual - np.uint8(33), qual_at, n_quals)
+    at = at + qual_size
+    scatter(out, at, tags, np.cumsum(tag_size) - tag_size, tag_size)
+    return out.tobytes()
+
+
 def encode_header(text: str, refs: list[tuple[str, int]]) -> bytes:
     named = b"".join(struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", size) for n, size in refs)
     return b"BAM\1" + struct.pack("<i", len(text)) + text.encode() + struct.pack("<i", len(refs)) + named
@@ -469,23 +603,18 @@ class Written(WriterCommitMessage):
     path: str
 
 
-class BamWriter(DataSourceWriter):
+class BamWriter(DataSourceArrowWriter):
     def __init__(self, options, overwrite: bool):
         self.path, self.header, self.overwrite = local(options["path"]), options.get("header", "@HD\tVN:1.6\n"), overwrite
 
-    def write(self, rows):
+    def write(self, batches):
         os.makedirs(self.path, exist_ok=True)
         path = f"{self.path}/.part-{uuid.uuid4().hex}.tmp"
         with open(path, "wb") as f:
             f.write(deflated(encode_header(self.header, references(self.header))))
-            held, size = [], 0
-            for r in rows:
-                held.append(encode_record(r))
-                size += len(held[-1])
-                if size >= 16 * BLOCK:
-                    f.write(deflated(b"".join(held)))
-                    held, size = [], 0
-            f.write(deflated(b"".join(held)) + END)
+            for batch in batches:
+                f.write(deflated(encode_batch(batch)))
+            f.write(END)
         return Written(path)
 
     def commit(self, messages):

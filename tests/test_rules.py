@@ -619,3 +619,40 @@ def test_curve_keeps_close_scores(spark):
     points = evaluate.curve(spark.createDataFrame(rows, "score double, label string"))
     assert points.count() == 4
     assert evaluate.area(points).first()["area"] == pytest.approx(0.75)
+
+
+def test_pairs_are_not_dealt_by_read_group(spark):
+    """Statistics go to the reads: a read group, of which there are few, is never brought together in one task."""
+    aln = derived.alignments(spark, "/root/testdata/sf0.001")
+    plan = resolve.marked(aln)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") >= 2
+
+
+def test_batches_are_encoded_like_records(monkeypatch):
+    """Reads of all kinds, in one batch: its bytes are those of its records; odd values are left to these."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = to_arrow_schema(StructType.fromDDL(bam.SCHEMA))
+    tag = lambda kind, i=None, f=None, s=None: {"type": kind, "i": i, "f": f, "s": s}
+    rng = random.Random(3)
+    rows = []
+    for k in range(200):
+        n = rng.choice([0, 1, 7, 50])
+        cigar = [{"op": rng.choice(bam.OPS), "len": rng.randrange(0, 70_000)} for _ in range(rng.randrange(0, 4))]
+        tags = [("NM", tag(rng.choice("cCsSiI"), i=rng.randrange(0, 100))), ("ZZ", tag("Z", s="x" * rng.randrange(0, 5))), ("AS", tag("f", f=0.5)), ("XA", tag("A", s="q"))]
+        rng.shuffle(tags)
+        rows.append({"name": rng.choice(["", None, f"read{k}"]), "flag": rng.randrange(0, 4096), "ref_id": rng.randrange(-1, 3), "pos": rng.choice([-1, 0, 5, 1 << 20]), "mapq": k, "cigar": cigar,
+                     "mate_ref_id": -1, "mate_pos": -1, "insert_size": -k, "bases": "".join(rng.choice("ACGTNacgtRX=?") for _ in range(n)), "quals": rng.choice(["", "#" * n]), "tags": tags[: rng.randrange(0, 5)]})
+    want = lambda rows: b"".join(bam.encode_record({**r, "tags": dict(r["tags"])}) for r in rows)
+    with monkeypatch.context() as m:
+        m.setattr(bam, "encode_record", None)
+        got = bam.encode_batch(pa.RecordBatch.from_pylist(rows, schema))
+        part = bam.encode_batch(pa.RecordBatch.from_pylist(rows, schema)[50:60])
+    assert got == want(rows) and part == want(rows[50:60])
+    rows[3]["tags"] = [("XB", tag("B", s="c,1,2"))]
+    assert bam.encode_batch(pa.RecordBatch.from_pylist(rows, schema)) == want(rows)
+    rows[3]["mapq"] = 256
+    with pytest.raises(Exception, match="format"):
+        bam.encode_batch(pa.RecordBatch.from_pylist(rows, schema))
