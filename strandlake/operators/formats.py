@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions import reads
+from strandlake.operators.pileup import STRETCH_BITS
 
 
 def said(column: str, names: list[str]) -> Column:
@@ -103,8 +104,15 @@ def yaml(names: list[str]) -> Column:
 
 
 def pileup_cells(alignments: DataFrame, ref: Column) -> DataFrame:
-    """What pileup_lines takes, of mapped reads; ref is the reference's base at ref_id and p."""
-    mapped = alignments.filter(reads.has(F.col("flag"), "mapped"))
+    """What pileup_lines takes, of mapped reads; ref is the reference's base at ref_id and p.
+
+    Reads go to the stretches of the reference that they cover, and their cells stay there: lines are made
+    where the reads are, so that no single cell is sent to another task.
+    """
+    over = lambda p: F.shiftright(p.cast("long"), STRETCH_BITS)
+    own = alignments.filter(reads.has(F.col("flag"), "mapped")).select("ref_id", "pos", "seq", "mapq", "flag", "cigar", "bases", "quals")
+    last = F.greatest(reads.end_position(F.col("pos"), F.col("cigar")) - 1, F.col("pos"))
+    mapped = own.withColumn("stretch", F.explode(F.sequence(over(F.col("pos")), over(last)))).repartition("ref_id", "stretch")
     reverse, bases = reads.has(F.col("flag"), "reverse"), F.col("bases")
     covers = F.filter(
         F.transform(reads.walk(F.col("cigar")), lambda c, i: F.struct(c["op"], c["len"], c["at"], c["read_at"], F.get(F.col("cigar"), i + 1).alias("then"))),
@@ -127,9 +135,9 @@ def pileup_cells(alignments: DataFrame, ref: Column) -> DataFrame:
     each = lambda held: lambda c: F.transform(F.sequence(F.lit(0), c["len"] - 1), lambda step: cell(c, held, step))
     cells = reads.signs(bases, F.col("quals"), lambda held: F.flatten(F.transform(covers, each(held))))
     end = reads.end_position(F.col("pos"), F.col("cigar")).alias("end")
-    rows = mapped.select("ref_id", "pos", end, "seq", "mapq", reverse.alias("reverse"), F.explode(cells).alias("c")).withColumn("p", F.col("pos") + F.col("c.at"))
-    return rows.select(
-        "ref_id", "p", "seq", "c.base", "c.quality", "mapq", "reverse", ref.alias("ref"), (F.col("p") == F.col("pos")).alias("first"), (F.col("p") == F.col("end") - 1).alias("last"), "c.indel"
+    rows = mapped.select("ref_id", "stretch", "pos", end, "seq", "mapq", reverse.alias("reverse"), F.explode(cells).alias("c")).withColumn("p", F.col("pos") + F.col("c.at"))
+    return rows.filter(over(F.col("p")) == F.col("stretch")).select(
+        "ref_id", "stretch", "p", "seq", "c.base", "c.quality", "mapq", "reverse", ref.alias("ref"), (F.col("p") == F.col("pos")).alias("first"), (F.col("p") == F.col("end") - 1).alias("last"), "c.indel"
     )
 
 
@@ -139,7 +147,8 @@ def pileup_lines(cells: DataFrame, mapq: bool = False) -> DataFrame:
     cells has ref_id, p, seq, base (null in a deletion), quality, mapq, reverse, ref,
     first and last (the read's first and last covered place), and indel: text as +2AC
     or -2NN for an insertion or deletion that follows, else empty. A place's reads are
-    in the order of seq; a place holds as many as are deep there.
+    in the order of seq; a place holds as many as are deep there. Cells with a stretch, as
+    `pileup_cells` gives them, are grouped where they are.
     """
     same = F.upper("base") == F.upper("ref")
     sign = F.when(same, F.when(F.col("reverse"), ",").otherwise(".")).otherwise(F.when(F.col("reverse"), F.lower("base")).otherwise(F.upper("base")))
@@ -147,7 +156,7 @@ def pileup_lines(cells: DataFrame, mapq: bool = False) -> DataFrame:
     text = F.concat(start, F.when(F.col("base").isNull(), "*").otherwise(F.concat(sign, F.col("indel"))), F.when(F.col("last"), "$").otherwise(""))
     quality = F.coalesce(F.char(F.col("quality") + 33), F.lit("")).alias("quality")
     one = F.struct("seq", text.alias("text"), quality, F.char(F.least(F.col("mapq"), F.lit(93)) + 33).alias("m"))
-    rows = cells.groupBy("ref_id", "p").agg(F.first("ref").alias("ref"), F.count(F.lit(1)).alias("depth"), F.sort_array(F.collect_list(one)).alias("r"))
+    rows = cells.groupBy("ref_id", *(["stretch"] if "stretch" in cells.columns else []), "p").agg(F.first("ref").alias("ref"), F.count(F.lit(1)).alias("depth"), F.sort_array(F.collect_list(one)).alias("r"))
     joined = lambda name: F.array_join(F.transform("r", lambda r: r[name]), "")
     more = [joined("m").alias("mapqs")] if mapq else []
     return rows.select("ref_id", (F.col("p") + 1).alias("pos"), "ref", "depth", joined("text").alias("text"), joined("quality").alias("quals"), *more)

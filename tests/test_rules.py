@@ -656,3 +656,12 @@ def test_batches_are_encoded_like_records(monkeypatch):
     rows[3]["mapq"] = 256
     with pytest.raises(Exception, match="format"):
         bam.encode_batch(pa.RecordBatch.from_pylist(rows, schema))
+
+
+def test_pileup_lines_are_made_where_reads_are(spark):
+    """Reads are dealt by stretch once; their cells, fifty times as many, are not dealt again."""
+    aln = derived.alignments(spark, "/root/testdata/sf0.001")
+    lines = formats.pileup_lines(formats.pileup_cells(aln, F.lit("A")))
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert lines.select("ref_id", "pos").distinct().count() == lines.count()
