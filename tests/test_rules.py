@@ -665,3 +665,14 @@ def test_pileup_lines_are_made_where_reads_are(spark):
     plan = lines._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert lines.select("ref_id", "pos").distinct().count() == lines.count()
+
+
+def test_batches_are_summed_up_like_cells(spark):
+    """No plan makes a row of a cell; the sums are those of single cells, as streams count them."""
+    aln = derived.alignments(spark, "/root/testdata/sf0.001").limit(300)
+    for df in (pileup.pileup(aln), pileup.coverage(aln)):
+        assert "Generate explode" not in df._jdf.queryExecution().optimizedPlan().toString()
+    each = pileup.cells(pileup.piled_reads(aln, False)).withColumnRenamed("at", "p")
+    want = pileup.finished(pileup.counted(each, ["sample", "ref_id", "p"], 10, 10), 1)
+    got = pileup.pileup(aln, min_count=1).select(*want.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
