@@ -60,7 +60,7 @@ PAIRS = 200_000
 PARTS = re.compile(f"[^{SPACE}\n]+|.", re.DOTALL)
 NOTHING, UNKNOWN = "", object()
 
-#: What a chunk's map leads from and to: (u, t), or (None, k) after k spaces, counted round the period.
+#: What a chunk's map leads from and to: (u, t) as `named`, or (None, k) after k spaces, counted round the period.
 Place = tuple
 Map = dict[Place, dict[Place, int]]
 START: Place = ("", None)
@@ -81,7 +81,7 @@ class Transducer:
         self.pieces, self.most = pieces, most
         self.whole = set(pieces.longest.keys())
         self.onward: dict[str, list[str]] = {}
-        for token in self.whole:
+        for token in sorted(self.whole):  # in one order everywhere: see `named`
             for n in range(1, len(token)):
                 self.onward.setdefault(token[:n], []).append(token)
         self.alike: dict[tuple[str, str], str | None] = {}
@@ -118,6 +118,15 @@ class Transducer:
             self.alike[u, t] = found
         return found
 
+    def named(self, u: str | None, t: str | int | None) -> Place:
+        """A place as all workers name it: by what may follow, where any of several last tokens may stand for the others.
+
+        Which of them does depends on the texts that a worker has met, and maps of a text's chunks are made by several workers.
+        """
+        if not u or t is None or len(self.onward[u]) > MANY:
+            return u, t
+        return u, bytes(self.pieces.remerge(t, token) for token in self.onward[u])
+
     def state(self, items: tuple, blank: int) -> State:
         key = items, blank
         found = self.states.get(key)
@@ -229,14 +238,14 @@ class Transducer:
         """The places of a state, with their counts."""
         if state.blank:
             return {(None, state.blank): total + state.items[-1][2] - self.blanks[state.blank]}
-        return {(u, t): total + n for u, t, n in state.items}
+        return {self.named(u, t): total + n for u, t, n in state.items}
 
     def chunk_map(self, left: str, text: str) -> Map:
         """The map of a chunk that follows `left`, of which 2 * reach signs matter. Signs of both are as in tokens."""
         runs: dict[int, list] = {}
         for place in self.entries(left):
             state, total = self.entered(place)
-            runs.setdefault(id(state), [state, []])[1].append((place, total))
+            runs.setdefault(id(state), [state, []])[1].append((self.named(*place), total))
         groups, at = [*runs.values()], 0
         while len(groups) > 1 and at < len(text):
             met: dict[int, list] = {}

@@ -59,6 +59,25 @@ def test_maps_compose_in_any_order(machine):
     assert tokencount.composed(tokencount.composed(a, b), c) == tokencount.composed(a, tokencount.composed(b, c))
 
 
+def test_maps_of_several_workers(spark, library):
+    """Maps of workers that have met other texts before compose as maps of one worker do."""
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("length(text) between 200 and 4000").orderBy("doc_id").limit(200).collect()]
+    workers = [tokencount.Transducer(pieces.Pieces(PATH)) for _ in range(2)]
+    for worker, known in zip(workers, (texts[::2], texts[::-3])):
+        for text in known:
+            worker.count(text)
+    for text in texts:
+        row = []
+        for i, chunk in enumerate(workers[0].cut(text, 50)):
+            worker = workers[i % 2]
+            overlap = 2 * worker.reach if i else 0
+            row.append(worker.chunk_map(chunk[:overlap], chunk[overlap:]) if i else {tokencount.START: worker.left(*worker.run(worker.start, chunk))})
+        found = row[0]
+        for then in row[1:]:
+            found = tokencount.composed(found, then)
+        assert [n + workers[0].blanks[t] if u is None else n for (u, t), n in found[tokencount.START].items() if not u] == [len(library.encode(text))]
+
+
 @pytest.mark.parametrize("most", [20, 1000])
 def test_few_states(library, most):
     """Forgotten states are made again."""
