@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandlake.functions import reads, sequence
-from strandlake.operators import evaluate, models, pileup, training
-from strandlake.plans import derived
+from strandlake.operators import caller, evaluate, models, pileup, training
+from strandlake.plans import analysis, calling, derived
+from strandlake.plans import training as plans
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -26,6 +27,17 @@ def test_labels_choose_places(spark):
     assert training.labelled_pairs(aln.limit(0), labels).count() == 0
 
 
+def test_deep_rows_of_whole_regions(spark):
+    """Each labelled place that both samples cover has a row for each region of the manifest that holds it, up to the region's end."""
+    piled = calling.with_reference(caller.paired(pileup.pileup(derived.alignments(spark, SMALL), min_count=1)))
+    both = {(r["ref_id"], r["pos"]) for r in piled.filter("ref < 4").select("ref_id", "pos").collect()}
+    labels = [(r["ref_id"], r["pos"]) for r in analysis.truth(spark, SMALL).select("ref_id", "pos").collect()]
+    held = [(r["region_id"], r["ref_id"], r["start"], r["stop"]) for r in analysis.manifest(spark, SMALL).collect()]
+    want = sorted((region, *p) for p in labels if p in both for region, ref, start, stop in held if ref == p[0] and start <= p[1] <= stop)
+    got = sorted(map(tuple, plans.deep_training_features(spark, SMALL).select("region_id", "ref_id", "pos").collect()))
+    assert len(want) > 100 and got == want
+
+
 def net_rows(spark, n=900, seed=4):
     """Few of many columns matter, and the others are noise."""
     rng = np.random.default_rng(seed)
