@@ -676,3 +676,11 @@ def test_batches_are_summed_up_like_cells(spark):
     want = pileup.finished(pileup.counted(each, ["sample", "ref_id", "p"], 10, 10), 1)
     got = pileup.pileup(aln, min_count=1).select(*want.columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_genotypes_are_not_computed_over_the_pileup(spark):
+    """What heterozygous_calls computes long expressions of are the few candidates, written before."""
+    from strandlake.plans import calling
+
+    plan = calling.heterozygous_calls(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "Aggregate" not in plan
