@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.functions import cells as flat
 from strandlake.functions import reads
 from strandlake.operators.pileup import STRETCH_BITS
 
@@ -160,3 +165,136 @@ def pileup_lines(cells: DataFrame, mapq: bool = False) -> DataFrame:
     joined = lambda name: F.array_join(F.transform("r", lambda r: r[name]), "")
     more = [joined("m").alias("mapqs")] if mapq else []
     return rows.select("ref_id", (F.col("p") + 1).alias("pos"), "ref", "depth", joined("text").alias("text"), joined("quality").alias("quals"), *more)
+
+
+#: What a pileup's lines need of reads.
+LINE_READS = ["ref_id", "stretch", "pos", "end", "seq", "mapq", "flag", "cigar", "bases", "quals"]
+LINES = "ref_id int, pos int, ref string, depth long, text string, quals string, mapqs string"
+LETTER = np.array([chr(c).isalpha() and c < 128 for c in range(256)])
+
+
+def lines_of_batch(batch: pa.RecordBatch, low: np.ndarray, high: np.ndarray, group: np.ndarray, reference: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> pa.RecordBatch:
+    """The lines of the places from low to high of each read; group numbers the stretches of the reads."""
+    seq = flat.column(batch, "seq")
+    known = np.asarray(seq.is_valid())
+    order = np.lexsort((flat.numbers(seq), known))
+    batch, low, high, group, seq = batch.take(pa.array(order)), low[order], high[order], group[order], flat.numbers(seq)[order]
+    known = known[order]
+    get = lambda name: flat.numbers(flat.column(batch, name))
+    pos, flags, mapq = get("pos"), get("flag"), flat.column(batch, "mapq")
+    sign_mapq = np.where(np.asarray(mapq.is_valid()), np.minimum(flat.numbers(mapq), 93), 93) + 33
+    found = flat.operations(flat.column(batch, "cigar"))
+    read, at, q, op = flat.cells(pos, found, low, high)
+    held = flat.flat_bytes(flat.column(batch, "bases")), flat.flat_bytes(flat.column(batch, "quals"))
+    reverse = (flags & reads.FLAGS["reverse"] != 0)[read]
+    # Cells by place, and at each place in the order of seq, as the reads are.
+    key = group[read] * (1 << STRETCH_BITS) + (at & (1 << STRETCH_BITS) - 1)
+    kind = np.uint16 if len(key) and key.max() < 1 << 16 else np.int64
+    turn = np.argsort(key.astype(kind), kind="stable")
+    read, at, q, op, key, reverse = read[turn], at[turn], q[turn], op[turn], key[turn], reverse[turn]
+    begins = np.flatnonzero(np.diff(key, prepend=-1))
+    place = np.cumsum(np.diff(key, prepend=-1) != 0) - 1
+    n = len(begins)
+    refs = flat.column(batch, "ref_id").take(pa.array(read[begins]))
+    ref = np.where(np.asarray(refs.is_valid()), reference(flat.numbers(refs), at[begins]), 0).astype(np.int64)
+    base = flat.looked_up(held[0], read, q, 0)
+    upper = lambda c: np.where(LETTER[c], c & ~32, c)
+    sign = np.where(upper(base) == upper(ref)[place], np.where(reverse, ord(","), ord(".")), np.where(LETTER[base] & reverse, base | 32, upper(base)))
+    sign = np.where(base == 0, ord("*"), sign)
+    first, last = at == pos[read], at == get("end")[read] - 1
+    # An insertion or deletion that follows the last base of an operation.
+    then = np.where(np.append(found.read[1:] == found.read[:-1], False), np.append(found.op[1:], -1), -1)[op]
+    size = np.append(found.size[1:], 0)[op]
+    ends = (base != 0) & (at - pos[read] == found.at[op] + found.size[op] - 1)
+    has = np.flatnonzero(ends & ((then == flat.OPS.index("I")) | (then == flat.DELETION)))
+    width = 1 + 2 * first + last
+    texts: list[tuple[np.ndarray, np.ndarray]] = []
+    for what, length in {*zip(then[has].tolist(), size[has].tolist())}:
+        own = has[(then[has] == what) & (size[has] == length)]
+        head = np.tile(np.frombuffer(f"{'+' if what != flat.DELETION else '-'}{length}".encode(), np.uint8).astype(np.int64), (len(own), 1))
+        if what == flat.DELETION:
+            tail = np.full((len(own), length), ord("N"))
+        else:
+            there, owner = flat.spread(q[own] + 1, q[own] + 1 + length)
+            tail = upper(flat.looked_up(held[0], read[own][owner], there, 0)).reshape(len(own), length)
+        tail = np.where(LETTER[tail] & reverse[own][:, None], tail | 32, tail)
+        text = np.concatenate([head, tail], axis=1)
+        texts.append((own, text))
+        width[own] += (text != 0).sum(axis=1)
+    offset = np.cumsum(width) - width
+    out = np.zeros(int(width.sum()), np.int64)
+    out[offset[first]], out[offset[first] + 1] = ord("^"), sign_mapq[read[first]]
+    spot = offset + 2 * first
+    out[spot] = sign
+    for own, text in texts:
+        row, col = np.nonzero(text)  # an insertion ends where the read's bases do
+        out[spot[own][row] + 1 + col] = text[row, col]
+    out[(offset + width - 1)[last]] = ord("$")
+    quals, mapqs = flat.looked_up(held[1], read, q, 0), sign_mapq[read]
+    same = (np.diff(key) == 0) & (np.diff(seq[read]) == 0) & (np.diff(known[read].astype(np.int8)) == 0)
+    for a, b in runs(same):  # equal seqs: by what is said
+        spelled = sorted(((out[offset[k] : offset[k] + width[k]].astype(np.uint8).tobytes(), quals[k], mapqs[k]) for k in range(a, b)))
+        out[offset[a] : offset[b - 1] + width[b - 1]] = np.frombuffer(b"".join(s[0] for s in spelled), np.uint8)
+        quals[a:b], mapqs[a:b] = [s[1] for s in spelled], [s[2] for s in spelled]
+    there = quals != 0
+    symbols = pa.array([None if c == 0 else chr(c) for c in range(256)], pa.string()).take(pa.array(ref))
+    depth = np.bincount(place, minlength=n).astype(np.int64)
+    arrays = [refs, pa.array((at[begins] + 1).astype(np.int32)), symbols, pa.array(depth), flat.joined(np.repeat(place, width), n, out), flat.joined(place[there], n, quals[there]), flat.joined(place, n, mapqs)]
+    return pa.RecordBatch.from_arrays(arrays, ["ref_id", "pos", "ref", "depth", "text", "quals", "mapqs"])
+
+
+def runs(same: np.ndarray) -> list[tuple[int, int]]:
+    """From where to where neighbours are the same, as half-open ranges of two or more."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], same, [False]]).astype(np.int8)))
+    return [(int(a), int(b) + 1) for a, b in zip(edges[::2], edges[1::2])]
+
+
+def batch_lines(reference: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The lines of reads that come in the order of ref_id, stretch and pos. Only reads that may cover later places are kept."""
+
+    def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        new, kept, done = 0, 0, -1  # reads that have come, reads that were kept, and the place before which the kept ones are done
+
+        def made(whole: bool) -> pa.RecordBatch:
+            nonlocal waiting, new, kept, done
+            batch = pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+            get = lambda name: flat.numbers(flat.column(batch, name))
+            pos, end, stretch, refs = get("pos"), get("end"), get("stretch"), flat.column(batch, "ref_id")
+            change = (np.diff(stretch) != 0) | (np.diff(flat.numbers(refs)) != 0) | (np.diff(np.asarray(refs.is_valid()).astype(np.int8)) != 0)
+            group = np.concatenate([[0], np.cumsum(change)])
+            low, high = stretch << STRETCH_BITS, stretch + 1 << STRETCH_BITS
+            low = np.where((group == 0) & (kept > 0), np.maximum(low, done), low)
+            later = np.zeros(len(pos), bool)
+            if not whole:
+                later = (group == group[-1]) & (end > pos[-1])
+                high = np.where(group == group[-1], np.minimum(high, pos[-1]), high)
+                done = int(pos[-1])
+            found = lines_of_batch(batch, low, high, group, reference)
+            waiting = [batch.filter(pa.array(later))] if later.any() else []
+            new, kept = 0, int(later.sum())
+            return found
+
+        for batch in batches:
+            if batch.num_rows:
+                waiting.append(batch)
+                new += batch.num_rows
+                if new >= kept:
+                    yield made(False)
+        if waiting:
+            yield made(True)
+
+    return all_of
+
+
+def pileup_text(alignments: DataFrame, reference: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """What `pileup_lines` says of `pileup_cells`, made of flat arrays: ref_id, pos (1-based), ref, depth, text, quals and mapqs of each place.
+
+    reference gives the bytes of the reference's bases at ref_ids and 0-based places, 0 where there is none. Reads go to the
+    stretches that they cover, in the order of places; no row of a cell is made. Bases and qualities are ASCII; a base that a read lacks is *.
+    """
+    over = lambda p: F.shiftright(p.cast("long"), STRETCH_BITS)
+    end = reads.end_position(F.col("pos"), F.col("cigar")).cast("long")
+    own = alignments.filter(reads.has(F.col("flag"), "mapped") & F.col("pos").isNotNull()).withColumn("end", end).filter("end > pos")
+    dealt = own.withColumn("stretch", F.explode(F.sequence(over(F.col("pos")), over(F.col("end") - 1)))).select(*LINE_READS).repartition("ref_id", "stretch")
+    return dealt.sortWithinPartitions("ref_id", "stretch", "pos").mapInArrow(batch_lines(reference), LINES)

@@ -684,3 +684,35 @@ def test_genotypes_are_not_computed_over_the_pileup(spark):
 
     plan = calling.heterozygous_calls(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in plan and "Aggregate" not in plan
+
+
+def test_pileup_text_is_that_of_cells(spark):
+    """Lines made of flat arrays are those made of single cells, however reads come in batches: deep places, equal and missing seqs, reads over stretches, indels at ends."""
+    import numpy as np
+
+    rng = random.Random(7)
+    cigars = ["10M", "4M3D6M", "5M20000N5M", "2S8M", "3M2I5M", "4=1X2D5M", "9M1I", "10M2D", "3I7M", "5M5I", "2M6D2I6M", "10S", "5M2N5M"]
+    rows = []
+    for k in range(3000):
+        bases = "".join(rng.choice("ACGTNacgt") for _ in range(rng.choice([10, 10, 10, 7])))
+        pos = rng.choice([rng.randrange(300), 4090, rng.randrange(9000)])
+        rows.append((rng.choice([0, 1, 1, None]), pos, rng.choice([k, k // 2, 5, None]), rng.choice([0, 30, 200, None]), rng.choice([0, 16, 4]), rng.choice(cigars), bases, "".join(rng.choice("!5I") for _ in bases)))
+    table = spark.createDataFrame(rows, "ref_id int, pos int, seq long, mapq int, flag int, c string, bases string, quals string").withColumn("cigar", reads.parse_cigar(F.col("c"))).drop("c")
+    columns = ["ref_id", "pos", "ref", "depth", "text", "quals", "mapqs"]
+    letters = np.frombuffer(b"ACGT", np.uint8)
+    at = F.substring(F.lit("ACGT"), (F.col("p") % 4 + 1).cast("int"), F.lit(1))
+    want = formats.pileup_lines(formats.pileup_cells(table, F.when(F.col("ref_id").isNotNull(), at)), mapq=True).select(*columns)
+    want = sorted(map(str, want.collect()))
+    for size in ("10000", "1", "13"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got = formats.pileup_text(table, lambda ref, pos: letters[pos % 4])
+        assert sorted(map(str, got.select(*columns).collect())) == want
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert formats.pileup_text(table.limit(0), lambda ref, pos: letters[pos % 4]).count() == 0
+
+
+def test_convert_pileup_makes_no_rows_of_cells(spark):
+    from strandlake.plans import queries
+
+    plan = queries.QUERIES["convert_pileup"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and plan.count("Generate") == 1  # the stretches of a read
