@@ -716,3 +716,24 @@ def test_convert_pileup_makes_no_rows_of_cells(spark):
 
     plan = queries.QUERIES["convert_pileup"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and plan.count("Generate") == 1  # the stretches of a read
+
+
+def test_sums_of_regions_are_not_dealt(spark, monkeypatch):
+    """Reads and regions meet in one exchange; the rows are the same in small batches, and where a stretch is hot."""
+    from strandlake.plans import analysis
+
+    folder = "/root/testdata/sf0.001"
+    aln, manifest = derived.alignments(spark, folder).filter("ref_id < 2"), analysis.manifest(spark, folder)
+    found = pileup.region_pileup(aln, manifest)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_COL") == 1 and plan.rindex("REPARTITION_BY_COL") > plan.index("MapInArrow")
+    whole = sorted(map(str, found.select(sorted(found.columns)).collect()))
+    monkeypatch.setattr(pileup, "FEW_BINS", 0)
+    monkeypatch.setattr(pileup, "ROWS_TOGETHER", 7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    got = pileup.region_pileup(aln, manifest)
+    assert sorted(map(str, got.select(sorted(got.columns)).collect())) == whole
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(pileup, "HOT_READS", 16)
+    hot = pileup.region_pileup(aln, manifest)
+    assert sorted(map(str, hot.select(sorted(found.columns)).collect())) == whole
